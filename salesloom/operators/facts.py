@@ -11,7 +11,8 @@ from salesloom.functions.dates import date_key
 from salesloom.functions.money import list_cost, margin_percentage, money
 from salesloom.schemas import TOTAL
 
-# Columns of the stored fact that consumers see; business ids ride along for joins without key lookups.
+# Columns of the fact that consumers see; the stored fact also keeps business ids, so that summaries
+# need no key lookup.
 FACT_COLUMNS = (
     "order_id",
     "customer_key",
@@ -30,72 +31,95 @@ FACT_COLUMNS = (
 )
 
 
-def sales_lines(
-    items: DataFrame,
-    orders: DataFrame,
-    customers: DataFrame,
-    products: DataFrame,
-    start: dt.date | None = None,
-    end: dt.date | None = None,
-) -> DataFrame:
-    """One row per order line that has an order, a customer and a product, with amounts to the cent.
+def _present(df: DataFrame, *columns: str) -> list[str]:
+    return [c for c in columns if c in df.columns]
 
-    The calendar has no gaps, so joining to it is the same as a range on the order date, which reaches
-    the scan. Lines meet their order last: what follows per order needs no further shuffle.
-    """
-    day = F.to_date("order_date")
-    dated = orders
-    if start is not None:
-        dated = dated.filter(day >= F.lit(start))
-    if end is not None:
-        dated = dated.filter(day <= F.lit(end))
-    placed = dated.filter(F.col("order_date").isNotNull()).select(
-        "order_id",
-        "customer_id",
-        "order_date",
-        day.alias("order_day"),
-        "order_status",
-        "tax_amount",
-        "shipping_cost",
-    )
-    buyers = customers.select("customer_id", F.to_date("registration_date").alias("registration_date"))
-    priced = items.join(products.select("product_id", "price", "cost"), "product_id")
+
+def priced_lines(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Order lines of known products, each amount rounded to the cent."""
+    goods = products.select("product_id", "price", "cost", *_present(products, "product_key"))
     line_cost = list_cost("total_price", "price", "cost")
-    return priced.join(placed.join(buyers, "customer_id"), "order_id").select(
+    discount = F.col("total_price") * F.col("discount_percentage") / F.lit(100).cast("decimal(3,0)")
+    return items.join(goods, "product_id").select(
         "order_id",
-        "customer_id",
         "product_id",
-        "order_day",
-        "order_date",
-        "order_status",
-        "registration_date",
+        *_present(products, "product_key"),
         "quantity",
         "unit_price",
         F.col("total_price").alias("total_amount"),
         money(line_cost).alias("cost_amount"),
         money(F.col("total_price") - line_cost).alias("profit_amount"),
         margin_percentage("price", "cost").alias("margin_percentage"),
-        money(F.col("total_price") * F.col("discount_percentage") / F.lit(100).cast("decimal(3,0)")).alias(
-            "discount_amount"
-        ),
-        "tax_amount",
-        "shipping_cost",
+        money(discount).alias("discount_amount"),
     )
 
 
-def with_keys(sales: DataFrame, dim_customers: DataFrame, dim_products: DataFrame) -> DataFrame:
-    """The fact: surrogate keys of the current dimension rows, and the date key."""
-    buyers = dim_customers.filter("current_flag").select("customer_id", "customer_key")
-    goods = dim_products.filter("current_flag").select("product_id", "product_key")
-    return (
-        sales.join(goods, "product_id")
-        .join(buyers, "customer_id")
-        .withColumn("date_key", date_key("order_day"))
+def dated_orders(orders: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """Orders within the calendar. It has no gaps, so joining to it is a range, which reaches the scan."""
+    out = orders.withColumn("order_day", F.to_date("order_date")).filter(F.col("order_day").isNotNull())
+    if start is not None:
+        out = out.filter(F.col("order_day") >= F.lit(start))
+    if end is not None:
+        out = out.filter(F.col("order_day") <= F.lit(end))
+    return out
+
+
+def buyers(customers: DataFrame) -> DataFrame:
+    return customers.select(
+        "customer_id",
+        F.to_date("registration_date").alias("registration_date"),
+        *_present(customers, "customer_key"),
     )
 
 
-def fact_sales(sales: DataFrame, dim_customers: DataFrame, dim_products: DataFrame) -> DataFrame:
-    return with_keys(sales, dim_customers, dim_products).select(*FACT_COLUMNS)
+def sales_lines(
+    items: DataFrame,
+    orders: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    tax: DataFrame | None = None,
+) -> DataFrame:
+    """One row per order line that has an order, a customer and a product.
+
+    ``customers`` and ``products`` are staging tables, or current dimension rows, whose keys then come
+    along. ``tax`` holds order-level tax where the orders lack it; it joins on the key the lines join on
+    next, so it costs no shuffle of the orders. Lines meet their order last.
+    """
+    placed = dated_orders(orders, start, end).join(buyers(customers), "customer_id")
+    if tax is not None:
+        placed = placed.drop("tax_amount").join(tax, "order_id", "left")
+    return priced_lines(items, products).join(
+        placed.select(
+            "order_id",
+            "customer_id",
+            *_present(customers, "customer_key"),
+            "order_day",
+            "order_date",
+            "order_status",
+            "registration_date",
+            "tax_amount",
+            "shipping_cost",
+        ),
+        "order_id",
+    )
+
+
+def fact_sales(
+    items: DataFrame,
+    orders: DataFrame,
+    dim_customers: DataFrame,
+    dim_products: DataFrame,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    tax: DataFrame | None = None,
+) -> DataFrame:
+    """The fact with surrogate keys of the current dimension rows, the date key, and the business ids."""
+    lines = sales_lines(
+        items, orders, dim_customers.filter("current_flag"), dim_products.filter("current_flag"), start, end, tax
+    )
+    return lines.withColumn("date_key", date_key("order_day"))
 
 
 def append_facts(fact: DataFrame, batch: DataFrame) -> DataFrame:

@@ -25,9 +25,9 @@ def to_wide(features: DataFrame, entity: str, names: Sequence[str]) -> DataFrame
     return features.groupBy(entity).pivot("feature_name", list(names)).agg(F.first("feature_value"))
 
 
-def customer_features(sales: DataFrame) -> DataFrame:
+def customer_features(totals: DataFrame) -> DataFrame:
     """One aggregation for all three features; the average is per line, as the feature is defined."""
-    wide = per_customer(sales).select(
+    wide = per_customer(totals).select(
         "customer_id",
         F.col("revenue").alias("total_spent"),
         F.col("orders").alias("total_orders"),

@@ -30,8 +30,8 @@ def baskets(sales: DataFrame) -> DataFrame:
 
 
 def copurchases(basket: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Orders shared by each anchor and every product bought with it. ``anchors`` is a few rows by contract."""
-    held = basket.join(F.broadcast(anchors), F.col("product_id") == F.col("anchor_id")).select("order_id", "anchor_id")
+    """Orders shared by each anchor and every product bought with it."""
+    held = basket.join(anchors, F.col("product_id") == F.col("anchor_id")).select("order_id", "anchor_id")
     return (
         basket.join(held, "order_id")
         .filter(F.col("product_id") != F.col("anchor_id"))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from salesloom.functions.dates import month_index
 from salesloom.functions.money import dbl, ratio
 from salesloom.operators.ordering import with_tile
-from salesloom.operators.summaries import per_customer, per_order, total
+from salesloom.operators.summaries import per_customer, total
 
 
-def rfm_values(sales: DataFrame, as_of: dt.date) -> DataFrame:
-    return per_customer(sales).select(
+def rfm_values(totals: DataFrame, as_of: dt.date) -> DataFrame:
+    return per_customer(totals).select(
         "customer_id",
         F.date_diff(F.lit(as_of), "last_day").alias("recency_days"),
         F.col("orders").alias("frequency"),
@@ -41,15 +41,15 @@ def segment_name(r: Column, f: Column, m: Column) -> Column:
     )
 
 
-def rfm_segments(sales: DataFrame, as_of: dt.date) -> DataFrame:
-    scored = rfm_scores(rfm_values(sales, as_of))
+def rfm_segments(totals: DataFrame, as_of: dt.date) -> DataFrame:
+    scored = rfm_scores(rfm_values(totals, as_of))
     return scored.withColumn("segment", segment_name(F.col("r_score"), F.col("f_score"), F.col("m_score")))
 
 
-def customer_ltv(sales: DataFrame, as_of: dt.date) -> DataFrame:
+def customer_ltv(totals: DataFrame, as_of: dt.date) -> DataFrame:
     """Profit per year of acquaintance; acquaintance counts for 30 days at least."""
     tenure = F.greatest(F.date_diff(F.lit(as_of), "first_day"), F.lit(30))
-    return per_customer(sales).select(
+    return per_customer(totals).select(
         "customer_id",
         F.col("profit").alias("profit_to_date"),
         tenure.alias("tenure_days"),
@@ -57,9 +57,9 @@ def customer_ltv(sales: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def customer_segments(sales: DataFrame, as_of: dt.date) -> DataFrame:
+def customer_segments(totals: DataFrame, as_of: dt.date) -> DataFrame:
     """The segment table; the per-customer sums are taken once and carried through the tiles."""
-    base = per_customer(sales)
+    base = per_customer(totals)
     tenure = F.greatest(F.date_diff(F.lit(as_of), "first_day"), F.lit(30))
     values = base.select(
         "customer_id",
@@ -100,14 +100,14 @@ def customer_segment_summary(segments: DataFrame) -> DataFrame:
     )
 
 
-def churn_labels(sales: DataFrame, cut: dt.date, horizon_days: int = 180) -> DataFrame:
+def churn_labels(totals: DataFrame, cut: dt.date, horizon_days: int = 180) -> DataFrame:
     """Features strictly before the cut; churned = no order within the horizon after it."""
     end = cut + dt.timedelta(days=horizon_days)
     day = F.col("order_day")
     known = day < F.lit(cut)
-    orders = per_order(sales.filter(day < F.lit(end)))
     return (
-        orders.groupBy("customer_id")
+        totals.filter(day < F.lit(end))
+        .groupBy("customer_id")
         .agg(
             F.count_if(known).alias("frequency"),
             total(F.when(known, F.col("revenue"))).alias("monetary"),
@@ -121,10 +121,10 @@ def churn_labels(sales: DataFrame, cut: dt.date, horizon_days: int = 180) -> Dat
     )
 
 
-def cohort_retention(sales: DataFrame) -> DataFrame:
+def cohort_retention(totals: DataFrame) -> DataFrame:
     """Customers active by month since their first; the window sees at most one row per customer and month."""
     month = F.trunc("order_day", "month")
-    active = per_order(sales).groupBy("customer_id", month.alias("month")).agg(total("revenue").alias("revenue"))
+    active = totals.groupBy("customer_id", month.alias("month")).agg(total("revenue").alias("revenue"))
     cohort = F.min("month").over(Window.partitionBy("customer_id"))
     return (
         active.withColumn("cohort", cohort)

@@ -1,4 +1,4 @@
-"""Sales summaries. Lines are first summed per order, so distinct counts become plain counts.
+"""Sales summaries over order totals, so that distinct counts become plain counts.
 
 An order has one customer and one day, hence: rows per order, then per (period, customer), then per
 period. Each step sums on the map side before it shuffles, and no step multiplies rows the way several
@@ -22,35 +22,51 @@ def total(c: Column | str) -> Column:
     return F.sum(c).cast(TOTAL)
 
 
-def per_order(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("order_id", "customer_id", "order_day", "registration_date").agg(
+def _line_sums() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("lines"),
+        F.sum("quantity").alias("quantity"),
         total("total_amount").alias("revenue"),
         total("profit_amount").alias("profit"),
-    )
+    ]
+
+
+ORDER_COLUMNS = ("order_id", "customer_id", "order_day", "order_status", "registration_date")
+
+
+def order_totals(sales: DataFrame) -> DataFrame:
+    """One row per order of the fact."""
+    return sales.groupBy(*ORDER_COLUMNS).agg(*_line_sums())
+
+
+def order_totals_of(priced: DataFrame, orders: DataFrame, buyers: DataFrame) -> DataFrame:
+    """The same from lines that have not met their orders yet.
+
+    Lines are summed before they shuffle, so an order with very many lines is one row per task by then,
+    and the customers join last, on the key that most summaries group by next.
+    """
+    placed = orders.select("order_id", "customer_id", "order_day", "order_status")
+    who = buyers.select("customer_id", "registration_date")
+    return priced.groupBy("order_id").agg(*_line_sums()).join(placed, "order_id").join(who, "customer_id")
 
 
-def per_customer(sales: DataFrame, *extra: Column) -> DataFrame:
+def per_customer(totals: DataFrame, *extra: Column) -> DataFrame:
     """Orders, lines, revenue and profit per customer (and per ``extra`` grouping columns)."""
-    return (
-        per_order(sales)
-        .groupBy("customer_id", "registration_date", *extra)
-        .agg(
-            F.count(F.lit(1)).alias("orders"),
-            F.sum("lines").alias("lines"),
-            total("revenue").alias("revenue"),
-            total("profit").alias("profit"),
-            F.min("order_day").alias("first_day"),
-            F.max("order_day").alias("last_day"),
-        )
+    return totals.groupBy("customer_id", "registration_date", *extra).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum("lines").alias("lines"),
+        total("revenue").alias("revenue"),
+        total("profit").alias("profit"),
+        F.min("order_day").alias("first_day"),
+        F.max("order_day").alias("last_day"),
     )
 
 
-def daily_sales_summary(sales: DataFrame) -> DataFrame:
+def daily_sales_summary(totals: DataFrame) -> DataFrame:
     registered = F.col("registration_date")
     day = F.col("order_day")
     return (
-        per_customer(sales, day)
+        per_customer(totals, day)
         .groupBy(day.alias("date"))
         .agg(
             F.sum("orders").alias("total_orders"),
@@ -67,11 +83,10 @@ def daily_sales_summary(sales: DataFrame) -> DataFrame:
     )
 
 
-def monthly_sales_trend(sales: DataFrame, calendar: DataFrame) -> DataFrame:
+def monthly_sales_trend(totals: DataFrame, calendar: DataFrame) -> DataFrame:
     """Summed per day first, so that only one row per day meets the calendar."""
     daily = (
-        per_order(sales)
-        .groupBy(F.col("order_day").alias("full_date"))
+        totals.groupBy(F.col("order_day").alias("full_date"))
         .agg(
             F.count(F.lit(1)).alias("orders"),
             F.sum("lines").alias("lines"),
@@ -93,10 +108,10 @@ def monthly_sales_trend(sales: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def sales_trend(sales: DataFrame, granularity: str = "daily") -> DataFrame:
+def sales_trend(totals: DataFrame, granularity: str = "daily") -> DataFrame:
     period = period_start("order_day", granularity).alias("period")
     return (
-        per_customer(sales, period)
+        per_customer(totals, period)
         .groupBy("period")
         .agg(
             total("revenue").alias("revenue"),
@@ -123,19 +138,19 @@ def in_range(
     return out
 
 
-def with_statuses(sales: DataFrame, statuses: Sequence[str] | None) -> DataFrame:
+def with_statuses(totals: DataFrame, statuses: Sequence[str] | None) -> DataFrame:
     """Without statuses every order counts, cancelled ones too."""
-    return sales if statuses is None else sales.filter(F.col("order_status").isin(list(statuses)))
+    return totals if statuses is None else totals.filter(F.col("order_status").isin(list(statuses)))
 
 
 def sales_summary(
-    sales: DataFrame,
+    totals: DataFrame,
     start: dt.date | None = None,
     end: dt.date | None = None,
     statuses: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row; ``customer_days`` adds up daily customer counts, ``total_customers`` counts each once."""
-    chosen = with_statuses(in_range(sales, "order_day", start, end), statuses)
+    chosen = with_statuses(in_range(totals, "order_day", start, end), statuses)
     daily = per_customer(chosen, F.col("order_day"))
     each = daily.groupBy("customer_id").agg(
         total("revenue").alias("revenue"), F.sum("orders").alias("orders"), F.count(F.lit(1)).alias("days")
@@ -154,7 +169,7 @@ def orders_by_status(orders: DataFrame) -> DataFrame:
     )
 
 
-def sales_by_geography(sales: DataFrame, customers: DataFrame) -> DataFrame:
+def sales_by_geography(totals: DataFrame, customers: DataFrame) -> DataFrame:
     """Country and state with subtotals: a customer lives in one state, so only state rows are rolled up."""
     where = customers.select(
         "customer_id",
@@ -162,7 +177,7 @@ def sales_by_geography(sales: DataFrame, customers: DataFrame) -> DataFrame:
         F.coalesce("state", F.lit("Unknown")).alias("state"),
     )
     states = (
-        per_customer(sales)
+        per_customer(totals)
         .join(where, "customer_id")
         .groupBy("country", "state")
         .agg(
@@ -185,26 +200,24 @@ def sales_by_geography(sales: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def approx_customers(sales: DataFrame, rsd: float = 0.02) -> DataFrame:
+def approx_customers(totals: DataFrame, rsd: float = 0.02) -> DataFrame:
     """Opt-in estimate of distinct customers per day; the sketch merges on the map side."""
-    return sales.groupBy(F.col("order_day").alias("date")).agg(
+    return totals.groupBy(F.col("order_day").alias("date")).agg(
         F.approx_count_distinct("customer_id", rsd).alias("approx_customers")
     )
 
 
-def basket_size_distribution(sales: DataFrame) -> DataFrame:
+def basket_size_distribution(totals: DataFrame) -> DataFrame:
     return (
-        sales.groupBy("order_id")
-        .agg(F.count(F.lit(1)).alias("items"), F.sum("quantity").alias("quantity"))
-        .groupBy("items")
+        totals.groupBy(F.col("lines").alias("items"))
         .agg(F.count(F.lit(1)).alias("orders"), F.sum("quantity").alias("total_quantity"))
         .withColumn("avg_quantity", ratio("total_quantity", "orders"))
     )
 
 
-def sales_kpis(sales: DataFrame) -> DataFrame:
+def sales_kpis(totals: DataFrame) -> DataFrame:
     """The summary in long form, for banding and formatting."""
-    return sales_summary(sales).select(
+    return sales_summary(totals).select(
         F.explode(
             F.array(
                 F.struct(F.lit("revenue").alias("kpi"), dbl("total_revenue").alias("value")),

@@ -12,9 +12,9 @@ from salesloom.functions.money import dbl, ratio
 from salesloom.operators.summaries import total
 
 
-def daily_revenue(sales: DataFrame, calendar: DataFrame) -> DataFrame:
+def daily_revenue(totals: DataFrame, calendar: DataFrame) -> DataFrame:
     """Revenue of every calendar day, 0 where nothing was sold."""
-    sold = sales.groupBy(F.col("order_day").alias("full_date")).agg(total("total_amount").alias("revenue"))
+    sold = totals.groupBy(F.col("order_day").alias("full_date")).agg(total("revenue").alias("revenue"))
     return calendar.select("full_date").join(sold, "full_date", "left").select(
         F.col("full_date").alias("date"),
         F.coalesce("revenue", F.lit(0).cast("decimal(18,2)")).alias("revenue"),
@@ -42,10 +42,8 @@ def first_periods(trend: DataFrame, limit: int = 30) -> DataFrame:
     return trend.orderBy("period").limit(limit)
 
 
-def monthly_revenue(sales: DataFrame) -> DataFrame:
-    return sales.groupBy(F.trunc("order_day", "month").alias("period")).agg(
-        total("total_amount").alias("revenue")
-    )
+def monthly_revenue(totals: DataFrame) -> DataFrame:
+    return totals.groupBy(F.trunc("order_day", "month").alias("period")).agg(total("revenue").alias("revenue"))
 
 
 def _months(monthly: DataFrame, ahead: int) -> DataFrame:

@@ -44,16 +44,15 @@ class DailyLoad:
         goods = self._store(spark, counts, "processed_data", "dim_products", self._products(spark, staging))
         self._store(spark, counts, "processed_data", "dim_date", dim_date_of(staging.orders, "order_date"))
 
-        batch = facts.with_keys(
-            facts.sales_lines(staging.order_items, staging.orders, staging.customers, staging.products), buyers, goods
-        ).withColumn("order_month", F.date_format("order_day", "yyyy-MM"))
+        batch = facts.fact_sales(staging.order_items, staging.orders, buyers, goods, tax=staging.order_tax)
+        batch = batch.withColumn("order_month", F.date_format("order_day", "yyyy-MM"))
         if self.previous is not None:
             batch = self._unseen(spark, batch)
         new = self._store(spark, counts, "processed_data", "fact_sales", batch, ["order_month"])
 
         every = self.fact(spark)
         days = every.join(new.select("order_day").distinct(), "order_day", "left_semi")
-        self._merge(spark, counts, "analytics", "daily_sales_summary", summaries.daily_sales_summary(days), ["date"], DAILY_FIGURES)
+        self._merge(spark, counts, "analytics", "daily_sales_summary", summaries.daily_sales_summary(summaries.order_totals(days)), ["date"], DAILY_FIGURES)
         sold = every.join(new.select("product_id").distinct(), "product_id", "left_semi")
         self._merge(
             spark, counts, "analytics", "product_performance", products.product_performance(sold, dimensions.current(goods)),
@@ -65,7 +64,7 @@ class DailyLoad:
         )
         bought = every.join(new.select("customer_id").distinct(), "customer_id", "left_semi")
         self._merge(
-            spark, counts, "ml_features", "customer_features", features.customer_features(bought),
+            spark, counts, "ml_features", "customer_features", features.customer_features(summaries.order_totals(bought)),
             ["customer_id", "feature_name"], ["feature_value"],
         )
         stages = spark.createDataFrame(

@@ -87,10 +87,12 @@ def dim_products(spark, folder):
 @query
 def fact_sales(spark, folder):
     return facts.fact_sales(
-        star.sales(spark, folder, with_tax=True),
+        staging.order_items(spark, folder),
+        staging.orders(spark, folder),
         dimensions.dim_customers(staging.customers(spark, folder)),
         dimensions.dim_products(staging.products(spark, folder), AS_OF),
-    )
+        tax=staging.order_tax(spark, folder),
+    ).select(*facts.FACT_COLUMNS)
 
 
 @query
@@ -106,11 +108,11 @@ def insert_ignore_customers(spark, folder):
 @query
 def upsert_daily_sales(spark, folder):
     """The summary as of one status correction (completed orders only), then every order of every day."""
-    lines = star.sales(spark, folder)
-    before = summaries.daily_sales_summary(summaries.with_statuses(lines, ["Completed"])).withColumn(
+    totals = star.order_totals(spark, folder)
+    before = summaries.daily_sales_summary(summaries.with_statuses(totals, ["Completed"])).withColumn(
         "first_total_orders", F.col("total_orders")
     )
-    fresh = summaries.daily_sales_summary(lines)
+    fresh = summaries.daily_sales_summary(totals)
     return load.upsert(before, fresh, ["date"], ["total_orders", "total_revenue"])
 
 
@@ -138,18 +140,18 @@ def allocated_tax(spark, folder):
 
 @query
 def daily_sales_summary(spark, folder):
-    return summaries.daily_sales_summary(star.sales(spark, folder))
+    return summaries.daily_sales_summary(star.order_totals(spark, folder))
 
 
 @query
 def monthly_sales_trend(spark, folder):
     days = calendar.dim_date_of(staging.orders(spark, folder), "order_date")
-    return summaries.monthly_sales_trend(star.sales(spark, folder), days)
+    return summaries.monthly_sales_trend(star.order_totals(spark, folder), days)
 
 
 def _trend(granularity: str) -> Query:
     def sales_trend(spark, folder):
-        return summaries.sales_trend(star.sales(spark, folder), granularity)
+        return summaries.sales_trend(star.order_totals(spark, folder), granularity)
 
     sales_trend.__name__ = f"sales_trend_{granularity}"
     return sales_trend
@@ -161,33 +163,33 @@ for _g in ("daily", "weekly", "monthly", "quarterly", "yearly"):
 
 @query
 def first_30_days(spark, folder):
-    return trends.first_periods(summaries.sales_trend(star.sales(spark, folder), "daily"), 30)
+    return trends.first_periods(summaries.sales_trend(star.order_totals(spark, folder), "daily"), 30)
 
 
 @query
 def sales_in_range(spark, folder):
-    daily = summaries.sales_trend(star.sales(spark, folder), "daily")
+    daily = summaries.sales_trend(star.order_totals(spark, folder), "daily")
     return summaries.in_range(daily, "period", *RANGE)
 
 
 @query
 def sales_summary(spark, folder):
-    return summaries.sales_summary(star.sales(spark, folder))
+    return summaries.sales_summary(star.order_totals(spark, folder))
 
 
 @query
 def sales_summary_completed(spark, folder):
-    return summaries.sales_summary(star.sales(spark, folder), statuses=["Completed"])
+    return summaries.sales_summary(star.order_totals(spark, folder), statuses=["Completed"])
 
 
 @query
 def kpi_status_bands(spark, folder):
-    return metrics.kpi_status(summaries.sales_kpis(star.sales(spark, folder)), STATUS_BANDS)
+    return metrics.kpi_status(summaries.sales_kpis(star.order_totals(spark, folder)), STATUS_BANDS)
 
 
 @query
 def formatted_kpis(spark, folder):
-    s = summaries.sales_summary(star.sales(spark, folder))
+    s = summaries.sales_summary(star.order_totals(spark, folder))
     return s.select(
         text.money_text(F.col("total_revenue")).alias("revenue"),
         text.count_text(F.col("total_orders")).alias("orders"),
@@ -203,17 +205,17 @@ def orders_by_status(spark, folder):
 
 @query
 def sales_by_geography(spark, folder):
-    return summaries.sales_by_geography(star.sales(spark, folder), staging.customers(spark, folder))
+    return summaries.sales_by_geography(star.order_totals(spark, folder), staging.customers(spark, folder))
 
 
 @query
 def approx_customers(spark, folder):
-    return summaries.approx_customers(star.sales(spark, folder))
+    return summaries.approx_customers(star.order_totals(spark, folder))
 
 
 @query
 def basket_size_distribution(spark, folder):
-    return summaries.basket_size_distribution(star.sales(spark, folder))
+    return summaries.basket_size_distribution(star.order_totals(spark, folder))
 
 
 # --- products -----------------------------------------------------------------------------------------
@@ -292,12 +294,12 @@ def recommend_als(spark, folder):
 
 def _daily(spark, folder):
     days = calendar.dim_date_of(staging.orders(spark, folder), "order_date")
-    return trends.daily_revenue(star.sales(spark, folder), days)
+    return trends.daily_revenue(star.order_totals(spark, folder), days)
 
 
 @query
 def monthly_growth(spark, folder):
-    return summaries.revenue_growth(trends.monthly_revenue(star.sales(spark, folder)))
+    return summaries.revenue_growth(trends.monthly_revenue(star.order_totals(spark, folder)))
 
 
 @query
@@ -312,12 +314,12 @@ def running_revenue(spark, folder):
 
 @query
 def forecast_seasonal_naive(spark, folder):
-    return trends.forecast_seasonal_naive(trends.monthly_revenue(star.sales(spark, folder)))
+    return trends.forecast_seasonal_naive(trends.monthly_revenue(star.order_totals(spark, folder)))
 
 
 @query
 def forecast_linear(spark, folder):
-    return trends.forecast_linear(trends.monthly_revenue(star.sales(spark, folder)))
+    return trends.forecast_linear(trends.monthly_revenue(star.order_totals(spark, folder)))
 
 
 @query
@@ -346,7 +348,7 @@ def order_outliers(spark, folder):
 
 @query
 def customer_features(spark, folder):
-    return features.customer_features(star.sales(spark, folder))
+    return features.customer_features(star.order_totals(spark, folder))
 
 
 @query
@@ -356,54 +358,54 @@ def product_features(spark, folder):
 
 @query
 def customer_features_wide(spark, folder):
-    long = features.customer_features(star.sales(spark, folder))
+    long = features.customer_features(star.order_totals(spark, folder))
     return features.to_wide(long, "customer_id", features.CUSTOMER_FEATURES)
 
 
 @query
 def rfm_values(spark, folder):
-    return segments.rfm_values(star.sales(spark, folder), AS_OF)
+    return segments.rfm_values(star.order_totals(spark, folder), AS_OF)
 
 
 @query
 def rfm_scores(spark, folder):
-    return segments.rfm_scores(segments.rfm_values(star.sales(spark, folder), AS_OF))
+    return segments.rfm_scores(segments.rfm_values(star.order_totals(spark, folder), AS_OF))
 
 
 @query
 def customer_segments(spark, folder):
-    return segments.customer_segments(star.sales(spark, folder), AS_OF)
+    return segments.customer_segments(star.order_totals(spark, folder), AS_OF)
 
 
 @query
 def customer_segment_summary(spark, folder):
-    return segments.customer_segment_summary(segments.customer_segments(star.sales(spark, folder), AS_OF))
+    return segments.customer_segment_summary(segments.customer_segments(star.order_totals(spark, folder), AS_OF))
 
 
 @query
 def customer_ltv(spark, folder):
-    return segments.customer_ltv(star.sales(spark, folder), AS_OF)
+    return segments.customer_ltv(star.order_totals(spark, folder), AS_OF)
 
 
 @query
 def behavior_clusters(spark, folder):
-    return models.behavior_clusters(segments.rfm_values(star.sales(spark, folder), AS_OF))
+    return models.behavior_clusters(segments.rfm_values(star.order_totals(spark, folder), AS_OF))
 
 
 @query
 def churn_labels(spark, folder):
-    return segments.churn_labels(star.sales(spark, folder), CHURN_CUT)
+    return segments.churn_labels(star.order_totals(spark, folder), CHURN_CUT)
 
 
 @query
 def churn_scores(spark, folder):
-    labels = cut_lineage(segments.churn_labels(star.sales(spark, folder), CHURN_CUT))
+    labels = cut_lineage(segments.churn_labels(star.order_totals(spark, folder), CHURN_CUT))
     return models.churn_scores(models.fit_churn(labels), labels)
 
 
 @query
 def cohort_retention(spark, folder):
-    return segments.cohort_retention(star.sales(spark, folder))
+    return segments.cohort_retention(star.order_totals(spark, folder))
 
 
 @query
@@ -463,7 +465,7 @@ def business_alerts(spark, folder):
     return alerts.business_alerts(
         _daily(spark, folder),
         metrics.conversion_funnel(staging.events(spark, folder)),
-        segments.customer_segments(star.sales(spark, folder), AS_OF),
+        segments.customer_segments(star.order_totals(spark, folder), AS_OF),
         conversion_floor=0.8,
     )
 

@@ -8,13 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.functions.money import dbl
-from salesloom.operators.facts import sales_lines
+from salesloom.operators import facts, summaries
 from salesloom.sources import staging
 
 
 def sales(spark: SparkSession, folder: str, with_tax: bool = False) -> DataFrame:
-    raw = staging.load_raw(spark, folder, with_tax)
-    return sales_lines(raw.order_items, raw.orders, raw.customers, raw.products)
+    """Sales lines with order and customer columns."""
+    raw = staging.load_raw(spark, folder)
+    tax = raw.order_tax if with_tax else None
+    return facts.sales_lines(raw.order_items, raw.orders, raw.customers, raw.products, tax=tax)
+
+
+def order_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order."""
+    raw = staging.load_raw(spark, folder)
+    return summaries.order_totals_of(
+        facts.priced_lines(raw.order_items, raw.products),
+        facts.dated_orders(raw.orders),
+        facts.buyers(raw.customers),
+    )
 
 
 def product_snapshots(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,6 +21,7 @@ class Staging:
     orders: DataFrame
     order_items: DataFrame
     events: DataFrame
+    order_tax: DataFrame | None = None
 
 
 def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -87,24 +88,22 @@ def order_tax(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, folder: str, with_tax: bool = False) -> DataFrame:
-    """Orders; the tax needs a pass over the lines, so it is added only on request."""
+def orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders without their tax, which ``order_tax`` sums from the lines."""
     status = F.col("o_orderstatus")
     for code, name in STATUS_NAMES.items():
         status = F.when(F.col("o_orderstatus") == code, F.lit(name)).otherwise(status)
-    base = scan(spark, folder, "orders").select(
+    return scan(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("order_date"),
         status.alias("order_status"),
         F.col("o_orderpriority").alias("payment_method"),
         money("o_totalprice").alias("total_amount"),
+        F.lit(None).cast(schemas.MONEY).alias("tax_amount"),
         (F.lit(5) + F.col("o_orderkey") % 20).cast("decimal(10,2)").alias("shipping_cost"),
         F.lit("USD").alias("currency"),
     )
-    if with_tax:
-        return base.join(order_tax(spark, folder), "order_id", "left")
-    return base.withColumn("tax_amount", F.lit(None).cast(schemas.MONEY))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,11 +123,12 @@ def parse_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def load_raw(spark: SparkSession, folder: str, with_tax: bool = False) -> Staging:
+def load_raw(spark: SparkSession, folder: str) -> Staging:
     return Staging(
         customers=customers(spark, folder),
         products=products(spark, folder),
-        orders=orders(spark, folder, with_tax),
+        orders=orders(spark, folder),
         order_items=order_items(spark, folder),
         events=events(spark, folder),
+        order_tax=order_tax(spark, folder),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from salesloom.operators.load import upsert
-from salesloom.operators.summaries import daily_sales_summary
+from salesloom.operators.summaries import daily_sales_summary, order_totals
 from salesloom.session import scratch_path
 
 DAILY_FIGURES = (
@@ -102,7 +102,7 @@ def daily_summary_merger(spark: SparkSession, root: str) -> Callable[[DataFrame,
         known = spark.read.schema(schema).parquet(lines)
         known = known.filter(F.col("batch_id") <= batch_id)
         days = known.filter(F.col("batch_id") == batch_id).select("order_day").distinct()
-        fresh = daily_sales_summary(known.join(days, "order_day", "left_semi"))
+        fresh = daily_sales_summary(order_totals(known.join(days, "order_day", "left_semi")))
         if batch_id > 0:
             before = spark.read.parquet(f"{root}/daily/batch={batch_id - 1}")
             fresh = upsert(before, fresh, ["date"], DAILY_FIGURES)
