@@ -1,24 +1,73 @@
-"""Exact money arithmetic: decimals inside, doubles only for output."""
+"""Exact money. Tables hold DECIMAL; lines are priced and summed as BIGINT cents.
+
+Decimal division and sums allocate an object per row, integer arithmetic does not. Everything is exact
+either way: rounding is half away from zero, products too long for BIGINT take the decimal road, and
+an overflowing sum raises.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from salesloom.schemas import MONEY, PERCENT, TOTAL
 
-from salesloom.schemas import MONEY, PERCENT
+_SAFE = 2_000_000_000  # twice the product of two such factors still fits BIGINT
+_HUNDREDTH = ("0.01", "decimal(2,2)")
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def dbl(c: Column | str) -> Column:
+    return col(c).cast("double")
+
+
 def money(c: Column | str) -> Column:
     """To DECIMAL(12,2), rounding half up."""
     return col(c).cast(MONEY)
 
 
-def dbl(c: Column | str) -> Column:
-    return col(c).cast("double")
+def hundredths(df: DataFrame, column: str) -> Column:
+    """A DOUBLE or DECIMAL column as a whole number of hundredths (cents, basis points)."""
+    c = F.col(column)
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        size = (F.abs(c) * 100 + F.lit(0.5)).cast("bigint")
+        return F.when(c < 0, -size).otherwise(size)
+    return (c.cast("decimal(20,2)") * F.lit(100).cast("decimal(3,0)")).cast("bigint")
+
+
+def divide_half_up(num: Column, den: Column) -> Column:
+    """Integer quotient rounded half away from zero; NULL for a zero divisor."""
+    d = F.nullif(F.abs(den), F.lit(0))
+    size = F.call_function("div", F.abs(num) * 2 + d, d * 2)
+    return F.when((num < 0) != (den < 0), -size).otherwise(size)
+
+
+def scaled(amount: Column, num: Column, den: Column) -> Column:
+    """``amount * num / den`` on integers, rounded half away from zero; NULL for a zero divisor."""
+    wide = (amount.cast("decimal(19,0)") * num.cast("decimal(19,0)")).cast("decimal(28,0)")
+    exact = F.try_divide(wide, den.cast("decimal(19,0)"))
+    short = (F.abs(amount) < _SAFE) & (F.abs(num) < _SAFE)
+    return F.when(short, divide_half_up(amount * num, den)).otherwise(F.round(exact, 0).cast("bigint"))
+
+
+def from_cents(c: Column | str, kind: T.DecimalType = TOTAL) -> Column:
+    """Cents (BIGINT or DECIMAL without fraction) as a DECIMAL amount."""
+    value, digits = _HUNDREDTH
+    return (col(c).cast("decimal(20,0)") * F.lit(value).cast(digits)).cast(kind)
+
+
+def dollars(c: Column | str) -> Column:
+    """Cents as a double amount, for ratios."""
+    return dbl(c) / F.lit(100.0)
+
+
+def grand(c: Column | str) -> Column:
+    """Sum of sums: decimal, because a whole warehouse in cents may pass BIGINT."""
+    return F.sum(col(c).cast("decimal(20,0)"))
 
 
 def ratio(num: Column | str, den: Column | str) -> Column:
@@ -42,11 +91,6 @@ def margin_percentage(price: Column | str, cost: Column | str) -> Column:
     return F.round(F.try_divide((p - c) * F.lit(100).cast("decimal(3,0)"), p), 2).cast(PERCENT)
 
 
-def list_cost(total: Column | str, price: Column | str, cost: Column | str) -> Column:
-    """Paid total scaled by the list cost ratio, unrounded; NULL for a zero price."""
-    return F.try_divide(col(total) * col(cost), col(price))
-
-
 def gigabytes(num_bytes: Column | str) -> Column:
     return dbl(num_bytes) / F.lit(float(1 << 30))
 

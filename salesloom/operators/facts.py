@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.dates import date_key
-from salesloom.functions.money import list_cost, margin_percentage, money
-from salesloom.schemas import TOTAL
+from salesloom.functions.money import from_cents, hundredths, scaled
+from salesloom.schemas import MONEY, PERCENT
 
 # Columns of the fact that consumers see; the stored fact also keeps business ids, so that summaries
 # need no key lookup.
@@ -35,22 +35,60 @@ def _present(df: DataFrame, *columns: str) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
+# Amounts of a line in cents, and the contract column and type each becomes.
+AMOUNTS = {
+    "unit_cents": ("unit_price", MONEY),
+    "total_cents": ("total_amount", MONEY),
+    "cost_cents": ("cost_amount", MONEY),
+    "profit_cents": ("profit_amount", MONEY),
+    "margin_points": ("margin_percentage", PERCENT),
+    "discount_cents": ("discount_amount", MONEY),
+}
+
+
 def priced_lines(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Order lines of known products, each amount rounded to the cent."""
-    goods = products.select("product_id", "price", "cost", *_present(products, "product_key"))
-    line_cost = list_cost("total_price", "price", "cost")
-    discount = F.col("total_price") * F.col("discount_percentage") / F.lit(100).cast("decimal(3,0)")
-    return items.join(goods, "product_id").select(
+    """Order lines of known products, each amount rounded to the cent.
+
+    The list cost ratio is applied to the paid total; the discount is informational, revenue includes it.
+    """
+    goods = products.select(
+        "product_id",
+        hundredths(products, "price").alias("_price"),
+        hundredths(products, "cost").alias("_cost"),
+        *_present(products, "product_key"),
+    )
+    price, cost, paid = F.col("_price"), F.col("_cost"), F.col("total_cents")
+    lines = items.withColumns(
+        {
+            "unit_cents": hundredths(items, "unit_price"),
+            "total_cents": hundredths(items, "total_price"),
+            "_discount": hundredths(items, "discount_percentage"),
+        }
+    )
+    goods = goods.withColumn("margin_points", scaled(price - cost, F.lit(10000), price))
+    return lines.join(goods, "product_id").select(
         "order_id",
         "product_id",
         *_present(products, "product_key"),
         "quantity",
-        "unit_price",
-        F.col("total_price").alias("total_amount"),
-        money(line_cost).alias("cost_amount"),
-        money(F.col("total_price") - line_cost).alias("profit_amount"),
-        margin_percentage("price", "cost").alias("margin_percentage"),
-        money(discount).alias("discount_amount"),
+        "unit_cents",
+        "total_cents",
+        scaled(paid, cost, price).alias("cost_cents"),
+        scaled(paid, price - cost, price).alias("profit_cents"),
+        "margin_points",
+        scaled(paid, F.col("_discount"), F.lit(10000)).alias("discount_cents"),
+    )
+
+
+def with_amounts(lines: DataFrame) -> DataFrame:
+    """Cents to the DECIMAL columns of the fact."""
+    return lines.withColumns({name: from_cents(c, kind) for c, (name, kind) in AMOUNTS.items()}).drop(*AMOUNTS)
+
+
+def with_cents(fact: DataFrame) -> DataFrame:
+    """The fact's DECIMAL columns back to cents, for summing."""
+    return fact.withColumns({c: hundredths(fact, name) for c, (name, _) in AMOUNTS.items()}).drop(
+        *[name for name, _ in AMOUNTS.values()]
     )
 
 
@@ -119,7 +157,7 @@ def fact_sales(
     lines = sales_lines(
         items, orders, dim_customers.filter("current_flag"), dim_products.filter("current_flag"), start, end, tax
     )
-    return lines.withColumn("date_key", date_key("order_day"))
+    return with_amounts(lines).withColumn("date_key", date_key("order_day"))
 
 
 def append_facts(fact: DataFrame, batch: DataFrame) -> DataFrame:
@@ -138,6 +176,6 @@ def point_in_time(sales: DataFrame, versions: DataFrame, business_id: str) -> Da
 
 def allocate_order_cost(sales: DataFrame, amount: str, name: str) -> DataFrame:
     """Spreads an order-level amount over the lines by their share of the order's total."""
-    totals = sales.groupBy("order_id").agg(F.sum("total_amount").cast(TOTAL).alias("_order_total"))
-    share = F.try_divide(F.col(amount) * F.col("total_amount"), F.col("_order_total"))
-    return sales.join(totals, "order_id").withColumn(name, money(share)).drop("_order_total")
+    totals = sales.groupBy("order_id").agg(F.sum("total_cents").alias("_order_cents"))
+    part = scaled(hundredths(sales, amount), F.col("total_cents"), F.col("_order_cents"))
+    return sales.join(totals, "order_id").withColumn(name, from_cents(part, MONEY)).drop("_order_cents")

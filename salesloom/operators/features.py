@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.functions.money import ratio
-from salesloom.operators.summaries import per_customer, total
+from salesloom.functions.money import dollars, from_cents, ratio
+from salesloom.operators.summaries import per_customer
 from salesloom.schemas import FEATURE
 
 CUSTOMER_FEATURES = ("total_spent", "total_orders", "avg_order_value")
@@ -29,15 +29,15 @@ def customer_features(totals: DataFrame) -> DataFrame:
     """One aggregation for all three features; the average is per line, as the feature is defined."""
     wide = per_customer(totals).select(
         "customer_id",
-        F.col("revenue").alias("total_spent"),
+        from_cents("revenue_cents").alias("total_spent"),
         F.col("orders").alias("total_orders"),
-        ratio("revenue", "lines").alias("avg_order_value"),
+        ratio(dollars("revenue_cents"), "lines").alias("avg_order_value"),
     )
     return to_long(wide, "customer_id", CUSTOMER_FEATURES)
 
 
 def product_features(sales: DataFrame) -> DataFrame:
     wide = sales.groupBy("product_id").agg(
-        total("total_amount").alias("total_sales"), F.sum("quantity").alias("total_quantity_sold")
+        from_cents(F.sum("total_cents")).alias("total_sales"), F.sum("quantity").alias("total_quantity_sold")
     )
     return to_long(wide, "product_id", PRODUCT_FEATURES)

@@ -11,22 +11,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.functions.money import dbl, ratio
+from salesloom.functions.money import dollars, from_cents, grand, ratio
 from salesloom.operators.ordering import with_running_sum
-from salesloom.operators.summaries import total
 
 METRICS = ("revenue", "quantity", "orders", "profit")
 
 
 def per_product(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("product_id").agg(
-        total("total_amount").alias("revenue"),
-        total("profit_amount").alias("profit"),
+    sums = sales.groupBy("product_id").agg(
+        F.sum("total_cents").alias("revenue_cents"),
+        F.sum("profit_cents").alias("_profit"),
         F.sum("quantity").alias("quantity"),
         F.count_distinct("order_id").alias("orders"),
-        (dbl(F.sum("margin_percentage")) / F.count("margin_percentage")).alias("avg_margin"),
+        F.sum("margin_points").alias("_margin"),
+        F.count("margin_points").alias("_lines"),
         F.max("order_day").alias("last_sale_date"),
     )
+    return sums.select(
+        "product_id",
+        "revenue_cents",
+        from_cents("revenue_cents").alias("revenue"),
+        from_cents("_profit").alias("profit"),
+        "quantity",
+        "orders",
+        ratio(dollars("_margin"), "_lines").alias("avg_margin"),
+        "last_sale_date",
+    )
 
 
 def review_stats(reviews: DataFrame) -> DataFrame:
@@ -108,7 +118,9 @@ def top_products_per_category(
 
 def slow_movers(sales: DataFrame, products: DataFrame, limit: int = 20) -> DataFrame:
     """Least revenue first, products without a sale included."""
-    sold = per_product(sales).select("product_id", "revenue", "quantity")
+    sold = sales.groupBy("product_id").agg(
+        F.sum("total_cents").alias("_cents"), F.sum("quantity").alias("quantity")
+    )
     return (
         products.select("product_id", "product_name", "category")
         .join(sold, "product_id", "left")
@@ -116,7 +128,7 @@ def slow_movers(sales: DataFrame, products: DataFrame, limit: int = 20) -> DataF
             "product_id",
             "product_name",
             "category",
-            F.coalesce("revenue", F.lit(0).cast("decimal(18,2)")).alias("revenue"),
+            from_cents(F.coalesce("_cents", F.lit(0))).alias("revenue"),
             F.coalesce("quantity", F.lit(0)).alias("quantity"),
         )
         .orderBy("revenue", "product_id")
@@ -131,23 +143,25 @@ def revenue_by_category(
     top_n: int | None = None,
 ) -> DataFrame:
     """Revenue and share per category over all products, or over the ``top_n`` best sellers."""
-    sold = sales.groupBy("product_id").agg(total("total_amount").alias("revenue"))
+    sold = sales.groupBy("product_id").agg(F.sum("total_cents").alias("cents"))
     if top_n is not None:
-        sold = sold.orderBy(F.col("revenue").desc(), "product_id").limit(top_n)
+        sold = sold.orderBy(F.col("cents").desc(), "product_id").limit(top_n)
     kinds = products.select("product_id", "category")
     if categories is not None:
         kinds = kinds.filter(F.col("category").isin(list(categories)))
-    out = sold.join(kinds, "product_id").groupBy("category").agg(total("revenue").alias("revenue"))
-    # One row per category reaches this window.
-    return out.withColumn("share", ratio(F.col("revenue"), F.sum("revenue").over(Window.partitionBy())))
+    out = sold.join(kinds, "product_id").groupBy("category").agg(grand("cents").alias("_cents"))
+    every = F.sum("_cents").over(Window.partitionBy())  # one row per category reaches this window
+    return out.select(
+        "category", from_cents("_cents").alias("revenue"), ratio(dollars("_cents"), dollars(every)).alias("share")
+    )
 
 
 def abc_products(
     sales: DataFrame, products: DataFrame, a_percent: int = 80, b_percent: int = 95
 ) -> DataFrame:
     """Class by cumulative revenue share, largest product first."""
-    sold = sales.groupBy("product_id").agg(total("total_amount").alias("revenue"))
-    run = with_running_sum(sold, [F.col("revenue").desc(), F.col("product_id")], "revenue", "_cum", "_all")
+    sold = sales.groupBy("product_id").agg(F.sum("total_cents").cast("decimal(20,0)").alias("cents"))
+    run = with_running_sum(sold, [F.col("cents").desc(), F.col("product_id")], "cents", "_cum", "_all")
     reached = F.col("_cum") * 100
     grade = (
         F.when(reached <= F.col("_all") * a_percent, "A")
@@ -155,6 +169,9 @@ def abc_products(
         .otherwise("C")
     )
     graded = run.select(
-        "product_id", "revenue", ratio("_cum", "_all").alias("cumulative_share"), grade.alias("abc_class")
+        "product_id",
+        from_cents("cents").alias("revenue"),
+        ratio(dollars("_cum"), dollars("_all")).alias("cumulative_share"),
+        grade.alias("abc_class"),
     )
     return graded.join(products.select("product_id", "category"), "product_id")

@@ -10,8 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.functions.money import ratio
-from salesloom.operators.summaries import total
+from salesloom.functions.money import hundredths, ratio
 
 
 def _stack(parts: Sequence[DataFrame]) -> DataFrame:
@@ -159,16 +158,17 @@ def completeness(tables: Mapping[str, DataFrame]) -> DataFrame:
 def consistency(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
     """Shipping before ordering, order totals against their lines, orders before registration."""
     lines = items.groupBy("order_id", "ship_date").agg(
-        F.count(F.lit(1)).alias("n"), total("total_price").alias("amount")
+        F.count(F.lit(1)).alias("n"), F.sum(hundredths(items, "total_price")).alias("cents")
     )
-    dated = lines.join(orders.select("order_id", "order_date", "total_amount"), "order_id")
+    due = orders.select("order_id", "order_date", hundredths(orders, "total_amount").alias("due_cents"))
+    dated = lines.join(due, "order_id")
     early = dated.agg(
         F.sum("n").alias("checked"),
         F.coalesce(F.sum(F.when(F.col("ship_date") < F.col("order_date"), F.col("n"))), F.lit(0)).alias("failed"),
     ).select(F.lit("order_items.shipped_after_order").alias("rule"), "*")
-    sums = dated.groupBy("order_id", "total_amount").agg(total("amount").alias("amount"))
+    sums = dated.groupBy("order_id", "due_cents").agg(F.sum("cents").alias("cents"))
     totals = sums.agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(F.col("amount") != F.col("total_amount")).alias("failed")
+        F.count(F.lit(1)).alias("checked"), F.count_if(F.col("cents") != F.col("due_cents")).alias("failed")
     ).select(F.lit("orders.total_is_sum_of_items").alias("rule"), "*")
     known = orders.join(customers.select("customer_id", "registration_date"), "customer_id")
     registered = known.agg(

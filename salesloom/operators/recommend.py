@@ -79,7 +79,7 @@ def purchase_counts(sales: DataFrame) -> DataFrame:
 def category_candidates(sales: DataFrame, products: DataFrame, per_category: int) -> DataFrame:
     """Each customer with the best sellers of the category they spend most in."""
     kinds = products.select("product_id", "category")
-    spend = sales.groupBy("customer_id", "product_id").agg(F.sum("total_amount").alias("spent"))
+    spend = sales.groupBy("customer_id", "product_id").agg(F.sum("total_cents").alias("spent"))
     by_kind = spend.join(kinds, "product_id").groupBy("customer_id", "category").agg(F.sum("spent").alias("spent"))
     favourite = by_kind.groupBy("customer_id").agg(
         F.max_by("category", F.struct("spent", "category")).alias("category")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.dates import month_index
-from salesloom.functions.money import dbl, ratio
+from salesloom.functions.money import dbl, dollars, from_cents, grand, ratio
 from salesloom.operators.ordering import with_tile
-from salesloom.operators.summaries import per_customer, total
+from salesloom.operators.summaries import per_customer
+from salesloom.schemas import TOTAL
 
 
 def rfm_values(totals: DataFrame, as_of: dt.date) -> DataFrame:
@@ -18,7 +19,7 @@ def rfm_values(totals: DataFrame, as_of: dt.date) -> DataFrame:
         "customer_id",
         F.date_diff(F.lit(as_of), "last_day").alias("recency_days"),
         F.col("orders").alias("frequency"),
-        F.col("revenue").alias("monetary"),
+        from_cents("revenue_cents").alias("monetary"),
     )
 
 
@@ -51,9 +52,9 @@ def customer_ltv(totals: DataFrame, as_of: dt.date) -> DataFrame:
     tenure = F.greatest(F.date_diff(F.lit(as_of), "first_day"), F.lit(30))
     return per_customer(totals).select(
         "customer_id",
-        F.col("profit").alias("profit_to_date"),
+        from_cents("profit_cents").alias("profit_to_date"),
         tenure.alias("tenure_days"),
-        (dbl("profit") / dbl(tenure) * F.lit(365.0)).alias("lifetime_value"),
+        (dollars("profit_cents") / dbl(tenure) * F.lit(365.0)).alias("lifetime_value"),
     )
 
 
@@ -65,9 +66,9 @@ def customer_segments(totals: DataFrame, as_of: dt.date) -> DataFrame:
         "customer_id",
         F.date_diff(F.lit(as_of), "last_day").alias("recency_days"),
         F.col("orders").alias("frequency"),
-        F.col("revenue").alias("monetary"),
+        from_cents("revenue_cents").alias("monetary"),
         F.col("last_day").alias("last_order_date"),
-        (dbl("profit") / dbl(tenure) * F.lit(365.0)).alias("lifetime_value"),
+        (dollars("profit_cents") / dbl(tenure) * F.lit(365.0)).alias("lifetime_value"),
     )
     scored = rfm_scores(values)
     return scored.select(
@@ -88,7 +89,7 @@ def customer_segment_summary(segments: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.sum("total_orders").alias("_orders"),
-            total("total_spent").alias("total_value"),
+            F.sum("total_spent").cast(TOTAL).alias("total_value"),
         )
         .select(
             "segment",
@@ -110,7 +111,7 @@ def churn_labels(totals: DataFrame, cut: dt.date, horizon_days: int = 180) -> Da
         .groupBy("customer_id")
         .agg(
             F.count_if(known).alias("frequency"),
-            total(F.when(known, F.col("revenue"))).alias("monetary"),
+            from_cents(F.sum(F.when(known, F.col("revenue_cents")))).alias("monetary"),
             F.date_diff(F.lit(cut), F.max(F.when(known, day))).alias("recency_days"),
             F.date_diff(F.lit(cut), F.min(F.when(known, day))).alias("tenure_days"),
             F.count_if(~known).alias("_later"),
@@ -124,11 +125,11 @@ def churn_labels(totals: DataFrame, cut: dt.date, horizon_days: int = 180) -> Da
 def cohort_retention(totals: DataFrame) -> DataFrame:
     """Customers active by month since their first; the window sees at most one row per customer and month."""
     month = F.trunc("order_day", "month")
-    active = totals.groupBy("customer_id", month.alias("month")).agg(total("revenue").alias("revenue"))
+    active = totals.groupBy("customer_id", month.alias("month")).agg(F.sum("revenue_cents").alias("cents"))
     cohort = F.min("month").over(Window.partitionBy("customer_id"))
     return (
         active.withColumn("cohort", cohort)
         .withColumn("months_since", month_index("month") - month_index("cohort"))
         .groupBy("cohort", "months_since")
-        .agg(F.count(F.lit(1)).alias("customers"), total("revenue").alias("revenue"))
+        .agg(F.count(F.lit(1)).alias("customers"), from_cents(grand("cents")).alias("revenue"))
     )

@@ -14,20 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.dates import period_start
-from salesloom.functions.money import dbl, ratio, ratio_at_least_one, ratio_or_zero
+from salesloom.functions.money import dbl, dollars, from_cents, grand, ratio, ratio_at_least_one, ratio_or_zero
 from salesloom.schemas import TOTAL
 
 
-def total(c: Column | str) -> Column:
-    return F.sum(c).cast(TOTAL)
-
-
 def _line_sums() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("lines"),
         F.sum("quantity").alias("quantity"),
-        total("total_amount").alias("revenue"),
-        total("profit_amount").alias("profit"),
+        F.sum("total_cents").alias("revenue_cents"),
+        F.sum("profit_cents").alias("profit_cents"),
     ]
 
 
@@ -55,8 +51,8 @@ def per_customer(totals: DataFrame, *extra: Column) -> DataFrame:
     return totals.groupBy("customer_id", "registration_date", *extra).agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum("lines").alias("lines"),
-        total("revenue").alias("revenue"),
-        total("profit").alias("profit"),
+        F.sum("revenue_cents").alias("revenue_cents"),
+        F.sum("profit_cents").alias("profit_cents"),
         F.min("order_day").alias("first_day"),
         F.max("order_day").alias("last_day"),
     )
@@ -65,60 +61,70 @@ def per_customer(totals: DataFrame, *extra: Column) -> DataFrame:
 def daily_sales_summary(totals: DataFrame) -> DataFrame:
     registered = F.col("registration_date")
     day = F.col("order_day")
-    return (
-        per_customer(totals, day)
-        .groupBy(day.alias("date"))
-        .agg(
-            F.sum("orders").alias("total_orders"),
-            total("revenue").alias("total_revenue"),
-            total("profit").alias("total_profit"),
-            F.sum("lines").alias("_lines"),
-            F.count(F.lit(1)).alias("total_customers"),
-            F.count_if(registered == day).alias("new_customers"),
-            F.count_if(registered < day).alias("repeat_customers"),
-        )
-        .withColumn("avg_line_value", ratio("total_revenue", "_lines"))
-        .withColumn("avg_order_value", ratio("total_revenue", "total_orders"))
-        .drop("_lines")
+    daily = per_customer(totals, day).groupBy(day.alias("date")).agg(
+        F.sum("orders").alias("total_orders"),
+        grand("revenue_cents").alias("_revenue"),
+        grand("profit_cents").alias("_profit"),
+        F.sum("lines").alias("_lines"),
+        F.count(F.lit(1)).alias("total_customers"),
+        F.count_if(registered == day).alias("new_customers"),
+        F.count_if(registered < day).alias("repeat_customers"),
+    )
+    return daily.select(
+        "date",
+        "total_orders",
+        from_cents("_revenue").alias("total_revenue"),
+        from_cents("_profit").alias("total_profit"),
+        ratio(dollars("_revenue"), "_lines").alias("avg_line_value"),
+        ratio(dollars("_revenue"), "total_orders").alias("avg_order_value"),
+        "total_customers",
+        "new_customers",
+        "repeat_customers",
     )
 
 
 def monthly_sales_trend(totals: DataFrame, calendar: DataFrame) -> DataFrame:
     """Summed per day first, so that only one row per day meets the calendar."""
-    daily = (
-        totals.groupBy(F.col("order_day").alias("full_date"))
-        .agg(
-            F.count(F.lit(1)).alias("orders"),
-            F.sum("lines").alias("lines"),
-            total("revenue").alias("revenue"),
-            total("profit").alias("profit"),
-        )
+    daily = totals.groupBy(F.col("order_day").alias("full_date")).agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum("lines").alias("lines"),
+        grand("revenue_cents").alias("revenue"),
+        grand("profit_cents").alias("profit"),
     )
-    return (
+    monthly = (
         daily.join(calendar.select("full_date", "year", "month", "month_name"), "full_date")
         .groupBy("year", "month", "month_name")
         .agg(
             F.sum("orders").alias("total_orders"),
-            total("revenue").alias("total_revenue"),
-            total("profit").alias("total_profit"),
+            grand("revenue").alias("_revenue"),
+            grand("profit").alias("_profit"),
             F.sum("lines").alias("_lines"),
         )
-        .withColumn("avg_line_value", ratio("total_revenue", "_lines"))
-        .drop("_lines")
+    )
+    return monthly.select(
+        "year",
+        "month",
+        "month_name",
+        "total_orders",
+        from_cents("_revenue").alias("total_revenue"),
+        from_cents("_profit").alias("total_profit"),
+        ratio(dollars("_revenue"), "_lines").alias("avg_line_value"),
     )
 
 
 def sales_trend(totals: DataFrame, granularity: str = "daily") -> DataFrame:
     period = period_start("order_day", granularity).alias("period")
-    return (
-        per_customer(totals, period)
-        .groupBy("period")
-        .agg(
-            total("revenue").alias("revenue"),
-            F.sum("orders").alias("orders"),
-            F.count(F.lit(1)).alias("customers"),
-        )
-        .withColumn("avg_order_value", ratio_at_least_one("revenue", "orders"))
+    by_period = per_customer(totals, period).groupBy("period").agg(
+        grand("revenue_cents").alias("_revenue"),
+        F.sum("orders").alias("orders"),
+        F.count(F.lit(1)).alias("customers"),
+    )
+    return by_period.select(
+        "period",
+        from_cents("_revenue").alias("revenue"),
+        "orders",
+        "customers",
+        ratio_at_least_one(dollars("_revenue"), "orders").alias("avg_order_value"),
     )
 
 
@@ -153,19 +159,26 @@ def sales_summary(
     chosen = with_statuses(in_range(totals, "order_day", start, end), statuses)
     daily = per_customer(chosen, F.col("order_day"))
     each = daily.groupBy("customer_id").agg(
-        total("revenue").alias("revenue"), F.sum("orders").alias("orders"), F.count(F.lit(1)).alias("days")
+        F.sum("revenue_cents").alias("revenue"), F.sum("orders").alias("orders"), F.count(F.lit(1)).alias("days")
     )
-    return each.agg(
-        F.coalesce(total("revenue"), F.lit(0).cast(TOTAL)).alias("total_revenue"),
+    one = each.agg(
+        F.coalesce(grand("revenue"), F.lit(0)).alias("_revenue"),
         F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
         F.count(F.lit(1)).alias("total_customers"),
         F.coalesce(F.sum("days"), F.lit(0)).alias("customer_days"),
-    ).withColumn("avg_order_value", ratio_or_zero("total_revenue", "total_orders"))
+    )
+    return one.select(
+        from_cents("_revenue").alias("total_revenue"),
+        "total_orders",
+        "total_customers",
+        "customer_days",
+        ratio_or_zero(dollars("_revenue"), "total_orders").alias("avg_order_value"),
+    )
 
 
 def orders_by_status(orders: DataFrame) -> DataFrame:
     return orders.groupBy("order_status", "payment_method").agg(
-        F.count(F.lit(1)).alias("orders"), total("total_amount").alias("amount")
+        F.count(F.lit(1)).alias("orders"), F.sum("total_amount").cast(TOTAL).alias("amount")
     )
 
 
@@ -181,11 +194,11 @@ def sales_by_geography(totals: DataFrame, customers: DataFrame) -> DataFrame:
         .join(where, "customer_id")
         .groupBy("country", "state")
         .agg(
-            total("revenue").alias("r"), F.sum("orders").alias("o"), F.count(F.lit(1)).alias("c")
+            grand("revenue_cents").alias("r"), F.sum("orders").alias("o"), F.count(F.lit(1)).alias("c")
         )
     )
     rolled = states.rollup("country", "state").agg(
-        total("r").alias("revenue"),
+        from_cents(grand("r")).alias("revenue"),
         F.sum("o").alias("orders"),
         F.sum("c").alias("customers"),
         F.grouping("country").alias("_all_countries"),

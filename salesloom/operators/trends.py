@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.dates import month_index
-from salesloom.functions.money import dbl, ratio
-from salesloom.operators.summaries import total
+from salesloom.functions.money import dbl, from_cents, grand, ratio
 
 
 def daily_revenue(totals: DataFrame, calendar: DataFrame) -> DataFrame:
     """Revenue of every calendar day, 0 where nothing was sold."""
-    sold = totals.groupBy(F.col("order_day").alias("full_date")).agg(total("revenue").alias("revenue"))
+    sold = totals.groupBy(F.col("order_day").alias("full_date")).agg(grand("revenue_cents").alias("_cents"))
     return calendar.select("full_date").join(sold, "full_date", "left").select(
         F.col("full_date").alias("date"),
-        F.coalesce("revenue", F.lit(0).cast("decimal(18,2)")).alias("revenue"),
+        from_cents(F.coalesce("_cents", F.lit(0))).alias("revenue"),
     )
 
 
@@ -43,7 +42,9 @@ def first_periods(trend: DataFrame, limit: int = 30) -> DataFrame:
 
 
 def monthly_revenue(totals: DataFrame) -> DataFrame:
-    return totals.groupBy(F.trunc("order_day", "month").alias("period")).agg(total("revenue").alias("revenue"))
+    return totals.groupBy(F.trunc("order_day", "month").alias("period")).agg(
+        from_cents(grand("revenue_cents")).alias("revenue")
+    )
 
 
 def _months(monthly: DataFrame, ahead: int) -> DataFrame:
@@ -108,11 +109,11 @@ def forecast_error(forecast: DataFrame, model: str) -> DataFrame:
 
 def category_days(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Revenue per category and day; lines are summed per product and day before the lookup."""
-    sold = sales.groupBy("product_id", "order_day").agg(total("total_amount").alias("revenue"))
+    sold = sales.groupBy("product_id", "order_day").agg(F.sum("total_cents").alias("cents"))
     return (
         sold.join(products.select("product_id", "category"), "product_id")
         .groupBy("category", F.col("order_day").alias("date"))
-        .agg(total("revenue").alias("revenue"))
+        .agg(from_cents(grand("cents")).alias("revenue"))
     )
 
 

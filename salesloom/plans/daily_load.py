@@ -50,7 +50,7 @@ class DailyLoad:
             batch = self._unseen(spark, batch)
         new = self._store(spark, counts, "processed_data", "fact_sales", batch, ["order_month"])
 
-        every = self.fact(spark)
+        every = facts.with_cents(self.fact(spark))
         days = every.join(new.select("order_day").distinct(), "order_day", "left_semi")
         self._merge(spark, counts, "analytics", "daily_sales_summary", summaries.daily_sales_summary(summaries.order_totals(days)), ["date"], DAILY_FIGURES)
         sold = every.join(new.select("product_id").distinct(), "product_id", "left_semi")

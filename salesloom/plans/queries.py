@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.functions import bands, text
+from salesloom.functions.money import from_cents
 from salesloom.functions.text import present
 from salesloom.operators import (
     alerts,
@@ -44,7 +45,7 @@ STATUS_BANDS = {
     "orders": bands.ORDER_BANDS,
     "customers": bands.CUSTOMER_BANDS,
 }
-PRICE_EDGES = tuple(10000.0 * i for i in range(1, 10))
+PRICE_EDGES = tuple(1_000_000 * i for i in range(1, 10))  # cents
 SERIES = ("event_type", "source")
 
 _REGISTRY: dict[str, Query] = {}
@@ -123,7 +124,9 @@ def scd2_products(spark, folder):
 
 @query
 def fact_point_in_time(spark, folder):
-    lines = star.sales(spark, folder).select("order_id", "product_id", "order_day", "total_amount")
+    lines = star.sales(spark, folder).select(
+        "order_id", "product_id", "order_day", from_cents("total_cents").alias("total_amount")
+    )
     return facts.point_in_time(lines, scd2_products(spark, folder), "product_id").drop("expiry_date", "current_flag")
 
 
@@ -131,7 +134,7 @@ def fact_point_in_time(spark, folder):
 def allocated_tax(spark, folder):
     lines = star.sales(spark, folder, with_tax=True)
     return facts.allocate_order_cost(lines, "tax_amount", "allocated_tax").select(
-        "order_id", "product_id", "total_amount", "tax_amount", "allocated_tax"
+        "order_id", "product_id", from_cents("total_cents").alias("total_amount"), "tax_amount", "allocated_tax"
     )
 
 
@@ -411,7 +414,7 @@ def cohort_retention(spark, folder):
 @query
 def feature_drift_psi(spark, folder):
     lines = star.sales(spark, folder)
-    return models.stability_index(lines, "total_amount", F.col("order_day") < F.lit(MODEL_CUT), PRICE_EDGES)
+    return models.stability_index(lines, "total_cents", F.col("order_day") < F.lit(MODEL_CUT), PRICE_EDGES)
 
 
 # --- events -------------------------------------------------------------------------------------------

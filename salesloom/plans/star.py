@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.functions.money import dbl
 from salesloom.operators import facts, summaries
 from salesloom.sources import staging
 
@@ -38,7 +37,7 @@ def product_snapshots(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("product_id", F.trunc("order_date", "quarter").alias("snapshot_date"))
         .agg(F.max("unit_price").alias("unit_price"))
     )
-    price = dbl("unit_price")
+    price = F.col("unit_price")
     band = F.when(price < 5000, "low").when(price < 20000, "middle").otherwise("high")
     return top.select("product_id", "snapshot_date", band.alias("price_band"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
-TOTAL = T.DecimalType(18, 2)
+TOTAL = T.DecimalType(20, 2)
 PERCENT = T.DecimalType(9, 2)
 FEATURE = T.DecimalType(18, 6)
 PRICE = T.DecimalType(10, 2)

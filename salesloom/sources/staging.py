@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom import schemas
-from salesloom.functions.money import money
+from salesloom.functions.money import divide_half_up, from_cents, hundredths, money
 
 # Order status codes of the files.
 STATUS_NAMES = {"F": "Completed", "O": "Pending", "P": "Cancelled"}
@@ -63,28 +63,27 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    total = money("l_extendedprice")
-    quantity = F.col("l_quantity").cast("int")
-    return scan(spark, folder, "lineitem").select(
+    """Lines as the files hold them, totals still DOUBLE; the unit price follows from total and quantity."""
+    lines = scan(spark, folder, "lineitem")
+    unit = divide_half_up(hundredths(lines, "l_extendedprice"), F.col("l_quantity").cast("bigint"))
+    return lines.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
-        quantity.alias("quantity"),
-        money(F.try_divide(total, quantity.cast("decimal(10,0)"))).alias("unit_price"),
-        total.alias("total_price"),
-        (F.col("l_discount").cast("decimal(5,2)") * F.lit(100).cast("decimal(3,0)"))
-        .cast(schemas.PERCENT)
-        .alias("discount_percentage"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        from_cents(unit, schemas.MONEY).alias("unit_price"),
+        F.col("l_extendedprice").alias("total_price"),
+        (F.col("l_discount") * 100).alias("discount_percentage"),
         F.col("l_shipdate").alias("ship_date"),
     )
 
 
 def order_tax(spark: SparkSession, folder: str) -> DataFrame:
     """Order-level tax: the files carry a rate per line."""
-    line_tax = money("l_extendedprice") * F.col("l_tax").cast("decimal(5,2)")
-    return (
-        scan(spark, folder, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("order_id"))
-        .agg(money(F.sum(line_tax)).alias("tax_amount"))
+    lines = scan(spark, folder, "lineitem")
+    line_tax = hundredths(lines, "l_extendedprice") * hundredths(lines, "l_tax")
+    tax = divide_half_up(F.sum(line_tax), F.lit(100))
+    return lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        from_cents(tax, schemas.MONEY).alias("tax_amount")
     )
 
 
