@@ -32,26 +32,33 @@ def money(c: Column | str) -> Column:
 
 def hundredths(df: DataFrame, column: str) -> Column:
     """A DOUBLE or DECIMAL column as a whole number of hundredths (cents, basis points)."""
-    c = F.col(column)
-    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        size = (F.abs(c) * 100 + F.lit(0.5)).cast("bigint")
-        return F.when(c < 0, -size).otherwise(size)
-    return (c.cast("decimal(20,2)") * F.lit(100).cast("decimal(3,0)")).cast("bigint")
+    return F.expr(hundredths_sql(column, df.schema[column].dataType))
 
 
-def divide_half_up(num: Column, den: Column) -> Column:
+def hundredths_sql(c: str, kind: T.DataType) -> str:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        size = f"CAST(abs({c}) * 100 + 0.5D AS BIGINT)"
+        return f"IF({c} < 0, -{size}, {size})"
+    return f"CAST(CAST({c} AS DECIMAL(20,2)) * 100 AS BIGINT)"
+
+
+def divide_half_up_sql(num: str, den: str) -> str:
     """Integer quotient rounded half away from zero; NULL for a zero divisor."""
-    d = F.nullif(F.abs(den), F.lit(0))
-    size = F.call_function("div", F.abs(num) * 2 + d, d * 2)
-    return F.when((num < 0) != (den < 0), -size).otherwise(size)
+    size = f"((abs({num}) * 2 + abs({den})) DIV (nullif(abs({den}), 0) * 2))"
+    return f"IF((({num}) < 0) <> (({den}) < 0), -{size}, {size})"
+
 
+def scaled(amount: str, num: str, den: str) -> Column:
+    """``amount * num / den`` over integer SQL expressions, rounded half away from zero.
 
-def scaled(amount: Column, num: Column, den: Column) -> Column:
-    """``amount * num / den`` on integers, rounded half away from zero; NULL for a zero divisor."""
-    wide = (amount.cast("decimal(19,0)") * num.cast("decimal(19,0)")).cast("decimal(28,0)")
-    exact = F.try_divide(wide, den.cast("decimal(19,0)"))
-    short = (F.abs(amount) < _SAFE) & (F.abs(num) < _SAFE)
-    return F.when(short, divide_half_up(amount * num, den)).otherwise(F.round(exact, 0).cast("bigint"))
+    NULL for a zero divisor.
+    """
+    wide = f"CAST(({amount}) AS DECIMAL(19,0)) * CAST(({num}) AS DECIMAL(19,0))"
+    exact = f"try_divide(CAST({wide} AS DECIMAL(28,0)), CAST(({den}) AS DECIMAL(19,0)))"
+    return F.expr(
+        f"IF(abs({amount}) < {_SAFE} AND abs({num}) < {_SAFE}, "
+        f"{divide_half_up_sql(f'({amount}) * ({num})', den)}, CAST(round({exact}, 0) AS BIGINT))"
+    )
 
 
 def from_cents(c: Column | str, kind: T.DecimalType = TOTAL) -> Column:

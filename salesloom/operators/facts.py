@@ -57,7 +57,6 @@ def priced_lines(items: DataFrame, products: DataFrame) -> DataFrame:
         hundredths(products, "cost").alias("_cost"),
         *_present(products, "product_key"),
     )
-    price, cost, paid = F.col("_price"), F.col("_cost"), F.col("total_cents")
     lines = items.withColumns(
         {
             "unit_cents": hundredths(items, "unit_price"),
@@ -65,7 +64,7 @@ def priced_lines(items: DataFrame, products: DataFrame) -> DataFrame:
             "_discount": hundredths(items, "discount_percentage"),
         }
     )
-    goods = goods.withColumn("margin_points", scaled(price - cost, F.lit(10000), price))
+    goods = goods.withColumn("margin_points", scaled("_price - _cost", "10000", "_price"))
     return lines.join(goods, "product_id").select(
         "order_id",
         "product_id",
@@ -73,10 +72,10 @@ def priced_lines(items: DataFrame, products: DataFrame) -> DataFrame:
         "quantity",
         "unit_cents",
         "total_cents",
-        scaled(paid, cost, price).alias("cost_cents"),
-        scaled(paid, price - cost, price).alias("profit_cents"),
+        scaled("total_cents", "_cost", "_price").alias("cost_cents"),
+        scaled("total_cents", "_price - _cost", "_price").alias("profit_cents"),
         "margin_points",
-        scaled(paid, F.col("_discount"), F.lit(10000)).alias("discount_cents"),
+        scaled("total_cents", "_discount", "10000").alias("discount_cents"),
     )
 
 
@@ -177,5 +176,6 @@ def point_in_time(sales: DataFrame, versions: DataFrame, business_id: str) -> Da
 def allocate_order_cost(sales: DataFrame, amount: str, name: str) -> DataFrame:
     """Spreads an order-level amount over the lines by their share of the order's total."""
     totals = sales.groupBy("order_id").agg(F.sum("total_cents").alias("_order_cents"))
-    part = scaled(hundredths(sales, amount), F.col("total_cents"), F.col("_order_cents"))
-    return sales.join(totals, "order_id").withColumn(name, from_cents(part, MONEY)).drop("_order_cents")
+    part = scaled("_amount_cents", "total_cents", "_order_cents")
+    joined = sales.withColumn("_amount_cents", hundredths(sales, amount)).join(totals, "order_id")
+    return joined.withColumn(name, from_cents(part, MONEY)).drop("_order_cents", "_amount_cents")

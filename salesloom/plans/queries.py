@@ -526,7 +526,7 @@ def stream_user_state(spark, folder):
 
 @query
 def stream_events_by_segment(spark, folder):
-    joined = live.events_by_segment(event_stream(spark, folder), staging.customers(spark, folder))
+    joined = live.events_by_segment(event_stream(spark, folder), staging.buyers(spark, folder))
     return sinks.drain_append(joined, "events_by_segment")
 
 

@@ -13,18 +13,21 @@ from salesloom.sources import staging
 
 def sales(spark: SparkSession, folder: str, with_tax: bool = False) -> DataFrame:
     """Sales lines with order and customer columns."""
-    raw = staging.load_raw(spark, folder)
-    tax = raw.order_tax if with_tax else None
-    return facts.sales_lines(raw.order_items, raw.orders, raw.customers, raw.products, tax=tax)
+    return facts.sales_lines(
+        staging.order_items(spark, folder),
+        staging.orders(spark, folder),
+        staging.buyers(spark, folder),
+        staging.products(spark, folder),
+        tax=staging.order_tax(spark, folder) if with_tax else None,
+    )
 
 
 def order_totals(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order."""
-    raw = staging.load_raw(spark, folder)
     return summaries.order_totals_of(
-        facts.priced_lines(raw.order_items, raw.products),
-        facts.dated_orders(raw.orders),
-        facts.buyers(raw.customers),
+        facts.priced_lines(staging.order_items(spark, folder), staging.products(spark, folder)),
+        facts.dated_orders(staging.orders(spark, folder)),
+        facts.buyers(staging.buyers(spark, folder)),
     )
 
 

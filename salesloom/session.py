@@ -21,7 +21,11 @@ RUNTIME_CONF = {
 
 def build_session(app: str = "salesloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the project's settings; ``conf`` keys use ``__`` for dots."""
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = (
+        SparkSession.builder.appName(app)
+        .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites cost more than planning
+    )
     if master:
         builder = builder.master(master)
     for key, value in RUNTIME_CONF.items():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom import schemas
-from salesloom.functions.money import divide_half_up, from_cents, hundredths, money
+from salesloom.functions.money import divide_half_up_sql, from_cents, hundredths_sql, money
 
 # Order status codes of the files.
 STATUS_NAMES = {"F": "Completed", "O": "Pending", "P": "Cancelled"}
@@ -28,21 +28,32 @@ def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(schemas.FILES[table]).parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+def buyers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers without their address, for what needs no place."""
+    registered = F.date_add(F.lit("1994-07-01").cast("date"), ((F.col("c_custkey") * 37) % 1500).cast("int"))
+    return scan(spark, folder, "customer").select(
+        F.col("c_custkey").alias("customer_id"),
+        F.col("c_name").alias("name"),
+        F.col("c_nationkey").alias("nation_id"),
+        F.col("c_mktsegment").alias("customer_segment"),
+        registered.alias("registration_date"),
+    )
+
+
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     nation = scan(spark, folder, "nation")
     region = scan(spark, folder, "region")
     places = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
-    registered = F.date_add(F.lit("1994-07-01").cast("date"), ((F.col("c_custkey") * 37) % 1500).cast("int"))
     return (
-        scan(spark, folder, "customer")
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        buyers(spark, folder)
+        .join(places, F.col("nation_id") == F.col("n_nationkey"), "left")
         .select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("name"),
+            "customer_id",
+            "name",
             F.col("n_name").alias("state"),
             F.col("r_name").alias("country"),
-            F.col("c_mktsegment").alias("customer_segment"),
-            registered.alias("registration_date"),
+            "customer_segment",
+            "registration_date",
         )
     )
 
@@ -64,9 +75,8 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as the files hold them, totals still DOUBLE; the unit price follows from total and quantity."""
-    lines = scan(spark, folder, "lineitem")
-    unit = divide_half_up(hundredths(lines, "l_extendedprice"), F.col("l_quantity").cast("bigint"))
-    return lines.select(
+    unit = F.expr(divide_half_up_sql(hundredths_sql("l_extendedprice", schemas.DOUBLE), "CAST(l_quantity AS BIGINT)"))
+    return scan(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
@@ -79,11 +89,11 @@ def order_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_tax(spark: SparkSession, folder: str) -> DataFrame:
     """Order-level tax: the files carry a rate per line."""
-    lines = scan(spark, folder, "lineitem")
-    line_tax = hundredths(lines, "l_extendedprice") * hundredths(lines, "l_tax")
-    tax = divide_half_up(F.sum(line_tax), F.lit(100))
-    return lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
-        from_cents(tax, schemas.MONEY).alias("tax_amount")
+    paid = hundredths_sql("l_extendedprice", schemas.DOUBLE)
+    rate = hundredths_sql("l_tax", schemas.DOUBLE)
+    sums = scan(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"))
+    return sums.agg(F.sum(F.expr(f"{paid} * {rate}")).alias("_tax")).select(
+        "order_id", from_cents(F.expr(divide_half_up_sql("_tax", "100")), schemas.MONEY).alias("tax_amount")
     )
 
 
