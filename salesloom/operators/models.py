@@ -1,6 +1,6 @@
 """Model training and scoring with pyspark.ml. Inputs are per-customer or per-category-day tables.
 
-Training reads its input many times, so the input is checkpointed first.
+Training reads its input many times, so the input is written out first.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Positions, tiles and running sums in a global order, without a single-task window.
 
-Rows are range-partitioned and sorted once; that frame is checkpointed, because a recomputed range
+Rows are range-partitioned and sorted once; that frame is written out, because a recomputed range
 partitioning may cut elsewhere. One small row per partition then carries what lies before it.
 """
 
@@ -26,7 +26,7 @@ def _placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
             "_row": F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1)),
         }
     )
-    return cut_lineage(placed.drop("_slot"))
+    return cut_lineage(placed.drop("_slot"), "ordered")
 
 
 def _with_offsets(placed: DataFrame, measure: Column) -> DataFrame:

@@ -131,6 +131,10 @@ def text_length_rules(table: str, limits: Mapping[str, int]) -> dict[str, Column
     return {f"{table}.{c}_fits": F.length(c) <= n for c, n in limits.items()}
 
 
+def not_null_rules(table: str, df: DataFrame) -> dict[str, Column]:
+    return {f"not_null.{table}.{c}": F.col(f"`{c}`").isNotNull() for c in df.columns}
+
+
 def domain(tables: Sequence[tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
     return _stack([check_rules(df, rules) for df, rules in tables])
 
@@ -156,26 +160,45 @@ def completeness(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def consistency(orders: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
-    """Shipping before ordering, order totals against their lines, orders before registration."""
+    """Shipping before ordering, order totals against their lines, orders before registration.
+
+    Lines are summed per order and shipping time, meet their order once, and both line rules come from
+    that one pass.
+    """
     lines = items.groupBy("order_id", "ship_date").agg(
         F.count(F.lit(1)).alias("n"), F.sum(hundredths(items, "total_price")).alias("cents")
     )
     due = orders.select("order_id", "order_date", hundredths(orders, "total_amount").alias("due_cents"))
-    dated = lines.join(due, "order_id")
-    early = dated.agg(
-        F.sum("n").alias("checked"),
-        F.coalesce(F.sum(F.when(F.col("ship_date") < F.col("order_date"), F.col("n"))), F.lit(0)).alias("failed"),
-    ).select(F.lit("order_items.shipped_after_order").alias("rule"), "*")
-    sums = dated.groupBy("order_id", "due_cents").agg(F.sum("cents").alias("cents"))
-    totals = sums.agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(F.col("cents") != F.col("due_cents")).alias("failed")
-    ).select(F.lit("orders.total_is_sum_of_items").alias("rule"), "*")
+    early = F.when(F.col("ship_date") < F.col("order_date"), F.col("n")).otherwise(0)
+    per_order = (
+        lines.join(due, "order_id")
+        .groupBy("order_id", "due_cents")
+        .agg(F.sum("n").alias("n"), F.sum(early).alias("early"), F.sum("cents").alias("cents"))
+    )
+    one = per_order.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("_lines"),
+        F.coalesce(F.sum("early"), F.lit(0)).alias("_early"),
+        F.count(F.lit(1)).alias("_orders"),
+        F.count_if(F.col("cents") != F.col("due_cents")).alias("_off"),
+    )
+
+    def rule(name: str, checked: str, failed: str) -> Column:
+        return F.struct(F.lit(name).alias("rule"), F.col(checked).alias("checked"), F.col(failed).alias("failed"))
+
+    line_rules = one.select(
+        F.explode(
+            F.array(
+                rule("order_items.shipped_after_order", "_lines", "_early"),
+                rule("orders.total_is_sum_of_items", "_orders", "_off"),
+            )
+        ).alias("r")
+    ).select("r.*")
     known = orders.join(customers.select("customer_id", "registration_date"), "customer_id")
     registered = known.agg(
         F.count(F.lit(1)).alias("checked"),
         F.count_if(F.to_date("order_date") < F.col("registration_date")).alias("failed"),
     ).select(F.lit("orders.customer_registered_before").alias("rule"), "*")
-    return _stack([early, totals, registered])
+    return _stack([line_rules, registered])
 
 
 def freshness(tables: Mapping[str, tuple[DataFrame, str]], as_of: dt.date, max_age_days: int) -> DataFrame:
@@ -190,9 +213,7 @@ def freshness(tables: Mapping[str, tuple[DataFrame, str]], as_of: dt.date, max_a
     )
 
 
-def report(
-    duplicates: DataFrame, missing: DataFrame, rules: DataFrame, nulls: DataFrame, fresh: DataFrame
-) -> DataFrame:
+def report(duplicates: DataFrame, missing: DataFrame, rules: DataFrame, fresh: DataFrame) -> DataFrame:
     """Every check as ``rule, checked, failed, passed``."""
     name = F.concat_ws
     rows = _stack(
@@ -204,11 +225,6 @@ def report(
             ),
             missing.select(name(".", F.lit("parent"), "relation").alias("rule"), "checked", F.col("orphans").alias("failed")),
             rules.select("rule", "checked", "failed"),
-            nulls.select(
-                name(".", F.lit("not_null"), "table_name", "column_name").alias("rule"),
-                "checked",
-                F.col("nulls").alias("failed"),
-            ),
             fresh.select(
                 name(".", F.lit("fresh"), "table_name").alias("rule"),
                 F.lit(1).cast("bigint").alias("checked"),

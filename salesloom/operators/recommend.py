@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.money import dbl
-from salesloom.operators.products import per_product
 from salesloom.session import cut_lineage
 
 MAX_ANCHORS = 100
 
 
+def _revenue(sales: DataFrame) -> DataFrame:
+    return sales.groupBy("product_id").agg(F.sum("total_cents").alias("_cents"))
+
+
 def best_sellers(sales: DataFrame, limit: int) -> DataFrame:
     """The anchors: at most ``limit`` product ids."""
     if not 0 < limit <= MAX_ANCHORS:
         raise ValueError(f"limit must be 1..{MAX_ANCHORS}")
-    best = per_product(sales).orderBy(F.col("revenue").desc(), "product_id").limit(limit)
+    best = _revenue(sales).orderBy(F.col("_cents").desc(), "product_id").limit(limit)
     return best.select(F.col("product_id").alias("anchor_id"))
 
 
@@ -84,8 +87,8 @@ def category_candidates(sales: DataFrame, products: DataFrame, per_category: int
     favourite = by_kind.groupBy("customer_id").agg(
         F.max_by("category", F.struct("spent", "category")).alias("category")
     )
-    sold = per_product(sales).join(kinds, "product_id")
-    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.col("revenue").desc(), "product_id"))
+    sold = _revenue(sales).join(kinds, "product_id")
+    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.col("_cents").desc(), "product_id"))
     best = sold.withColumn("_rank", rank).filter(F.col("_rank") <= per_category).select("category", "product_id")
     return favourite.join(best, "category").select(
         F.col("customer_id").cast("int").alias("customer_id"), F.col("product_id").cast("int").alias("product_id")

@@ -47,23 +47,23 @@ def monthly_revenue(totals: DataFrame) -> DataFrame:
     )
 
 
-def _months(monthly: DataFrame, ahead: int) -> DataFrame:
-    """Every month from the first to ``ahead`` months past the last."""
-    span = monthly.agg(F.min("period").alias("a"), F.add_months(F.max("period"), ahead).alias("b"))
-    return span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("period"))
-
-
-def forecast_seasonal_naive(monthly: DataFrame, ahead: int = 12) -> DataFrame:
-    """Forecast = the same month a year before; past months keep their actual, for measuring error."""
-    last_year = monthly.select(
-        F.add_months("period", 12).alias("period"), F.col("revenue").alias("forecast")
-    )
+def forecast_seasonal_naive(monthly: DataFrame) -> DataFrame:
+    """Forecast = the same month a year before; past months keep their actual, for measuring error.
+
+    Each month counts as an actual now and as a forecast a year on, so one pass serves both.
+    """
+    both = monthly.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("period"), F.col("revenue").alias("actual"), F.lit(None).alias("forecast")),
+                F.struct(F.add_months("period", 12).alias("period"), F.lit(None).alias("actual"), F.col("revenue").alias("forecast")),
+            )
+        ).alias("m")
+    ).select("m.*")
     return (
-        _months(monthly, ahead)
-        .join(monthly.withColumnRenamed("revenue", "actual"), "period", "left")
-        .join(last_year, "period", "left")
+        both.groupBy("period")
+        .agg(F.max("actual").alias("actual"), F.max("forecast").alias("forecast"))
         .filter(F.col("forecast").isNotNull())
-        .select("period", "actual", "forecast")
     )
 
 

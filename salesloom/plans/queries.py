@@ -109,7 +109,7 @@ def insert_ignore_customers(spark, folder):
 @query
 def upsert_daily_sales(spark, folder):
     """The summary as of one status correction (completed orders only), then every order of every day."""
-    totals = star.order_totals(spark, folder)
+    totals = cut_lineage(star.order_totals(spark, folder), "orders")
     before = summaries.daily_sales_summary(summaries.with_statuses(totals, ["Completed"])).withColumn(
         "first_total_orders", F.col("total_orders")
     )
@@ -132,7 +132,8 @@ def fact_point_in_time(spark, folder):
 
 @query
 def allocated_tax(spark, folder):
-    lines = star.sales(spark, folder, with_tax=True)
+    lines = star.sales(spark, folder, with_tax=True).select("order_id", "product_id", "total_cents", "tax_amount")
+    lines = cut_lineage(lines, "lines")
     return facts.allocate_order_cost(lines, "tax_amount", "allocated_tax").select(
         "order_id", "product_id", from_cents("total_cents").alias("total_amount"), "tax_amount", "allocated_tax"
     )
@@ -275,29 +276,37 @@ def abc_products(spark, folder):
     return products.abc_products(star.sales(spark, folder), _goods(spark, folder))
 
 
+def _slim_lines(spark, folder):
+    """What the recommenders read several times, joined once."""
+    return cut_lineage(
+        star.sales(spark, folder).select("order_id", "customer_id", "product_id", "total_cents"), "lines"
+    )
+
+
 @query
 def copurchase_pairs(spark, folder):
-    lines = star.sales(spark, folder)
+    """Re-aimed: companions of the 20 best sellers rather than all pairs of every basket."""
+    lines = _slim_lines(spark, folder)
     return recommend.copurchases(recommend.baskets(lines), recommend.best_sellers(lines, 20))
 
 
 @query
 def recommend_copurchase(spark, folder):
-    lines = star.sales(spark, folder)
+    lines = _slim_lines(spark, folder)
     return recommend.recommend_copurchase(recommend.baskets(lines), recommend.best_sellers(lines, 20), 5)
 
 
 @query
 def recommend_als(spark, folder):
-    return recommend.recommend_als(star.sales(spark, folder), _goods(spark, folder))
+    return recommend.recommend_als(_slim_lines(spark, folder), _goods(spark, folder))
 
 
 # --- trends and forecasts -----------------------------------------------------------------------------
 
 
-def _daily(spark, folder):
+def _daily(spark, folder, totals=None):
     days = calendar.dim_date_of(staging.orders(spark, folder), "order_date")
-    return trends.daily_revenue(star.order_totals(spark, folder), days)
+    return trends.daily_revenue(star.order_totals(spark, folder) if totals is None else totals, days)
 
 
 @query
@@ -465,10 +474,11 @@ def conversion_funnel(spark, folder):
 
 @query
 def business_alerts(spark, folder):
+    totals = cut_lineage(star.order_totals(spark, folder), "orders")
     return alerts.business_alerts(
-        _daily(spark, folder),
+        _daily(spark, folder, totals),
         metrics.conversion_funnel(staging.events(spark, folder)),
-        segments.customer_segments(star.order_totals(spark, folder), AS_OF),
+        segments.customer_segments(totals, AS_OF),
         conversion_floor=0.8,
     )
 
@@ -565,16 +575,24 @@ def dq_orphans(spark, folder):
     )
 
 
+def _rules(raw, complete=False):
+    """Rules per table; with ``complete`` the NULL checks of its columns run in the same pass."""
+    tables = {
+        "customers": (raw.customers, {}),
+        "products": (raw.products, quality.product_rules()),
+        "orders": (raw.orders.drop("tax_amount"), quality.order_rules()),
+        "order_items": (raw.order_items, quality.item_rules()),
+    }
+    return [
+        (df, {**rules, **(quality.not_null_rules(name, df) if complete else {})})
+        for name, (df, rules) in tables.items()
+        if rules or complete
+    ]
+
+
 @query
 def dq_domain(spark, folder):
-    raw = staging.load_raw(spark, folder)
-    return quality.domain(
-        [
-            (raw.orders, quality.order_rules()),
-            (raw.order_items, quality.item_rules()),
-            (raw.products, quality.product_rules()),
-        ]
-    )
+    return quality.domain(_rules(staging.load_raw(spark, folder)))
 
 
 @query
@@ -609,11 +627,10 @@ def dq_freshness(spark, folder):
 
 @query
 def dq_report(spark, folder):
-    rules = dq_domain(spark, folder).unionByName(dq_consistency(spark, folder))
+    every = quality.domain(_rules(staging.load_raw(spark, folder), complete=True))
     return quality.report(
         dq_duplicate_keys(spark, folder),
         dq_orphans(spark, folder),
-        rules,
-        dq_completeness(spark, folder),
+        every.unionByName(dq_consistency(spark, folder)),
         dq_freshness(spark, folder),
     )
