@@ -391,6 +391,9 @@ SELECT order_id, product_id, {_usd('tc')} AS total_amount, {_usd('xt')} AS tax_a
   UNION ALL SELECT 'orders', CAST(count(DISTINCT order_id) AS DOUBLE), 100, 500 FROM sales
   UNION ALL SELECT 'customers', CAST(count(DISTINCT customer_id) AS DOUBLE), 50, 200 FROM sales)
 SELECT kpi, value, CASE WHEN value >= hi THEN 'green' WHEN value >= lo THEN 'yellow' ELSE 'red' END AS status FROM k""",
+    "formatted_kpis": STAR + f"""SELECT '$' || format('{{:,.2f}}', {_usd('sum(tc)')}) AS revenue,
+  format('{{:,}}', count(DISTINCT order_id)) AS orders, format('{{:,}}', count(DISTINCT customer_id)) AS customers,
+  '$' || format('{{:,.2f}}', {_usd('sum(tc)')} / count(DISTINCT order_id)) AS avg_order_value FROM sales""",
     "orders_by_status": STAR + f"""SELECT order_status, payment_method, count(*) AS orders, {_usd('sum(oc)')} AS amount
 FROM ord GROUP BY ALL""",
     "sales_by_geography": STAR + f"""SELECT CASE WHEN grouping(country) = 1 THEN 'ALL' ELSE country END AS country,
@@ -410,6 +413,11 @@ FROM per_product p JOIN prod USING (product_id)""",
     "top10_products": STAR + f"""SELECT product_id, product_name, category, brand, {_usd('tc')} AS revenue,
   {_int('quantity')} AS quantity, orders, {_usd('profit')} AS profit
 FROM per_product JOIN prod USING (product_id) ORDER BY tc DESC, product_id LIMIT 10""",
+    "json_top_products": STAR + """, t AS (SELECT * FROM per_product JOIN prod USING (product_id) ORDER BY tc DESC, product_id LIMIT 10)
+SELECT '{"product_id":' || product_id || ',"product_name":"' || product_name || '","category":"' || category
+  || '","brand":"' || brand || '","revenue":' || printf('%d.%02d', CAST(tc // 100 AS BIGINT), CAST(tc % 100 AS BIGINT))
+  || ',"quantity":' || quantity || ',"orders":' || orders
+  || ',"profit":' || printf('%d.%02d', CAST(profit // 100 AS BIGINT), CAST(profit % 100 AS BIGINT)) || '}' AS json FROM t""",
     "top_products_per_category": STAR + f""", r AS (
   SELECT category, product_id, product_name, profit,
     row_number() OVER (PARTITION BY category ORDER BY profit DESC, product_id) AS n

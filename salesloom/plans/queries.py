@@ -246,7 +246,7 @@ def top10_products(spark, folder):
 
 @query
 def json_top_products(spark, folder):
-    return text.to_json_rows(present(top10_products(spark, folder)))
+    return text.to_json_rows(top10_products(spark, folder))
 
 
 @query
