@@ -94,6 +94,16 @@ def counter_increase(
     )
 
 
+def pipeline_throughput(stages: DataFrame, as_of: Column, seconds: int = 300) -> DataFrame:
+    """Records per second by stage and status over ``(as_of - seconds, as_of]``, from the load's stage rows."""
+    recent = stages.filter(
+        (F.col("ts") > as_of - F.expr(f"interval {int(seconds)} seconds")) & (F.col("ts") <= as_of)
+    )
+    return recent.groupBy("pipeline_stage", "status").agg(
+        F.sum("records").alias("records"), (dbl(F.sum("records")) / F.lit(float(seconds))).alias("rate")
+    )
+
+
 def latest_event_per_user(events: DataFrame) -> DataFrame:
     newest = F.max_by(F.struct("event_id", "ts", "event_type", "value"), F.struct("ts", "event_id"))
     return events.groupBy("user_id").agg(newest.alias("_e")).select("user_id", "_e.*")

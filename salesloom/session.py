@@ -15,12 +15,26 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more (pre-aggregated) shuffle after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Keyed stream state outgrows the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
-def build_session(app: str = "salesloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the project's settings; ``conf`` keys use ``__`` for dots."""
+def shuffle_partitions(input_bytes: int, target_bytes: int = 512 << 20) -> int:
+    """Partitions for a shuffle of that much data; adaptive execution merges those that turn out small."""
+    return max(8, -(-input_bytes // target_bytes))
+
+
+def build_session(
+    app: str = "salesloom", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the project's settings; ``conf`` keys use ``__`` for dots.
+
+    ``input_bytes`` sizes the shuffles for the tables to be read.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
@@ -30,6 +44,8 @@ def build_session(app: str = "salesloom", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
+    if input_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

@@ -25,10 +25,12 @@ class Layout:
     def write(
         self, df: DataFrame, layer: str, table: str, load_id: str, partition_by: Sequence[str] = ()
     ) -> None:
-        writer = df.write.mode("overwrite")
+        """Partitioned tables are rebalanced first: few files per partition, and a big partition in many."""
         if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(layer, table, load_id))
+            writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
+        else:
+            writer = df.write
+        writer.mode("overwrite").parquet(self.path(layer, table, load_id))
 
     def read(self, spark: SparkSession, layer: str, table: str, load_id: str) -> DataFrame:
         return spark.read.parquet(self.path(layer, table, load_id))

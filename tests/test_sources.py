@@ -107,3 +107,32 @@ def test_new_customers_get_the_next_keys(spark, tmp_path):
     new = {r.customer_id: r.customer_key for r in layout.read(spark, "processed_data", "dim_customers", "2").collect()}
     assert all(new[c] == k for c, k in old.items())
     assert sorted(new.values()) == list(range(1, len(new) + 1))
+
+
+def test_endpoints_over_the_stored_star(spark, tmp_path):
+    from salesloom.operators import metrics
+    from salesloom.plans.endpoints import Endpoints
+    from salesloom.plans.queries import AS_OF, registry
+
+    raw = staging.load_raw(spark, SF)
+    load = DailyLoad(Layout(str(tmp_path)), "1", dt.date(2024, 1, 1))
+    stages = load.run(spark, raw)
+    api = Endpoints.of_load(spark, load, raw.events)
+    for name, got, key in (
+        ("sales_summary", api.sales_summary(), "total_orders"),
+        ("sales_summary_completed", api.sales_summary(statuses=["Completed"]), "total_orders"),
+        ("sales_trend_monthly", api.sales_trends("monthly"), "period"),
+        ("top10_products", api.top_products(), "product_id"),
+        ("customer_segment_summary", api.customer_segments(AS_OF), "segment"),
+        ("realtime_metrics", api.realtime_metrics(), "total_events"),
+        ("recent_events", api.recent_events(), "event_id"),
+    ):
+        want = registry()[name](spark, SF)
+        from salesloom.functions.text import present
+
+        assert rows(present(got).select(*want.columns), key) == rows(want, key), name
+    january = api.sales_trends("daily", dt.date(1997, 1, 1), dt.date(1997, 1, 31))
+    assert january.count() <= 31
+    now = stages.selectExpr("max(ts)").scalar()
+    rate = metrics.pipeline_throughput(stages, now).filter("pipeline_stage = 'dim_customers'").first()
+    assert rate.records == raw.customers.count() and rate.rate == rate.records / 300
