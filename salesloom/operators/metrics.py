@@ -53,7 +53,7 @@ def _chunked(df: DataFrame, span_us: int, chunk_us: int) -> DataFrame:
 
 
 def rolling_rate(
-    events: DataFrame, labels: Sequence[str], seconds: int = 300, chunk_seconds: int = 3600
+    events: DataFrame, labels: Sequence[str], seconds: int = 300, chunk_seconds: int = 600
 ) -> DataFrame:
     """Events per second over ``(ts - seconds, ts]`` at each time an event of the series happened."""
     span, chunk = seconds * _SECOND, chunk_seconds * _SECOND
@@ -68,7 +68,7 @@ def rolling_rate(
 
 
 def counter_increase(
-    samples: DataFrame, labels: Sequence[str], seconds: int = 300, chunk_seconds: int = 3600
+    samples: DataFrame, labels: Sequence[str], seconds: int = 300, chunk_seconds: int = 600
 ) -> DataFrame:
     """Growth of a counter over the samples in ``(ts - seconds, ts]``.
 
