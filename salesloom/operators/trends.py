@@ -56,7 +56,11 @@ def forecast_seasonal_naive(monthly: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.col("period"), F.col("revenue").alias("actual"), F.lit(None).alias("forecast")),
-                F.struct(F.add_months("period", 12).alias("period"), F.lit(None).alias("actual"), F.col("revenue").alias("forecast")),
+                F.struct(
+                    F.add_months("period", 12).alias("period"),
+                    F.lit(None).alias("actual"),
+                    F.col("revenue").alias("forecast"),
+                ),
             )
         ).alias("m")
     ).select("m.*")

@@ -52,7 +52,10 @@ class DailyLoad:
 
         every = facts.with_cents(self.fact(spark))
         days = every.join(new.select("order_day").distinct(), "order_day", "left_semi")
-        self._merge(spark, counts, "analytics", "daily_sales_summary", summaries.daily_sales_summary(summaries.order_totals(days)), ["date"], DAILY_FIGURES)
+        self._merge(
+            spark, counts, "analytics", "daily_sales_summary",
+            summaries.daily_sales_summary(summaries.order_totals(days)), ["date"], DAILY_FIGURES,
+        )
         sold = every.join(new.select("product_id").distinct(), "product_id", "left_semi")
         self._merge(
             spark, counts, "analytics", "product_performance", products.product_performance(sold, dimensions.current(goods)),

@@ -64,7 +64,7 @@ def shared_root(spark: SparkSession) -> str:
     A temporary folder is made only where neither is set and the master is local.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if configured:
         if current is None:
