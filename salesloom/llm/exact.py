@@ -31,29 +31,16 @@ def exact_groups(docs: DataFrame, hash_of=F.md5) -> DataFrame:
     only if its group has no other id; rows without id that are alike are all kept, as are rows that repeat the id
     that stays. An empty table gives an empty one. ``hash_of`` gives the content hash as text.
 
-    Only the texts of hashes that several texts share are compared row by row; there the bytes join the key.
+    The texts shuffle once. A row finds its group by the content hash and the SHA-256 that it reports, which tells
+    texts apart whose content hashes collide.
     """
     rows = id_and_text(docs).withColumn("text", normalised(F.col("text")))
     keyed = rows.withColumn("content_hash", hash_of(F.col("text")))
-    by_text = texts_by_hash(keyed)
-    # A hash stands for one text unless two texts collide; then its rows go by their bytes.
-    by_hash = by_text.groupBy("content_hash").agg(
-        F.count(F.lit(1)).alias("texts"),
-        F.min("keep_id").alias("keep_id"),
-        F.sum("group_size").alias("group_size"),
-    )
-    light = keyed.select("doc_id", "content_hash", F.sha2("text", 256).alias("text_sha256"))
-    one = light.join(by_hash.where("texts = 1").drop("texts"), "content_hash")
-    clash = by_hash.where("texts > 1").select("content_hash")
-    several = (
-        keyed.join(clash, "content_hash", "left_semi")
-        .join(by_text.join(clash, "content_hash", "left_semi"), ["content_hash", "text"])
-        .select("doc_id", "content_hash", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return one.select(several.columns).unionByName(several).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    ).select(columns)
+    digest = F.sha2("text", 256).alias("text_sha256")
+    groups = texts_by_hash(keyed).select("content_hash", digest, "keep_id", "group_size")
+    found = keyed.select("doc_id", "content_hash", digest).join(groups, ["content_hash", "text_sha256"])
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return found.select("doc_id", "keep_id", "group_size", kept, "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
