@@ -7,16 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from salesloom.llm import classifier, katz, pii
 from salesloom.llm.bpe import encode_documents
 from salesloom.llm.common import table
 from salesloom.llm.exact import exact_groups
+from salesloom.llm.html_paths import extract
 from salesloom.llm.mixing import allocate
 from salesloom.llm.rules import judge
 from salesloom.llm.simhash import near_duplicates
+from salesloom.llm.suffix_dedup import remove_repeats
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
+def op3_katz(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score_documents(table(spark, folder, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = allocate(table(spark, folder, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +45,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -40,8 +63,13 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_paths": op1_html_paths,
+        "op2_pii": op2_pii,
+        "op3_katz": op3_katz,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_mixing": op5_mixing,
         "op6_quality_rules": op6_quality_rules,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_exact": op10_exact,
