@@ -250,8 +250,9 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     the same result. A row without doc_id takes no part: nothing is removed from it, or elsewhere because of it. An
     empty table gives an empty one.
     """
-    texts = id_and_text(docs)
-    runs = all_runs(texts.where("doc_id IS NOT NULL"))
+    rows = id_and_text(docs)
+    texts = rows.where("doc_id IS NOT NULL")
+    runs = all_runs(texts).repartition("key")  # once, for both windows
     start, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(127))
     lead, marked = F.col("place").bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(1 << 15)) != 0
     of_class = Window.partitionBy("key", "same").orderBy("doc_id", "place")
@@ -270,18 +271,30 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         .join(texts, "doc_id")
         .select("key", "doc_id", "start", "count", "lead", "classes", bytes_of.alias("bytes"))
     )
-    few = different.where(F.col("classes") <= crowd).withColumn("part", F.lit(0).cast("long"))
-    cut = (
-        different.where(F.col("classes") > crowd)
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
-        .withColumn("bytes", F.substring(F.col("bytes"), F.col("i").cast("int") + 1, F.lit(WINDOW)))
-        .withColumn("start", F.col("start") + F.col("i"))
-        .withColumn("lead", F.col("lead") - F.col("i"))
-        .withColumn("count", F.lit(1).cast("long"))
-        .withColumn("part", F.pmod(F.xxhash64("bytes"), F.ceil(F.col("classes") / F.lit(crowd))))
+    # a run of a crowded anchor is cut into its windows (i), any other stays whole (no i)
+    crowded = F.col("classes") > crowd
+    windows = F.when(crowded, F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).otherwise(
+        F.array(F.lit(None).cast("long"))
+    )
+    step = F.coalesce("i", F.lit(0))
+    cut = F.when(crowded, F.substring(F.col("bytes"), step.cast("int") + 1, F.lit(WINDOW))).otherwise(F.col("bytes"))
+    parts = F.ceil(F.col("classes") / F.lit(crowd))
+    grouped = (
+        different.withColumn("i", F.explode(windows))
+        .select(
+            "key",
+            "doc_id",
+            (F.col("start") + step).alias("start"),
+            F.when(crowded, F.lit(1).cast("long")).otherwise(F.col("count")).alias("count"),
+            (F.col("lead") - step).alias("lead"),
+            cut.alias("bytes"),
+            F.when(crowded, F.pmod(F.xxhash64(cut), parts)).otherwise(F.lit(0)).cast("long").alias("part"),
+        )
+        .repartition("key", "part")
+        .sortWithinPartitions("key", "part")
     )
-    grouped = few.unionByName(cut.drop("i")).repartition("key", "part").sortWithinPartitions("key", "part")
     gone = found.where("goes").select("doc_id", "start", "count").unionByName(_sorted_out(grouped))
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("count"))
     spans = gone.groupBy("doc_id").agg(F.collect_list(packed).alias("spans"))  # bounded by one text
-    return _cleaned(texts.join(spans, "doc_id", "left"))
+    nameless = rows.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<long>"))
+    return _cleaned(texts.join(spans, "doc_id", "left").unionByName(nameless))
