@@ -101,6 +101,7 @@ def _cell_links(cells: DataFrame) -> DataFrame:
         rest = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now[3:5] = (c.view(np.uint64) for c in now[3:5])  # of a negative number numpy counts another's bits
             rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
             new = (rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])
             ends = np.flatnonzero(new) + 1  # the last run may go on in the next batch
