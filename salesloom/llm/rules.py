@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import SPACE, SPACE_CHARS, id_and_text, let, staged, words_of
+from salesloom.llm.common import SPACE_CHARS, let, staged, whole_text, words_of
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -73,9 +73,14 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(hashed(words), of_hashes))
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what rules test."""
-    rows = id_and_text(docs).withColumn("words", words_of(F.col("text")))
+def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what rules test.
+
+    ``carry`` adds the row itself as the struct ``row``, so that it can be kept without another look-up.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns]) if carry else F.lit(None)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"), row.alias("row"))
+    rows = rows.withColumn("words", words_of(F.col("text")))
     with_word = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != "")
     lines = let(
         with_word,
@@ -85,6 +90,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     )
     counted = rows.select(
         "doc_id",
+        *(["row"] if carry else []),
         F.size("words").cast("long").alias("n_words"),
         F.length(_without(F.col("text"), SPACE_CHARS)).cast("long").alias("word_chars"),
         _count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
@@ -278,6 +284,10 @@ def judge(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> DataFrame:
-    """The documents that are kept, with all their columns; a row without doc_id goes."""
-    kept = judge(docs, labels, how).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """The documents that are kept, with all their columns.
+
+    The rows are written beside their statistics, which the rules are learned from and tested on: no text shuffles.
+    """
+    statistics = staged(text_statistics(docs, carry=True), "statistics")
+    kept = ~base_failed() & decision(learn(statistics, labels, how))
+    return statistics.where(kept).select("row.*")
