@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.dates import date_key
@@ -174,8 +174,20 @@ def point_in_time(sales: DataFrame, versions: DataFrame, business_id: str) -> Da
 
 
 def allocate_order_cost(sales: DataFrame, amount: str, name: str) -> DataFrame:
-    """Spreads an order-level amount over the lines by their share of the order's total."""
-    totals = sales.groupBy("order_id").agg(F.sum("total_cents").alias("_order_cents"))
-    part = scaled("_amount_cents", "total_cents", "_order_cents")
-    joined = sales.withColumn("_amount_cents", hundredths(sales, amount)).join(totals, "order_id")
-    return joined.withColumn(name, from_cents(part, MONEY)).drop("_order_cents", "_amount_cents")
+    """Spreads an order-level amount over the lines by their share of the order's total.
+
+    A line gets the rounded share of the lines up to it less that of the lines before, so that an order's parts add up
+    to its amount. Lines stand by product and amount; those of one order lie in one task.
+    """
+    order = Window.partitionBy("order_id")
+    along = order.orderBy("product_id", "total_cents").rowsBetween(Window.unboundedPreceding, 0)
+    joined = (
+        sales.withColumn("_amount_cents", hundredths(sales, amount))
+        .withColumn("_order_cents", F.sum("total_cents").over(order))
+        .withColumn("_up_to", F.sum("total_cents").over(along))
+    )
+    joined = joined.withColumn("_shares", scaled("_amount_cents", "_up_to", "_order_cents"))
+    joined = joined.withColumn("_before", scaled("_amount_cents", "_up_to - total_cents", "_order_cents"))
+    part = from_cents(F.col("_shares") - F.col("_before"), MONEY)
+    return joined.withColumn(name, part).drop("_order_cents", "_amount_cents", "_up_to", "_shares", "_before")
+

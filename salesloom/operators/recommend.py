@@ -1,6 +1,6 @@
 """Product recommendations.
 
-Bought-together figures are taken for a short list of anchor products. Each basket then yields one row per
+Bought-together figures are taken for a given table of anchor products, of any length. Each basket then yields one row per
 (anchor in it, other product in it): linear in the lines, where all pairs would be quadratic in a basket.
 """
 
@@ -13,17 +13,13 @@ from pyspark.sql import functions as F
 from salesloom.functions.money import dbl
 from salesloom.session import cut_lineage
 
-MAX_ANCHORS = 100
-
 
 def _revenue(sales: DataFrame) -> DataFrame:
     return sales.groupBy("product_id").agg(F.sum("total_cents").alias("_cents"))
 
 
 def best_sellers(sales: DataFrame, limit: int) -> DataFrame:
-    """The anchors: at most ``limit`` product ids."""
-    if not 0 < limit <= MAX_ANCHORS:
-        raise ValueError(f"limit must be 1..{MAX_ANCHORS}")
+    """The ``limit`` products with the most revenue, as anchors."""
     best = _revenue(sales).orderBy(F.col("_cents").desc(), "product_id").limit(limit)
     return best.select(F.col("product_id").alias("anchor_id"))
 

@@ -8,6 +8,7 @@ counted twice. Later stages read the written tables, never a frame that would be
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,6 +22,9 @@ from salesloom.sources.layout import Layout
 from salesloom.sources.staging import Staging
 from salesloom.streaming.sinks import DAILY_FIGURES
 
+LOAD_ID = re.compile(r"[A-Za-z0-9_-]+")
+CHAIN = "position int, load_id string"
+
 PERFORMANCE_FIGURES = (
     "total_sales",
     "total_quantity",
@@ -37,21 +41,34 @@ class DailyLoad:
     load_date: dt.date
     previous: str | None = None
 
+    def __post_init__(self) -> None:
+        for name in (self.load_id, self.previous):
+            if name is not None and not LOAD_ID.fullmatch(name):
+                raise ValueError(f"a load id has letters, digits, _ and - only: {name!r}")
+        if self.previous == self.load_id:
+            raise ValueError("a load cannot follow itself")
+
     def run(self, spark: SparkSession, staging: Staging) -> DataFrame:
         """All stages in order; the result is one row per stage with the records it wrote."""
         counts: list[tuple[str, int]] = []
+        earlier = self._earlier(spark)
+        self.layout.write(
+            spark.createDataFrame([(n, i) for n, i in enumerate([*earlier, self.load_id])], CHAIN),
+            "processed_data", "load_chain", self.load_id,
+        )
         buyers = self._store(spark, counts, "processed_data", "dim_customers", self._customers(spark, staging))
         goods = self._store(spark, counts, "processed_data", "dim_products", self._products(spark, staging))
-        self._store(spark, counts, "processed_data", "dim_date", dim_date_of(staging.orders, "order_date"))
+        self._store(spark, counts, "processed_data", "dim_date", dim_date_of(self._days(spark, staging), "day"))
 
         batch = facts.fact_sales(staging.order_items, staging.orders, buyers, goods, tax=staging.order_tax)
         batch = batch.withColumn("order_month", F.date_format("order_day", "yyyy-MM"))
         if self.previous is not None:
-            batch = self._unseen(spark, batch)
+            batch = self._unseen(spark, batch, earlier)
         new = self._store(spark, counts, "processed_data", "fact_sales", batch, ["order_month"])
 
         every = facts.with_cents(self.fact(spark))
-        days = every.join(new.select("order_day").distinct(), "order_day", "left_semi")
+        touched = new.select("order_month", "order_day").distinct()  # the month prunes the stored fact
+        days = every.join(touched, ["order_month", "order_day"], "left_semi")
         self._merge(
             spark, counts, "analytics", "daily_sales_summary",
             summaries.daily_sales_summary(summaries.order_totals(days)), ["date"], DAILY_FIGURES,
@@ -77,9 +94,32 @@ class DailyLoad:
         return stages.withColumn("ts", F.current_timestamp())
 
     def fact(self, spark: SparkSession) -> DataFrame:
-        """Every line of this load and those before; load ids sort by age."""
-        base = f"{self.layout.root.rstrip('/')}/processed_data/fact_sales"
-        return spark.read.parquet(base).filter(F.col("load_id").cast("string") <= self.load_id)
+        """Every line of this load and those before."""
+        return self._lines(spark, [*self._earlier(spark), self.load_id])
+
+    def _earlier(self, spark: SparkSession) -> list[str]:
+        """The loads before this one, oldest first, as the previous load wrote them down (one row per load)."""
+        if self.previous is None:
+            return []
+        path = self.layout.path("processed_data", "load_chain", self.previous)
+        chain = [r.load_id for r in spark.read.schema(CHAIN).parquet(path).orderBy("position").collect()]
+        if self.load_id in chain:
+            raise ValueError(f"load {self.load_id} already lies before {self.previous}")
+        return chain
+
+    def _lines(self, spark: SparkSession, loads: Sequence[str]) -> DataFrame:
+        """Fact lines of the named loads: their folders by path, with ids declared as text and never compared."""
+        paths = [self.layout.path("processed_data", "fact_sales", i) for i in loads]
+        fields = spark.read.parquet(paths[-1]).schema.add("load_id", "string")
+        return spark.read.schema(fields).option("basePath", paths[0].rpartition("/")[0]).parquet(*paths)
+
+    def _days(self, spark: SparkSession, staging: Staging) -> DataFrame:
+        """Days of this load's orders and of the calendar so far."""
+        days = staging.orders.select(F.to_date("order_date").alias("day"))
+        if self.previous is None:
+            return days
+        known = self.layout.read(spark, "processed_data", "dim_date", self.previous)
+        return days.unionAll(known.select("full_date"))
 
     def _customers(self, spark: SparkSession, staging: Staging) -> DataFrame:
         if self.previous is None:
@@ -95,12 +135,10 @@ class DailyLoad:
         rows = dimensions.product_rows(staging.products, self.load_date)
         return dimensions.extend_dimension(known, rows, "product_id", "product_key", ["effective_date", "product_name"])
 
-    def _unseen(self, spark: SparkSession, batch: DataFrame) -> DataFrame:
+    def _unseen(self, spark: SparkSession, batch: DataFrame, earlier: Sequence[str]) -> DataFrame:
         """Lines of orders that no earlier load holds; only the batch's months are read back."""
-        base = f"{self.layout.root.rstrip('/')}/processed_data/fact_sales"
         months = batch.select("order_month").distinct()
-        earlier = spark.read.parquet(base).filter(F.col("load_id").cast("string") < self.load_id)
-        held = earlier.join(months, "order_month", "left_semi").select("order_id").distinct()
+        held = self._lines(spark, earlier).join(months, "order_month", "left_semi").select("order_id").distinct()
         return batch.join(held, "order_id", "left_anti")
 
     def _store(

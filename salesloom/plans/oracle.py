@@ -369,9 +369,14 @@ SELECT {_iso('d')} AS date, o AS total_orders, {_usd('tc')} AS total_revenue, {_
     "fact_point_in_time": _SNAPSHOTS + f"""SELECT s.order_id, s.product_id, {_iso('s.d')} AS order_day, {_usd('s.tc')} AS total_amount,
   v.band AS price_band, {_iso('v.q')} AS effective_date
 FROM sales s JOIN versions v ON s.product_id = v.product_id AND s.d >= v.q AND (v.until IS NULL OR s.d < v.until)""",
-    "allocated_tax": STAR + f""", tot AS (SELECT order_id, sum(tc) AS ot FROM sales GROUP BY order_id)
+    "allocated_tax": STAR + f""", run AS (
+  SELECT order_id, product_id, tc, xt, sum(tc) OVER (PARTITION BY order_id) AS ot,
+    sum(tc) OVER (PARTITION BY order_id ORDER BY product_id, tc ROWS UNBOUNDED PRECEDING) AS upto
+  FROM sales JOIN tax USING (order_id))
 SELECT order_id, product_id, {_usd('tc')} AS total_amount, {_usd('xt')} AS tax_amount,
-  {_usd('(2 * xt * tc + ot) // (2 * ot)')} AS allocated_tax FROM sales JOIN tax USING (order_id) JOIN tot USING (order_id)""",
+  {_usd('(2 * xt * upto + ot) // (2 * ot) - (2 * xt * (upto - tc) + ot) // (2 * ot)')} AS allocated_tax FROM run""",
+    "allocated_tax_by_order": STAR + f"""SELECT order_id, {_usd('any_value(xt)')} AS tax_amount, {_usd('any_value(xt)')} AS allocated
+FROM sales JOIN tax USING (order_id) GROUP BY order_id""",
     # summaries
     "daily_sales_summary": STAR + f", t AS ({_DAILY}) {_DAILY_OUT} FROM t",
     "monthly_sales_trend": STAR + f"""SELECT CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, monthname(d) AS month_name,
@@ -597,5 +602,14 @@ UNION ALL SELECT 'fresh.' || table_name, CAST(1 AS BIGINT), CASE WHEN fresh THEN
 }
 
 
+#: The stored tables after two loads are those of one look at everything.
+_LOADED = {
+    "daily_load_summary": "daily_sales_summary",
+    "daily_load_product_performance": "product_performance",
+    "daily_load_customer_features": "customer_features",
+    "daily_load_product_features": "product_features",
+}
+
+
 def sql_by_query() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {name: _SQL[same] for name, same in _LOADED.items()}

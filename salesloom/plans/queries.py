@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,11 @@ from salesloom.operators import (
     trends,
 )
 from salesloom.plans import star
-from salesloom.session import cut_lineage, tune
+from salesloom.plans.daily_load import DailyLoad
+from salesloom.session import cut_lineage, scratch_path, tune
 from salesloom.sources import staging
 from salesloom.sources.events import event_stream
+from salesloom.sources.layout import Layout
 from salesloom.streaming import live, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +41,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = dt.date(2001, 8, 2)
 CHURN_CUT = dt.date(2001, 2, 3)
 MODEL_CUT = dt.date(2001, 1, 1)
+SECOND_LOAD = dt.date(1998, 6, 15)
 RANGE = (dt.date(1997, 1, 1), dt.date(1997, 12, 31))
 KNOWN_UNTIL = dt.date(1997, 1, 1)
 STATUS_BANDS = {
@@ -140,6 +144,14 @@ def allocated_tax(spark, folder):
     )
 
 
+@query
+def allocated_tax_by_order(spark, folder):
+    """What the lines of an order were given, beside its tax."""
+    lines = star.sales(spark, folder, with_tax=True).select("order_id", "product_id", "total_cents", "tax_amount")
+    shares = facts.allocate_order_cost(lines, "tax_amount", "part")
+    return shares.groupBy("order_id").agg(F.max("tax_amount").alias("tax_amount"), F.sum("part").alias("allocated"))
+
+
 # --- summaries ----------------------------------------------------------------------------------------
 
 
@@ -148,6 +160,36 @@ def daily_sales_summary(spark, folder):
     return summaries.daily_sales_summary(star.order_totals(spark, folder))
 
 
+def _loaded(spark, folder, layer, table):
+    """A stored table after two daily loads: the orders before a day, then all."""
+    raw = staging.load_raw(spark, folder)
+    layout = Layout(scratch_path(spark, "loads"))
+    early = replace(raw, orders=raw.orders.filter(F.to_date("order_date") < F.lit(SECOND_LOAD)))
+    DailyLoad(layout, "0009", SECOND_LOAD).run(spark, early)
+    DailyLoad(layout, "0010", SECOND_LOAD, previous="0009").run(spark, raw)
+    return layout.read(spark, layer, table, "0010")
+
+
+@query
+def daily_load_summary(spark, folder):
+    return _loaded(spark, folder, "analytics", "daily_sales_summary")
+
+
+@query
+def daily_load_product_performance(spark, folder):
+    return _loaded(spark, folder, "analytics", "product_performance")
+
+
+@query
+def daily_load_customer_features(spark, folder):
+    return _loaded(spark, folder, "ml_features", "customer_features")
+
+
+@query
+def daily_load_product_features(spark, folder):
+    return _loaded(spark, folder, "ml_features", "product_features")
+
+
 @query
 def monthly_sales_trend(spark, folder):
     days = calendar.dim_date_of(staging.orders(spark, folder), "order_date")

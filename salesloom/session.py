@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +60,7 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """Folder all executors see: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    A temporary folder is made only where neither is set and the master is local.
+    There is no other: a folder of one machine would be missing on the others.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir")
@@ -72,16 +71,24 @@ def shared_root(spark: SparkSession) -> str:
         return configured
     if current:
         return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="salesloom-")
-    context.setCheckpointDir(folder)
-    return folder
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application's stage tables and stream tables lie."""
+    return f"{shared_root(spark).rstrip('/')}/salesloom/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the application's stage tables; for whoever ends it, when no frame made from them is used any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(conf).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/salesloom/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the run's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

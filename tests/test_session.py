@@ -12,6 +12,7 @@ from salesloom import session
 def fake(master, setting=None, current=None):
     context = SimpleNamespace(
         master=master,
+        applicationId="app-1",
         getConf=lambda: {},
         getCheckpointDir=lambda: current,
         setCheckpointDir=lambda path: None,
@@ -21,7 +22,7 @@ def fake(master, setting=None, current=None):
 
 def test_setting_of_the_session_wins():
     assert session.shared_root(fake("yarn", "hdfs:///stages", "hdfs:///other")) == "hdfs:///stages"
-    assert session.scratch_path(fake("yarn", "hdfs:///stages/"), "t").startswith("hdfs:///stages/salesloom/t-")
+    assert session.scratch_path(fake("yarn", "hdfs:///stages/"), "t").startswith("hdfs:///stages/salesloom/app-1/t-")
 
 
 def test_checkpoint_folder_of_the_context_is_next():
@@ -31,7 +32,16 @@ def test_checkpoint_folder_of_the_context_is_next():
 def test_no_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
         session.shared_root(fake("spark://host:7077"))
-    assert "salesloom-" in session.shared_root(fake("local[2]"))
+    with pytest.raises(RuntimeError):
+        session.shared_root(fake("local[2]"))
+
+
+def test_release_removes_the_stages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    assert session.cut_lineage(spark.range(3)).count() == 3
+    assert list(tmp_path.rglob("*.parquet"))
+    session.release(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
 
 
 def test_partitions_grow_with_the_input():

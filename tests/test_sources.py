@@ -97,6 +97,36 @@ def test_daily_load_in_two_steps_equals_one(spark, tmp_path):
     assert set(facts.FACT_COLUMNS) <= set(whole.fact(spark).columns)
 
 
+@pytest.mark.parametrize("ids", [("0001", "0002", "0003"), ("9", "10", "11")])
+def test_loads_of_any_ids_add_up(spark, tmp_path, ids):
+    """Ids that look like numbers; the third load brings new orders only, the second is run twice."""
+    raw = staging.load_raw(spark, SF)
+    cuts = ("order_date < '1997-01-01'", "order_date < '1999-01-01'", "order_date >= '1999-01-01'")
+    layout, previous = Layout(str(tmp_path)), None
+    for load_id, cut in zip(ids, cuts):
+        part = staging.Staging(raw.customers, raw.products, raw.orders.filter(cut), raw.order_items, raw.events, raw.order_tax)
+        load = DailyLoad(layout, load_id, dt.date(2024, 1, 1), previous)
+        for _ in range(2 if load_id == ids[1] else 1):
+            load.run(spark, part)
+        previous = load_id
+    whole = DailyLoad(Layout(str(tmp_path / "one")), "1", dt.date(2024, 1, 1))
+    whole.run(spark, raw)
+    assert load.fact(spark).count() == whole.fact(spark).count()
+    for layer, table, key in (
+        ("analytics", "daily_sales_summary", ["date"]),
+        ("analytics", "product_performance", ["product_id"]),
+        ("processed_data", "dim_date", ["full_date"]),
+    ):
+        one, last = whole.layout.read(spark, layer, table, "1"), layout.read(spark, layer, table, ids[2])
+        assert rows(last.select(*one.columns), *key) == rows(one, *key), table
+
+
+def test_load_ids_are_refused(tmp_path):
+    for load_id, previous in (("a/b", None), ("", None), ("1", "1"), ("2", "x=1")):
+        with pytest.raises(ValueError):
+            DailyLoad(Layout(str(tmp_path)), load_id, dt.date(2024, 1, 1), previous)
+
+
 def test_new_customers_get_the_next_keys(spark, tmp_path):
     raw = staging.load_raw(spark, SF)
     some = staging.Staging(raw.customers.filter("registration_date < DATE '1996-01-01'"), raw.products, raw.orders, raw.order_items, raw.events, raw.order_tax)
