@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import SPACE, id_and_text, whole_text
+from salesloom.llm.common import SPACE, id_and_text, staged, whole_text
 
 
 def normalised(text: Column) -> Column:
@@ -46,12 +46,15 @@ def exact_groups(docs: DataFrame, hash_of=F.md5) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; a row repeated with id and text stays once.
 
-    doc_id names a document: rows that share an id stay or go together.
+    doc_id names a document: rows that share an id stay or go together. Repeated rows are dropped where the join has
+    brought an id's rows together, so that the texts shuffle once here and once for their groups.
     """
-    kept = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    sha_if_nameless = F.when(F.col("doc_id").isNull(), F.col("text_sha256")).alias("_sha")
+    kept = staged(exact_groups(docs).where("kept").select("doc_id", sha_if_nameless), "kept")
+    named = docs.where("doc_id IS NOT NULL").join(kept.select("doc_id"), "doc_id", "left_semi")
     sha = F.sha2(normalised(whole_text(docs)), 256)
-    named = docs.join(kept.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
     nameless = docs.where("doc_id IS NULL").join(
-        kept.where("doc_id IS NULL").select(F.col("text_sha256").alias("_sha")), sha == F.col("_sha"), "left_semi"
+        kept.where("doc_id IS NULL").select("_sha"), sha == F.col("_sha"), "left_semi"
     )
-    return named.select(docs.columns).unionByName(nameless.select(docs.columns)).dropDuplicates(["doc_id", "text"])
+    parts = [part.select(docs.columns).dropDuplicates(["doc_id", "text"]) for part in (named, nameless)]
+    return parts[0].unionByName(parts[1])
