@@ -148,8 +148,7 @@ _EVENTS = """
 WITH ev AS (
   SELECT event_id, ts, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS vc, value,
          'src' || CAST(CAST(json_extract_string(props, '$.k') AS INT) % 4 AS VARCHAR) AS source
-  FROM events),
-closed AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM ev)
+  FROM events)
 """
 
 _FUNNEL = _EVENTS + """, funnel AS (
@@ -182,7 +181,7 @@ _HOURLY = _EVENTS + """, hourly AS (
          count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'error') AS e,
          coalesce(sum(vc) FILTER (event_type = 'purchase'), 0) AS pv
   FROM ev GROUP BY a),
-done AS (SELECT *, a + INTERVAL 1 HOUR AS b FROM hourly WHERE a + INTERVAL 1 HOUR <= (SELECT w FROM closed))
+done AS (SELECT *, a + INTERVAL 1 HOUR AS b FROM hourly)
 """
 
 
@@ -554,12 +553,11 @@ UNION ALL SELECT 'lapsed_top_customer', CAST(customer_id AS VARCHAR), CAST(recen
     # streams
     "stream_events_count": _EVENTS + "SELECT event_type, count(*) AS events FROM ev GROUP BY event_type",
     "stream_tumbling_counts": _EVENTS + f""", t AS (SELECT date_trunc('hour', ts) AS a, event_type, count(*) AS n FROM ev GROUP BY ALL)
-SELECT {_ts('a')} AS window_start, {_ts('a + INTERVAL 1 HOUR')} AS window_end, event_type, n AS events
-FROM t WHERE a + INTERVAL 1 HOUR <= (SELECT w FROM closed)""",
+SELECT {_ts('a')} AS window_start, {_ts('a + INTERVAL 1 HOUR')} AS window_end, event_type, n AS events FROM t""",
     "stream_rate_5m": _EVENTS + f""", t AS (
   SELECT date_trunc('minute', ts) - to_minutes(CAST(k AS INT)) AS a, event_type, count(*) AS n FROM ev, range(0, 5) AS r(k) GROUP BY ALL)
 SELECT {_ts('a')} AS window_start, {_ts('a + INTERVAL 5 MINUTE')} AS window_end, event_type, n AS events,
-  CAST(n AS DOUBLE) / 300 AS rate FROM t WHERE a + INTERVAL 5 MINUTE <= (SELECT w FROM closed)""",
+  CAST(n AS DOUBLE) / 300 AS rate FROM t""",
     "realtime_metrics": _EVENTS + f""", t AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'purchase') AS p,
   count(*) FILTER (event_type = 'view') AS v, sum(vc) FILTER (event_type = 'purchase') AS pv FROM ev)
 SELECT n AS total_events, {_usd('pv')} AS total_revenue, CAST(p AS DOUBLE) / v * CAST(100 AS DOUBLE) AS conversion_rate,
@@ -568,7 +566,7 @@ SELECT n AS total_events, {_usd('pv')} AS total_revenue, CAST(p AS DOUBLE) / v *
 QUALIFY row_number() OVER (PARTITION BY event_type, source ORDER BY ev.ts DESC, event_id DESC) = 1""",
     "stream_dedup_events": _EVENTS + f"""SELECT event_id, {_ts('ts')} AS ts, user_id, event_type, {_usd('vc')} AS value, source FROM ev""",
     "stream_sessions": _SESSIONS + f"""SELECT {_ts('a')} AS window_start, {_ts('b')} AS window_end, user_id, n AS events,
-  {_usd('vc')} AS value FROM visits WHERE b <= (SELECT w FROM closed)""",
+  {_usd('vc')} AS value FROM visits""",
     "stream_alerts": _HOURLY + f""", k AS (
   SELECT a, b, 'revenue_low' AS rule, {_usd('pv')} AS observed, CAST(50 AS DOUBLE) AS threshold, {_usd('pv')} < 50 AS hit FROM done
   UNION ALL SELECT a, b, 'errors_high', CAST(e AS DOUBLE) / n, CAST(0.4 AS DOUBLE), CAST(e AS DOUBLE) / n > CAST(0.4 AS DOUBLE) FROM done
@@ -581,7 +579,7 @@ SELECT {_ts('a')} AS window_start, {_ts('b')} AS window_end, rule, observed, thr
   SELECT date_trunc('day', ts) AS a, c_mktsegment AS customer_segment, count(*) AS n
   FROM ev JOIN customer ON user_id = c_custkey GROUP BY ALL)
 SELECT {_ts('CAST(a AS TIMESTAMP)')} AS window_start, {_ts('CAST(a AS TIMESTAMP) + INTERVAL 1 DAY')} AS window_end, customer_segment, n AS events
-FROM t WHERE CAST(a AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT w FROM closed)""",
+FROM t""",
     # data quality
     "dq_overview": """SELECT 'Data Quality Check' AS check_type, count(*) AS total_records,
   count(DISTINCT o_custkey) AS unique_customers, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS unique_products,

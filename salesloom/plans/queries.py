@@ -51,6 +51,7 @@ STATUS_BANDS = {
 }
 PRICE_EDGES = tuple(1_000_000 * i for i in range(1, 10))  # cents
 SERIES = ("event_type", "source")
+WINDOW = ("window_start", "window_end")
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -536,12 +537,14 @@ def stream_events_count(spark, folder):
 
 @query
 def stream_tumbling_counts(spark, folder):
-    return sinks.drain_append(live.tumbling_counts(event_stream(spark, folder)), "tumbling_counts")
+    counts = live.tumbling_counts(event_stream(spark, folder))
+    return sinks.drain_updates(counts, "tumbling_counts", [*WINDOW, "event_type"])
 
 
 @query
 def stream_rate_5m(spark, folder):
-    return sinks.drain_append(live.sliding_rate(event_stream(spark, folder)), "sliding_rate")
+    rates = live.sliding_rate(event_stream(spark, folder))
+    return sinks.drain_updates(rates, "sliding_rate", [*WINDOW, "event_type"])
 
 
 @query
@@ -563,13 +566,14 @@ def stream_dedup_events(spark, folder):
 
 @query
 def stream_sessions(spark, folder):
-    return sinks.drain_append(live.sessions(event_stream(spark, folder)), "sessions")
+    return sinks.drain_sessions(event_stream(spark, folder), staging.events(spark, folder), live.sessions)
 
 
 @query
 def stream_alerts(spark, folder):
+    """Rules over the last revision of each hour: what an earlier one broke doesn't count."""
     hourly = live.windowed_metrics(event_stream(spark, folder))
-    return sinks.drain_append(live.alerts(hourly), "alerts")
+    return live.alerts(sinks.drain_updates(hourly, "hourly_metrics", WINDOW))
 
 
 @query
@@ -580,7 +584,7 @@ def stream_user_state(spark, folder):
 @query
 def stream_events_by_segment(spark, folder):
     joined = live.events_by_segment(event_stream(spark, folder), staging.buyers(spark, folder))
-    return sinks.drain_append(joined, "events_by_segment")
+    return sinks.drain_updates(joined, "events_by_segment", [*WINDOW, "customer_segment"])
 
 
 # --- data quality -------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Queries over the event stream. Each takes a DataFrame, so the same code runs on a batch.
 
-Windowed queries are meant for append mode: a window comes out once, when the watermark passes its end,
-and its state is dropped.
+Live, windowed queries run in append mode: a window comes out once, when the watermark passes its end, and its state
+is dropped. Over a finished input they run in update mode, so that windows still open at its end come out too.
 """
 
 from __future__ import annotations

@@ -85,7 +85,20 @@ def drain_updates(stream: DataFrame, name: str, keys: Sequence[str], mode: str =
     spark = stream.sparkSession
     path = scratch_path(spark, name)
     write_metrics(stream, path, scratch_path(spark, f"{name}-state"), until_done(), mode).awaitTermination()
-    return newest_per_key(spark.read.parquet(path), keys)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    return newest_per_key(spark.read.schema(schema).parquet(path), keys)
+
+
+def drain_sessions(stream: DataFrame, events: DataFrame, sessions: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Sessions of a finished input: those the watermark closed, and those still open over the events left.
+
+    Session windows have no update mode. ``events`` is the input as a batch; a user's events from the end of the last
+    closed session on are the ones the stream still held.
+    """
+    closed = drain_append(sessions(stream), "sessions")
+    until = closed.groupBy("user_id").agg(F.max("window_end").alias("_until"))
+    left = events.join(until, "user_id", "left").where("_until IS NULL OR ts >= _until").drop("_until")
+    return closed.unionByName(sessions(left))
 
 
 def daily_summary_merger(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:

@@ -47,6 +47,26 @@ def test_closed_windows_equal_the_batch(spark):
     assert rows(got, "window_start", "event_type") == rows(closed, "window_start", "event_type")
 
 
+def test_a_finished_input_gives_open_windows_too(spark):
+    keys = ["window_start", "window_end", "event_type"]
+    want = live.tumbling_counts(staging.events(spark, SF))
+    got = sinks.drain_updates(live.tumbling_counts(event_stream(spark, SF)), "t", keys)
+    assert rows(got.select(*want.columns), *keys) == rows(want, *keys)
+
+
+def test_sessions_of_a_finished_input(spark, tmp_path):
+    folder = write_files(
+        spark, tmp_path,
+        [(1, 0, 1, "view", 1), (2, 20, 1, "view", 1), (3, 10, 2, "view", 1)],
+        [(4, 120, 1, "view", 1), (5, 125, 3, "view", 1)],
+        [(6, 140, 1, "view", 1), (7, 171, 1, "view", 1)],  # the last visits are open when the input ends
+    )
+    raw = spark.read.schema(schemas.FILES["events"]).option("recursiveFileLookup", "true")
+    batch = staging.parse_events(raw.parquet(f"{folder}/events.parquet"))
+    got = sinks.drain_sessions(stream_of(spark, folder), batch, live.sessions)
+    assert rows(got, "user_id", "window_start") == rows(live.sessions(batch), "user_id", "window_start")
+
+
 @pytest.mark.parametrize(
     "job, keys",
     [
