@@ -65,7 +65,7 @@ def churn_auc(model: PipelineModel, labels: DataFrame) -> float:
 
 
 def sales_features(by_category: DataFrame) -> DataFrame:
-    """Lags and calendar columns per category and day; one row per category and day reaches the window."""
+    """Lags and calendar columns per category and day; ``by_category`` has a row for every day, so lags are days."""
     w = Window.partitionBy("category").orderBy("date")
     lags = {f"lag_{n}": dbl(F.lag("revenue", n).over(w)) for n in (1, 7, 28)}
     return (

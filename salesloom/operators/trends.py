@@ -121,8 +121,19 @@ def category_days(sales: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
+def every_category_day(by_category: DataFrame) -> DataFrame:
+    """The same with 0 for each category's days without sales, from the first day of any category to the last."""
+    first, last = by_category.agg(F.min("date")).scalar(), by_category.agg(F.max("date")).scalar()
+    days = by_category.select("category").distinct().select("category", F.explode(F.sequence(first, last)).alias("date"))
+    revenue = F.coalesce("revenue", F.lit(0)).cast(by_category.schema["revenue"].dataType)
+    return days.join(by_category, ["category", "date"], "left").select("category", "date", revenue.alias("revenue"))
+
+
 def revenue_anomalies(by_category: DataFrame, days: int = 28, sigmas: float = 3.0) -> DataFrame:
-    """Days further than ``sigmas`` deviations from the mean of the ``days`` before, per category."""
+    """Days further than ``sigmas`` deviations from the mean of the ``days`` before, per category.
+
+    The mean is over days with sales: a day without any is a gap in the data here, not a revenue of 0.
+    """
     before = Window.partitionBy("category").orderBy(F.unix_date("date")).rangeBetween(-days, -1)
     x = dbl("revenue")
     scored = by_category.select(

@@ -515,6 +515,22 @@ s AS (SELECT *, greatest(CAST(r AS DOUBLE) / CAST(sum(r) OVER () AS DOUBLE), 1e-
   greatest(CAST(c AS DOUBLE) / CAST(sum(c) OVER () AS DOUBLE), 1e-6) AS cs FROM b)
 SELECT bin, r AS reference_rows, c AS current_rows,
   CAST(CAST((cs - rs) * ln(cs / rs) AS DECIMAL(18,8)) AS DOUBLE) AS psi FROM s""",
+    "forecast_features": STAR + f""", c AS (SELECT category, d, sum(tc) AS tc FROM sales GROUP BY ALL),
+every AS (
+  SELECT k.category, CAST(t.d AS DATE) AS d FROM (SELECT DISTINCT category FROM c) k,
+    (SELECT unnest(generate_series((SELECT min(d) FROM c), (SELECT max(d) FROM c), INTERVAL 1 DAY)) AS d) t),
+f AS (SELECT e.category, e.d, {_usd('coalesce(c.tc, 0)')} AS x FROM every e LEFT JOIN c ON c.category = e.category AND c.d = e.d),
+l AS (
+  SELECT *, lag(x, 1) OVER w AS lag_1, lag(x, 7) OVER w AS lag_7, lag(x, 28) OVER w AS lag_28 FROM f
+  WINDOW w AS (PARTITION BY category ORDER BY d))
+SELECT category, {_iso('d')} AS date, x AS actual, lag_1, lag_7, lag_28, CAST(dayofweek(d) + 1 AS DOUBLE) AS day_of_week,
+  CAST(month(d) AS DOUBLE) AS month FROM l WHERE lag_28 IS NOT NULL""",
+    "drift_index": STAR + """, b AS (
+  SELECT CAST(least(greatest(tc // 1000000, 0), 9) AS INT) AS bin, count(*) FILTER (d < DATE '2001-01-01') AS r,
+    count(*) FILTER (d >= DATE '2001-01-01') AS c FROM sales GROUP BY bin),
+s AS (SELECT greatest(CAST(r AS DOUBLE) / CAST(sum(r) OVER () AS DOUBLE), 1e-6) AS rs,
+  greatest(CAST(c AS DOUBLE) / CAST(sum(c) OVER () AS DOUBLE), 1e-6) AS cs FROM b)
+SELECT CAST(sum(CAST((cs - rs) * ln(cs / rs) AS DECIMAL(18,8))) AS DOUBLE) AS psi FROM s""",
     # events
     "recent_events": _EVENTS + f"""SELECT event_id, {_ts('ts')} AS ts, user_id, event_type, {_usd('vc')} AS value, source
 FROM ev ORDER BY ev.ts DESC, event_id DESC LIMIT 100""",

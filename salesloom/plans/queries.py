@@ -383,10 +383,22 @@ def forecast_error(spark, folder):
     return trends.forecast_error(forecast_seasonal_naive(spark, folder), "seasonal_naive")
 
 
+def _sales_features(spark, folder):
+    sold = cut_lineage(trends.category_days(star.sales(spark, folder), _goods(spark, folder)))
+    return models.sales_features(trends.every_category_day(sold))
+
+
+@query
+def forecast_features(spark, folder):
+    """What ``forecast_gbt`` learns from."""
+    return _sales_features(spark, folder).select(
+        "category", "date", "actual", "lag_1", "lag_7", "lag_28", "day_of_week", "month"
+    )
+
+
 @query
 def forecast_gbt(spark, folder):
-    by_category = cut_lineage(trends.category_days(star.sales(spark, folder), _goods(spark, folder)))
-    return models.forecast_gbt(models.sales_features(by_category), MODEL_CUT)
+    return models.forecast_gbt(_sales_features(spark, folder), MODEL_CUT)
 
 
 @query
@@ -470,6 +482,12 @@ def feature_drift_psi(spark, folder):
     return models.stability_index(lines, "total_cents", F.col("order_day") < F.lit(MODEL_CUT), PRICE_EDGES)
 
 
+@query
+def drift_index(spark, folder):
+    """The population stability index of line amounts as one figure."""
+    return feature_drift_psi(spark, folder).agg(F.sum("psi").cast("decimal(18,8)").alias("psi"))
+
+
 # --- events -------------------------------------------------------------------------------------------
 
 
