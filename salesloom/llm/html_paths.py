@@ -30,17 +30,22 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article main section div body td html".split())
 ARTICLE = frozenset("article main".split())
-OUTSIDE = frozenset(
-    "nav footer aside form button select option input label menu dialog head fieldset search".split()
-)
-#: Words in a class, id or role that name what is no article.
+OUTSIDE = frozenset("nav footer aside button select option input label menu dialog head search".split())
+#: Elements that may also wrap a whole page.
+FORMS = frozenset("form fieldset".split())
+#: Whole class names, ids and roles of what is no article.
 BOILERPLATE = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar aside nav "
-    "navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer foot bottom cookie cookies "
-    "consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login form search share "
-    "sharing social related recommended recommendations trending widget comment comments commentlist disqus reply "
-    "replies respond discussion pagination pager toolbar copyright legal disclaimer complementary contentinfo "
-    "paywall toc tags".split()
+    "navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer cookie cookies consent gdpr "
+    "notice alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social "
+    "related recommended recommendations trending widget comment comments commentlist disqus reply replies respond "
+    "pagination pager toolbar copyright disclaimer complementary contentinfo paywall toc tags "
+    "ad-banner ad-box ad-container ad-slot ad-wrapper banner-ad site-header page-header site-footer page-footer "
+    "main-nav main-menu main-navigation site-nav site-navigation nav-bar nav-menu navigation-menu top-nav top-bar "
+    "side-bar left-sidebar right-sidebar sidebar-left sidebar-right cookie-banner cookie-bar cookie-notice "
+    "cookie-consent newsletter-signup newsletter-form subscribe-form search-form login-form share-buttons share-bar "
+    "social-share social-links social-media related-posts related-articles related-links related-content "
+    "recommended-posts comment-list comment-form comments-area comments-section comment-section".split()
 )
 #: Start tags that end an open element of the same family.
 CLOSES = {
@@ -54,9 +59,8 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S,
 )
-_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟]")
 
 #: Smoothing: weights of the neighbours one and two text nodes away.
@@ -72,6 +76,7 @@ class Element:
     parent: int
     outside: bool
     path: int
+    named: bool = False
 
 
 @dataclass(slots=True)
@@ -81,21 +86,28 @@ class Node:
     text: str
 
 
-def _outside(tag: str, attributes: str, parents: list[Element], at: int) -> bool:
+def _outside(tag: str, attributes: str, parents: list[Element], at: int) -> tuple[bool, bool]:
+    """Whether an element is no article for certain, and whether its name alone says so."""
     if tag in OUTSIDE:
-        return True
+        return True, False
     if tag == "header":  # the page's; an article's own header has its title
         while at >= 0:
             if parents[at].tag in ARTICLE:
-                return False
+                return False, False
             at = parents[at].parent
-        return True
-    if tag in ("body", "html", "article", "main") or not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-    return any(w in BOILERPLATE for w in _WORDS.findall(names))
+        return True, False
+    if tag in ("body", "html", "article", "main"):
+        return False, False
+    named = tag in FORMS
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), next(filter(None, values), "")
+        if name == "hidden" or name == "style" and _UNSEEN.search(value):
+            return True, False
+        if name == "aria-hidden" and value.strip().lower() == "true":
+            return True, False
+        if name in ("class", "id", "role"):
+            named = named or not BOILERPLATE.isdisjoint(value.lower().split())
+    return False, named
 
 
 def parse(page: str) -> tuple[list[Element], list[Node]]:
@@ -167,9 +179,9 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
         if tag in VOID or found[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         parent = elements[stack[-1]]
-        outside = parent.outside or _outside(tag, found[3], elements, stack[-1])
+        outside, named = (True, False) if parent.outside else _outside(tag, found[3], elements, stack[-1])
         path = paths.setdefault((parent.path, tag), len(paths) + 1)
-        elements.append(Element(tag, stack[-1], outside, path))
+        elements.append(Element(tag, stack[-1], outside, path, named))
         stack.append(len(elements) - 1)
     return elements, nodes
 
@@ -194,22 +206,55 @@ def path_scores(elements: list[Element], nodes: list[Node]) -> dict[int, float]:
     return {p: float(np.mean(s)) for p, s in scores.items()}
 
 
-def article_of(elements: list[Element], nodes: list[Node]) -> int:
-    """The element that holds the article: the nearest one around most of the content text."""
+def content_paths(elements: list[Element], nodes: list[Node]) -> set[int]:
+    """The paths whose score is at least THRESHOLD of the mean."""
     scores = path_scores(elements, nodes)
     weight = [len(n.text) for n in nodes]
     mean = sum(scores[elements[n.element].path] * w for n, w in zip(nodes, weight)) / sum(weight)
-    limit = THRESHOLD * mean
+    return {p for p, score in scores.items() if score >= THRESHOLD * mean}
+
+
+def held_text(elements: list[Element], nodes: list[Node], content: set[int]) -> tuple[dict[int, int], int]:
+    """Length of the content text in each element that has some, and in all."""
     held: dict[int, int] = defaultdict(int)
     total = 0
     for node in nodes:
-        if scores[elements[node.element].path] < limit:
+        if elements[node.element].path not in content:
             continue
         total += len(node.text)
         at = node.element
         while at >= 0:
             held[at] += len(node.text)
             at = elements[at].parent
+    return held, total
+
+
+def rule_out(elements: list[Element], nodes: list[Node]) -> None:
+    """Marks as outside what lies in an element that its name rules out.
+
+    A name does not rule out an element with most of the content text if the page's first article, main or h1 is in it
+    or hardly any such text is elsewhere: that one wraps the page.
+    """
+    named = [e for e, x in enumerate(elements) if x.named and not x.outside]
+    if not named:
+        return
+    seen = [n for n in nodes if not elements[n.element].outside]
+    held, total = held_text(elements, seen, content_paths(elements, seen)) if seen else ({}, 0)
+    title = next((e for e, x in enumerate(elements) if x.tag in ("article", "main", "h1") and not x.outside), 0)
+    around = set()
+    while title > 0:
+        around.add(title)
+        title = elements[title].parent
+    for e in named:
+        most = 2 * held.get(e, 0) > total and (e in around or 5 * held[e] >= 4 * total)
+        elements[e].outside = not most
+    for x in elements[1:]:  # parents come first
+        x.outside = x.outside or elements[x.parent].outside
+
+
+def article_of(elements: list[Element], nodes: list[Node]) -> int:
+    """The element that holds the article: the nearest one around most of the content text."""
+    held, total = held_text(elements, nodes, content_paths(elements, nodes))
     semantic = [e for e in held if elements[e].tag in ARTICLE]
     if semantic:  # of nested ones the inner, unless it has less
         return max(semantic, key=lambda e: (held[e], e))
@@ -220,9 +265,10 @@ def article_of(elements: list[Element], nodes: list[Node]) -> int:
 def main_text(page: str) -> str:
     """Blocks of the article in page order, joined by newlines; white space inside a block is one blank."""
     elements, nodes = parse(page)
-    inside = [n for n in nodes if not elements[n.element].outside]
-    for node in inside:
+    for node in nodes:
         node.text = html.unescape(node.text) if "&" in node.text else node.text
+    rule_out(elements, [n for n in nodes if n.text and not n.text.isspace()])
+    inside = [n for n in nodes if not elements[n.element].outside]
     filled = [n for n in inside if n.text and not n.text.isspace()]
     if not filled:
         return ""

@@ -342,3 +342,32 @@ def test_main_text_of_all_pages(spark):
 )
 def test_main_text(page, text):
     assert html_paths.main_text(page) == " ".join(text.split(" ")).strip()
+
+
+PROSE = "A first sentence, which has marks. Another one follows, and it ends here."
+
+
+@pytest.mark.parametrize(
+    "open_, close",
+    [
+        ('<div style="overflow:hidden">', "</div>"),
+        ('<p title="the hidden truth">', "</p>"),
+        ('<div class="content has-sidebar no-comments">', "</div>"),
+        ('<div class="related-work legal">', "</div>"),
+        ("<form action=x>", "</form>"),
+        ('<div class="overlay">', "</div>"),
+    ],
+)
+def test_wrappers_keep_their_text(open_, close):
+    assert html_paths.main_text(f"<body>{open_}{PROSE}<p>{PROSE}</p>{close}<footer>f</footer></body>") == f"{PROSE}\n{PROSE}"
+
+
+@pytest.mark.parametrize("mark", ["hidden", 'style="color:red; display: none"', "style='visibility:hidden'", 'class="x sidebar"'])
+def test_hidden_and_named_parts_go(mark):
+    page = f"<body><div class=article-header><h1>Title, yes.</h1></div><p>{PROSE}</p><p>{PROSE}</p><div {mark}><p>{PROSE}</p></div></body>"
+    assert html_paths.main_text(page) == f"Title, yes.\n{PROSE}\n{PROSE}"
+
+
+def test_long_comments_do_not_count_as_a_wrapper():
+    page = f"<body><article><h1>Title</h1><p>{PROSE}</p></article><div class=comments>{f'<article><p>{PROSE}</p></article>' * 3}</div></body>"
+    assert html_paths.main_text(page) == f"Title\n{PROSE}"
