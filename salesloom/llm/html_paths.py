@@ -1,9 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-The text nodes of a page are grouped by their path of tags from the root. A path's text ratio is its text length per
-node, its punctuation ratio the punctuation per node; both are smoothed along the page, multiplied, and the paths
-above a threshold are content. The article is the container that holds most of the content, less what the markup
-itself calls a menu, header, footer, sidebar, notice, advert, form or comment.
+The text blocks of a page are grouped by their path of block tags from the root. A path's text ratio is its text length
+per block, its punctuation ratio the punctuation per block; both are smoothed along the page, multiplied, and the blocks
+on paths above a threshold are content. Around them, headings of content and plain items of a list or table between content
+count too, as they are short by nature; lists of links don't. The article is the content of the container that holds most
+of it and of the articles beside that, less what the markup itself calls a menu, header, footer, sidebar, notice, advert,
+form or comment.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article main section div body td html".split())
 ARTICLE = frozenset("article main".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What is short by nature; text in these is content between content unless it is mostly links.
+ITEM = frozenset("li dt dd td th caption figcaption pre summary".split())
 OUTSIDE = frozenset("nav footer aside button select option input label menu dialog head search".split())
 #: Elements that may also wrap a whole page.
 FORMS = frozenset("form fieldset".split())
@@ -77,6 +82,8 @@ class Element:
     outside: bool
     path: int
     named: bool = False
+    inside: str = ""
+    linked: bool = False
 
 
 @dataclass(slots=True)
@@ -86,6 +93,17 @@ class Node:
     text: str
 
 
+@dataclass(slots=True)
+class Block:
+    """What stands between two ends of blocks: an element of it, its text's length and marks, the length in links."""
+
+    element: int
+    path: int
+    length: int = 0
+    marks: int = 0
+    linked: int = 0
+
+
 def _outside(tag: str, attributes: str, parents: list[Element], at: int) -> tuple[bool, bool]:
     """Whether an element is no article for certain, and whether its name alone says so."""
     if tag in OUTSIDE:
@@ -180,21 +198,36 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             continue
         parent = elements[stack[-1]]
         outside, named = (True, False) if parent.outside else _outside(tag, found[3], elements, stack[-1])
-        path = paths.setdefault((parent.path, tag), len(paths) + 1)
-        elements.append(Element(tag, stack[-1], outside, path, named))
+        path = paths.setdefault((parent.path, tag), len(paths) + 1) if tag in BLOCK else parent.path
+        kind = tag if tag in HEADING or tag in ITEM else parent.inside
+        elements.append(Element(tag, stack[-1], outside, path, named, kind, parent.linked or tag == "a"))
         stack.append(len(elements) - 1)
     return elements, nodes
 
 
-def path_scores(elements: list[Element], nodes: list[Node]) -> dict[int, float]:
-    """Smoothed and fused text and punctuation ratios of each tag path among the given nodes."""
-    count, length, marks = defaultdict(int), defaultdict(int), defaultdict(int)
+def blocks_of(elements: list[Element], nodes: list[Node]) -> dict[int, Block]:
+    """The blocks of the given nodes by number, in page order."""
+    blocks: dict[int, Block] = {}
     for node in nodes:
-        path = elements[node.element].path
-        count[path] += 1
-        length[path] += len(node.text)
-        marks[path] += len(_PUNCTUATION.findall(node.text))
-    paths = [elements[n.element].path for n in nodes]
+        element = elements[node.element]
+        block = blocks.get(node.block)
+        if block is None:
+            block = blocks[node.block] = Block(node.element, element.path)
+        block.length += len(node.text)
+        block.marks += len(_PUNCTUATION.findall(node.text))
+        if element.linked:
+            block.linked += len(node.text)
+    return blocks
+
+
+def path_scores(blocks: list[Block]) -> dict[int, float]:
+    """Smoothed and fused text and punctuation ratios of each tag path among the given blocks."""
+    count, length, marks = defaultdict(int), defaultdict(int), defaultdict(int)
+    for block in blocks:
+        count[block.path] += 1
+        length[block.path] += block.length
+        marks[block.path] += block.marks
+    paths = [b.path for b in blocks]
     ratios = []
     for total in (length, marks):
         row = np.array([total[p] / count[p] for p in paths])
@@ -206,25 +239,24 @@ def path_scores(elements: list[Element], nodes: list[Node]) -> dict[int, float]:
     return {p: float(np.mean(s)) for p, s in scores.items()}
 
 
-def content_paths(elements: list[Element], nodes: list[Node]) -> set[int]:
+def content_paths(blocks: list[Block]) -> set[int]:
     """The paths whose score is at least THRESHOLD of the mean."""
-    scores = path_scores(elements, nodes)
-    weight = [len(n.text) for n in nodes]
-    mean = sum(scores[elements[n.element].path] * w for n, w in zip(nodes, weight)) / sum(weight)
+    scores = path_scores(blocks)
+    mean = sum(scores[b.path] * b.length for b in blocks) / sum(b.length for b in blocks)
     return {p for p, score in scores.items() if score >= THRESHOLD * mean}
 
 
-def held_text(elements: list[Element], nodes: list[Node], content: set[int]) -> tuple[dict[int, int], int]:
+def held_text(elements: list[Element], blocks: list[Block], content: set[int]) -> tuple[dict[int, int], int]:
     """Length of the content text in each element that has some, and in all."""
     held: dict[int, int] = defaultdict(int)
     total = 0
-    for node in nodes:
-        if elements[node.element].path not in content:
+    for block in blocks:
+        if block.path not in content:
             continue
-        total += len(node.text)
-        at = node.element
+        total += block.length
+        at = block.element
         while at >= 0:
-            held[at] += len(node.text)
+            held[at] += block.length
             at = elements[at].parent
     return held, total
 
@@ -232,34 +264,71 @@ def held_text(elements: list[Element], nodes: list[Node], content: set[int]) ->
 def rule_out(elements: list[Element], nodes: list[Node]) -> None:
     """Marks as outside what lies in an element that its name rules out.
 
-    A name does not rule out an element with most of the content text if the page's first article, main or h1 is in it
-    or hardly any such text is elsewhere: that one wraps the page.
+    A name does not rule out an element with most of the content text that holds the page's first article or main, without
+    those an h1, or if there is neither nearly all such text: that one wraps the page.
     """
     named = [e for e, x in enumerate(elements) if x.named and not x.outside]
     if not named:
         return
-    seen = [n for n in nodes if not elements[n.element].outside]
-    held, total = held_text(elements, seen, content_paths(elements, seen)) if seen else ({}, 0)
-    title = next((e for e, x in enumerate(elements) if x.tag in ("article", "main", "h1") and not x.outside), 0)
+    seen = list(blocks_of(elements, [n for n in nodes if not elements[n.element].outside]).values())
+    held, total = held_text(elements, seen, content_paths(seen)) if seen else ({}, 0)
+    marks = [e for e, x in enumerate(elements) if x.tag in ARTICLE and not x.outside][:1]
+    marks = marks or [e for e, x in enumerate(elements) if x.tag == "h1" and not x.outside]
     around = set()
-    while title > 0:
-        around.add(title)
-        title = elements[title].parent
+    for at in marks:
+        while at > 0:
+            around.add(at)
+            at = elements[at].parent
     for e in named:
-        most = 2 * held.get(e, 0) > total and (e in around or 5 * held[e] >= 4 * total)
+        most = 2 * held.get(e, 0) > total and (e in around or not marks and 5 * held[e] >= 4 * total)
         elements[e].outside = not most
     for x in elements[1:]:  # parents come first
         x.outside = x.outside or elements[x.parent].outside
 
 
-def article_of(elements: list[Element], nodes: list[Node]) -> int:
-    """The element that holds the article: the nearest one around most of the content text."""
-    held, total = held_text(elements, nodes, content_paths(elements, nodes))
+def articles_of(elements: list[Element], blocks: list[Block], content: set[int]) -> list[int]:
+    """The elements that hold the article: the nearest one around most of the content text, and articles beside it."""
+    held, total = held_text(elements, blocks, content)
     semantic = [e for e in held if elements[e].tag in ARTICLE]
     if semantic:  # of nested ones the inner, unless it has less
-        return max(semantic, key=lambda e: (held[e], e))
+        best = max(semantic, key=lambda e: (held[e], e))
+        beside = [e for e in semantic if elements[e].parent == elements[best].parent]
+        if 2 * sum(held[e] for e in beside) >= total:
+            return beside
     inner = [e for e in held if elements[e].tag in CONTAINER and held[e] >= 0.6 * total]
-    return max(inner, default=0)
+    return [max(inner, default=0)]
+
+
+def within(elements: list[Element], roots: list[int]) -> list[bool]:
+    """Whether each element is one of the roots or lies in one."""
+    out = [False] * len(elements)
+    for e, x in enumerate(elements):  # parents come first
+        out[e] = e in roots or x.parent >= 0 and out[x.parent]
+    return out
+
+
+def chosen(elements: list[Element], blocks: dict[int, Block]) -> set[int]:
+    """Numbers of the article's blocks: those on content paths in it, their headings, and plain items between them."""
+    content = content_paths(list(blocks.values()))
+    held = within(elements, articles_of(elements, list(blocks.values()), content))
+    rows = [(n, b) for n, b in blocks.items() if held[b.element]]
+    kept: set[int] = set()
+    before = False
+    waiting: list[int] = []
+    for number, block in rows:
+        kind = elements[block.element].inside
+        link = kind in ITEM and 2 * block.linked >= block.length and not block.marks  # smoothing lifts it beside content
+        if block.path in content and not link:
+            kept.update([number, *waiting])
+            waiting, before = [], True
+        elif kind in HEADING:
+            waiting.append(number)
+        elif kind in ITEM and before and not link:
+            kept.update([number, *waiting])
+            waiting = []
+        else:
+            waiting, before = [], False
+    return kept
 
 
 def main_text(page: str) -> str:
@@ -272,21 +341,10 @@ def main_text(page: str) -> str:
     filled = [n for n in inside if n.text and not n.text.isspace()]
     if not filled:
         return ""
-    root = article_of(elements, filled)
-    within: dict[int, bool] = {root: True, -1: False}
-
-    def belongs(e: int) -> bool:
-        seen = []
-        while e not in within:
-            seen.append(e)
-            e = elements[e].parent
-        for s in seen:
-            within[s] = within[e]
-        return within[e]
-
+    kept = chosen(elements, blocks_of(elements, filled))
     blocks: dict[int, list[str]] = defaultdict(list)
     for node in inside:
-        if belongs(node.element):
+        if node.block in kept:
             blocks[node.block].append(node.text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(line for line in lines if line)

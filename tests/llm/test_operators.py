@@ -371,3 +371,24 @@ def test_hidden_and_named_parts_go(mark):
 def test_long_comments_do_not_count_as_a_wrapper():
     page = f"<body><article><h1>Title</h1><p>{PROSE}</p></article><div class=comments>{f'<article><p>{PROSE}</p></article>' * 3}</div></body>"
     assert html_paths.main_text(page) == f"Title\n{PROSE}"
+
+
+def test_paths_below_the_threshold_go():
+    extra = "<div>Buy now</div><ul><li><a href=a>One link</a><li><a href=b>Two link</a></ul><div><span>Notice</span></div>"
+    page = f"<body><article><h1>Title</h1><p>{PROSE * 3}</p>{extra}<h2>Part</h2><p>{PROSE * 3}</p><ul><li>tea<li>milk</ul><p>So.</p></article>"
+    assert html_paths.main_text(page) == f"Title\n{PROSE * 3}\nPart\n{PROSE * 3}\ntea\nmilk\nSo."
+
+
+def test_sibling_articles_are_all_kept():
+    page = f"<body><div><article><p>{PROSE * 2}</p></article><article><h2>Two</h2><p>{PROSE}</p></article></div><footer>f</footer>"
+    assert html_paths.main_text(page) == f"{PROSE * 2}\nTwo\n{PROSE}"
+
+
+def test_a_small_article_does_not_hide_the_text():
+    page = f"<body><div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><div><article><p>{PROSE}</p></article></div>"
+    assert html_paths.main_text(page) == f"Title\n{PROSE}\n{PROSE}\n{PROSE}"
+
+
+def test_an_advert_longer_than_the_article_goes():
+    page = f"<body><div class=ad>{PROSE}</div><article><h1>Short.</h1><p><b>Short.<br></article></body>"
+    assert html_paths.main_text(page) == "Short.\nShort."
