@@ -27,8 +27,8 @@ ANCHOR = 24
 #: Bytes that are hashed at once, and text whose runs are compared before the shuffle.
 PIECE, GATHERED = 1 << 20, 16 << 20
 
-#: Different runs around one anchor that a task sorts; those of a more frequent anchor are cut into windows and dealt
-#: out by the windows' bytes.
+#: Different runs around one anchor that a task sorts; those of a more frequent anchor are cut into windows, which are
+#: aggregated by their digests.
 CROWD = 5000
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -179,29 +179,29 @@ def all_runs(docs: DataFrame) -> DataFrame:
 
 
 def _sorted_out(runs: DataFrame) -> DataFrame:
-    """(doc_id, start, count) of windows that occur earlier among different runs of one key and part."""
+    """(doc_id, start, count) of windows that occur earlier among different runs of one key, at most CROWD of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list | None = None
 
         def table(c: list, n: int) -> pa.RecordBatch:
-            group = np.cumsum(np.concatenate([[True], (c[0][1:n] != c[0][: n - 1]) | (c[1][1:n] != c[1][: n - 1])]))
-            strings, lead, count = c[6][:n], c[5][:n], c[4][:n]
-            place = np.stack([c[2][:n], c[3][:n]], axis=1)
+            group = np.cumsum(np.concatenate([[True], c[0][1:n] != c[0][: n - 1]]))
+            strings, lead, count = c[5][:n], c[4][:n], c[3][:n]
+            place = np.stack([c[1][:n], c[2][:n]], axis=1)
             repeated = repeated_windows(WINDOW, group, strings, lead, count, place)
             edge = np.diff(np.pad(repeated.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, begin = np.nonzero(edge == 1)
             _, end = np.nonzero(edge == -1)
             return pa.RecordBatch.from_arrays(
-                [pa.array(c[2][row]), pa.array(c[3][row] + begin), pa.array(end - begin)], ["doc_id", "start", "count"]
+                [pa.array(c[1][row]), pa.array(c[2][row] + begin), pa.array(end - begin)], ["doc_id", "start", "count"]
             )
 
         for batch in batches:
-            now: list = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
-            now.append(batch.column(6).to_pylist())
+            now: list = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            now.append(batch.column(5).to_pylist())
             if rest is not None:
-                now = [np.concatenate([a, b]) for a, b in zip(rest[:6], now[:6])] + [rest[6] + now[6]]
-            new = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
+                now = [np.concatenate([a, b]) for a, b in zip(rest[:5], now[:5])] + [rest[5] + now[5]]
+            new = now[0][1:] != now[0][:-1]
             last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0  # the last group may go on
             if last >= 4096:
                 yield table(now, last)
@@ -210,10 +210,36 @@ def _sorted_out(runs: DataFrame) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield table(rest, len(rest[0]))
 
-    columns = ["key", "part", "doc_id", "start", "count", "lead", "bytes"]
+    columns = ["key", "doc_id", "start", "count", "lead", "bytes"]
     return runs.select(columns).mapInArrow(run, "doc_id long, start long, count long")
 
 
+def _aggregated(runs: DataFrame) -> DataFrame:
+    """The same for the runs of crowded keys: each window by itself.
+
+    A task's windows are aggregated before they shuffle, by 128 bits of SHA-256; only digests that occur in two places
+    are joined back, and no group is ever held by a task.
+    """
+    step = F.col("i")
+    windows = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).select(
+        F.substring(
+            F.unhex(F.sha2(F.substring(F.col("bytes"), step.cast("int") + 1, F.lit(WINDOW)), 256)), 1, 16
+        ).alias("digest"),
+        "doc_id",
+        (F.col("start") + step).alias("start"),
+    )
+    place = F.struct("doc_id", "start")
+    repeated = (
+        windows.groupBy("digest")
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("digest", "first")
+    )
+    return windows.join(repeated, "digest").where(place != F.col("first")).select(
+        "doc_id", "start", F.lit(1).cast("long").alias("count")
+    )
+
+
 def _cleaned(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,29 +297,11 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         .join(texts, "doc_id")
         .select("key", "doc_id", "start", "count", "lead", "classes", bytes_of.alias("bytes"))
     )
-    # a run of a crowded anchor is cut into its windows (i), any other stays whole (no i)
     crowded = F.col("classes") > crowd
-    windows = F.when(crowded, F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).otherwise(
-        F.array(F.lit(None).cast("long"))
-    )
-    step = F.coalesce("i", F.lit(0))
-    cut = F.when(crowded, F.substring(F.col("bytes"), step.cast("int") + 1, F.lit(WINDOW))).otherwise(F.col("bytes"))
-    parts = F.ceil(F.col("classes") / F.lit(crowd))
-    grouped = (
-        different.withColumn("i", F.explode(windows))
-        .select(
-            "key",
-            "doc_id",
-            (F.col("start") + step).alias("start"),
-            F.when(crowded, F.lit(1).cast("long")).otherwise(F.col("count")).alias("count"),
-            (F.col("lead") - step).alias("lead"),
-            cut.alias("bytes"),
-            F.when(crowded, F.pmod(F.xxhash64(cut), parts)).otherwise(F.lit(0)).cast("long").alias("part"),
-        )
-        .repartition("key", "part")
-        .sortWithinPartitions("key", "part")
-    )
+    grouped = different.where(~crowded).repartition("key").sortWithinPartitions("key")
     gone = found.where("goes").select("doc_id", "start", "count").unionByName(_sorted_out(grouped))
+    if not found.where(~F.col("goes") & crowded).isEmpty():
+        gone = gone.unionByName(_aggregated(different.where(crowded)))
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("count"))
     spans = gone.groupBy("doc_id").agg(F.collect_list(packed).alias("spans"))  # bounded by one text
     nameless = rows.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<long>"))

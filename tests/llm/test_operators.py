@@ -110,6 +110,24 @@ def test_suffix_dedup(spark, crowd):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute.without_repeats(rows)
 
 
+def test_suffix_dedup_of_a_passage_in_all_texts(spark, monkeypatch):
+    """Different neighbours around one passage: right, and no task sorts more than a crowd."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(i, f"{rng.getrandbits(400):0120x}{passage}{rng.getrandbits(400):0120x}") for i in range(60)]
+    sorted_out, largest = suffix_dedup._sorted_out, []
+
+    def spy(runs):
+        keys = [c for c in ("key", "part") if c in runs.columns]
+        largest.append(max((r["count"] for r in runs.groupBy(keys).count().collect()), default=0))
+        return sorted_out(runs)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_out", spy)
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 10).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute.without_repeats(rows)
+    assert sum(r.n_spans for r in found) >= 59 and largest[0] <= 10
+
+
 def test_suffix_dedup_cuts_long_texts(spark, monkeypatch):
     rows = _generated()[:60]
     monkeypatch.setattr(suffix_dedup, "PIECE", 300)
