@@ -6,7 +6,7 @@ Bought-together figures are taken for a given table of anchor products, of any l
 
 from __future__ import annotations
 
-from pyspark.ml.recommendation import ALS
+from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,28 +75,15 @@ def purchase_counts(sales: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).cast("float").alias("rating"))
 
 
-def category_candidates(sales: DataFrame, products: DataFrame, per_category: int) -> DataFrame:
-    """Each customer with the best sellers of the category they spend most in."""
-    kinds = products.select("product_id", "category")
-    spend = sales.groupBy("customer_id", "product_id").agg(F.sum("total_cents").alias("spent"))
-    by_kind = spend.join(kinds, "product_id").groupBy("customer_id", "category").agg(F.sum("spent").alias("spent"))
-    favourite = by_kind.groupBy("customer_id").agg(
-        F.max_by("category", F.struct("spent", "category")).alias("category")
-    )
-    sold = _revenue(sales).join(kinds, "product_id")
-    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.col("_cents").desc(), "product_id"))
-    best = sold.withColumn("_rank", rank).filter(F.col("_rank") <= per_category).select("category", "product_id")
-    return favourite.join(best, "category").select(
-        F.col("customer_id").cast("int").alias("customer_id"), F.col("product_id").cast("int").alias("product_id")
+def score_pairs(model: ALSModel, pairs: DataFrame) -> DataFrame:
+    """The model's score of each given (customer, product) pair, whatever table the caller has."""
+    return model.transform(pairs.select("customer_id", "product_id")).select(
+        "customer_id", "product_id", F.col("prediction").cast("double").alias("score")
     )
 
 
-def recommend_als(
-    sales: DataFrame, products: DataFrame, limit: int = 5, per_category: int = 20, seed: int = 42
-) -> DataFrame:
-    """Factor model on purchase counts, used to rank each customer's candidates."""
-    ratings = cut_lineage(purchase_counts(sales))
-    model = ALS(
+def fit_als(ratings: DataFrame, seed: int = 42) -> ALSModel:
+    return ALS(
         userCol="customer_id",
         itemCol="product_id",
         ratingCol="rating",
@@ -106,10 +93,15 @@ def recommend_als(
         seed=seed,
         coldStartStrategy="drop",
     ).fit(ratings)
-    scored = model.transform(category_candidates(sales, products, per_category))
-    order = Window.partitionBy("customer_id").orderBy(F.col("prediction").desc(), F.col("product_id"))
+
+
+def recommend_als(sales: DataFrame, limit: int = 5, seed: int = 42) -> DataFrame:
+    """Factor model on purchase counts; every pair that was bought is scored, each customer's best products are ranked."""
+    ratings = cut_lineage(purchase_counts(sales))
+    order = Window.partitionBy("customer_id").orderBy(F.col("score").desc(), F.col("product_id"))
     return (
-        scored.withColumn("rank", F.row_number().over(order))
+        score_pairs(fit_als(ratings, seed), ratings)
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
-        .select("customer_id", "rank", "product_id", F.col("prediction").cast("double").alias("score"))
+        .select("customer_id", "rank", "product_id", "score")
     )

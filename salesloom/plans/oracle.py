@@ -440,8 +440,8 @@ SELECT category, {_usd('tc')} AS revenue, {_usd('tc')} / {_usd('sum(tc) OVER ()'
 SELECT product_id, {_usd('tc')} AS revenue, {_usd('cum')} / {_usd('t')} AS cumulative_share,
   CASE WHEN cum * 100 <= t * 80 THEN 'A' WHEN cum * 100 <= t * 95 THEN 'B' ELSE 'C' END AS abc_class, category
 FROM c JOIN prod USING (product_id)""",
-    "copurchase_pairs": _BASKET + "SELECT anchor_id, product_id, n AS orders_together FROM pairs",
-    "recommend_copurchase": _BASKET + """, single AS (SELECT product_id, count(*) AS n FROM basket GROUP BY product_id),
+    "best_seller_companions": _BASKET + "SELECT anchor_id, product_id, n AS orders_together FROM pairs",
+    "best_seller_recommendations": _BASKET + """, single AS (SELECT product_id, count(*) AS n FROM basket GROUP BY product_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY n DESC, product_id) AS rank FROM pairs),
 t AS (SELECT CAST(count(DISTINCT order_id) AS DOUBLE) AS t FROM basket)
 SELECT r.anchor_id, CAST(rank AS INT) AS rank, r.product_id, r.n AS orders_together, r.n / t AS support,

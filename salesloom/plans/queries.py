@@ -328,21 +328,21 @@ def _slim_lines(spark, folder):
 
 
 @query
-def copurchase_pairs(spark, folder):
+def best_seller_companions(spark, folder):
     """Re-aimed: companions of the 20 best sellers rather than all pairs of every basket."""
     lines = _slim_lines(spark, folder)
     return recommend.copurchases(recommend.baskets(lines), recommend.best_sellers(lines, 20))
 
 
 @query
-def recommend_copurchase(spark, folder):
+def best_seller_recommendations(spark, folder):
     lines = _slim_lines(spark, folder)
     return recommend.recommend_copurchase(recommend.baskets(lines), recommend.best_sellers(lines, 20), 5)
 
 
 @query
 def recommend_als(spark, folder):
-    return recommend.recommend_als(_slim_lines(spark, folder), _goods(spark, folder))
+    return recommend.recommend_als(_slim_lines(spark, folder))
 
 
 # --- trends and forecasts -----------------------------------------------------------------------------

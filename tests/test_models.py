@@ -49,6 +49,21 @@ def test_recommendations_are_ranked(spark):
     assert per.filter("n > 5 OR n <> top").count() == 0
 
 
+def test_every_bought_pair_is_scored(spark):
+    """Of any category and however seldom sold, with the product of the factors as its score."""
+    rng = random.Random(6)
+    data = [(rng.randint(0, 20), rng.randint(0, 60)) for _ in range(500)]
+    lines = spark.createDataFrame(data, "customer_id long, product_id long")
+    got = recommend.recommend_als(lines, limit=100).collect()
+    assert {(r.customer_id, r.product_id) for r in got} == set(data) and len(got) == len(set(data))
+    model = recommend.fit_als(recommend.purchase_counts(lines))
+    users = {r.id: r.features for r in model.userFactors.collect()}
+    items = {r.id: r.features for r in model.itemFactors.collect()}
+    pairs = lines.select("customer_id", "product_id").distinct()
+    for r in recommend.score_pairs(model, pairs).collect():
+        assert abs(r.score - sum(a * b for a, b in zip(users[r.customer_id], items[r.product_id]))) < 1e-5
+
+
 def test_same_distribution_has_no_drift(spark):
     df = spark.range(1000).selectExpr("id % 10 AS x", "id < 500 AS old")
     psi = models.stability_index(df, "x", F.col("old"), [3, 6]).selectExpr("sum(psi)").first()[0]
