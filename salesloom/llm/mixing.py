@@ -3,7 +3,8 @@
 The words that a mix takes come in blocks. Sainte-Lague gives blocks to sources by highest quotient
 ``target / (2 s - 1)`` for the s-th block, and again a source's blocks to its shards by their sizes. In a shard the
 documents stand in a seeded order and their words form a ring; the shard's quota runs along the ring from a seeded
-block on, at most twice around. Nothing is enumerated by block.
+block on, at most twice around. What a quota has above that goes to the source's other shards. Nothing is enumerated by
+block.
 """
 
 from __future__ import annotations
@@ -94,6 +95,25 @@ def targets(sources: DataFrame, mix: Mix) -> DataFrame:
     return rows.withColumn("target", target).drop("_weight", "_cap", "_ratio", "_level")
 
 
+def within_caps(cells: DataFrame, mix: Mix) -> DataFrame:
+    """Adds each cell's ``words``: its quota of blocks, at most ``most_repeats`` times its size.
+
+    The excess of a source fills its other cells up in a seeded order; the last one gets a part of a block.
+    """
+    whole = Window.partitionBy("source_key")
+    along = whole.orderBy(F.xxhash64("source_key", "shard", F.lit(mix.seed + 1)), "shard")
+    wanted, cap = F.col("quota") * mix.block, F.col("cell_size") * mix.most_repeats
+    excess = F.sum("_excess").over(whole)
+    before = F.sum("_room").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_room")
+    return (
+        cells.withColumn("_excess", F.greatest(wanted - cap, F.lit(0)))
+        .withColumn("_room", F.greatest(cap - wanted, F.lit(0)))
+        .withColumn("_more", F.greatest(F.lit(0), F.least(F.col("_room"), excess - before)))
+        .withColumn("words", F.least(wanted, cap) + F.col("_more"))
+        .drop("_excess", "_room", "_more")
+    )
+
+
 def _overlap(start: Column, end: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(end, high) - F.greatest(start, low))
 
@@ -126,10 +146,10 @@ def allocate(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     by_cell = sainte_lague(
         cells.drop("source").join(by_source, "source_key"), ["source_key"], "shard", "cell_size", "source_quota"
     )
-    words, size = F.col("quota") * mix.block, F.col("cell_size")
+    words, size = F.col("words"), F.col("cell_size")
     passes = F.when(size > 0, F.least(F.floor(words / size), F.lit(mix.most_repeats))).otherwise(F.lit(0))
     plan = staged(
-        by_cell.withColumn("copies", passes.cast("long"))
+        within_caps(by_cell, mix).withColumn("copies", passes.cast("long"))
         .withColumn(
             "run", F.when((size > 0) & (F.col("copies") < mix.most_repeats), words - F.col("copies") * size).otherwise(0)
         )

@@ -200,6 +200,20 @@ def test_mixing(docs, texts):
     assert all(words[i] == r.taken for i, r in got.items())
 
 
+@pytest.mark.parametrize("words", [5, 20, 100])
+def test_mixing_reaches_the_targets_of_short_texts_in_many_shards(spark, words):
+    rows = [(i, " ".join(["w"] * words), "a") for i in range(150)]  # at its cap
+    rows += [(1000 + i, " ".join(["w"] * 400), "bc"[i % 2]) for i in range(250)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(shard_rows=1)
+    taken = Counter()
+    for r in mixing.allocate(frame, mix).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source_size, r.target] += r.taken
+    for (size, target), n in taken.items():
+        assert abs(n - target) <= 3 * mix.block
+
+
 def test_text_statistics(docs, texts):
     for r in rules.text_statistics(docs).collect():
         want = brute.text_counts(texts[r.doc_id])
