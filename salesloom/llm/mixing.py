@@ -118,19 +118,22 @@ def _overlap(start: Column, end: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(end, high) - F.greatest(start, low))
 
 
-def allocate(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def allocate(docs: DataFrame, mix: Mix = Mix(), keys: tuple[Column, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken, and what is taken.
 
     ``copies`` is how often the whole document is taken, ``pieces`` the word ranges (start, words) taken besides.
     A null text has no word and a source of its own is the null one; a source without words has target 0. Repeated
-    rows are documents of their own. The result depends on the rows alone, not on their order or partitions.
+    rows are documents of their own. The result depends on the rows alone, not on their order or partitions. ``keys`` go
+    along.
     """
+    names = [f"row_key{k}" for k in range(len(keys))]
     shards = max(1, min(mix.most_shards, -(-docs.count() // mix.shard_rows)))
     sized = staged(
         docs.select(
             docs["doc_id"].cast("long").alias("doc_id"),
             docs["source"].cast("string").alias("source"),
             F.regexp_count(whole_text(docs), F.lit(WORD)).cast("long").alias("size"),
+            *[key.alias(name) for key, name in zip(keys, names)],
         )
         .withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
         .withColumn("draw", F.xxhash64("doc_id", "size", F.lit(mix.seed)))
@@ -159,9 +162,9 @@ def allocate(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         .select("source_key", "shard", "source_size", "target", "cell_size", "copies", "run", "low"),
         "quotas",
     )
-    order = Window.partitionBy("source_key", "shard").orderBy("draw", F.col("doc_id").asc_nulls_last())
+    order = Window.partitionBy("source_key", "shard").orderBy("draw", F.col("doc_id").asc_nulls_last(), *names)
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    laid = sized.select("doc_id", "size", "source_key", "shard", "draw").withColumn("end", end)
+    laid = sized.select("doc_id", "size", "source_key", "shard", "draw", *names).withColumn("end", end)
     laid = laid.withColumn("start", F.col("end") - F.col("size"))
     high = F.coalesce(F.col("low"), F.lit(0)) + F.col("run")
     low = F.coalesce(F.col("low"), F.lit(0))
@@ -175,30 +178,44 @@ def allocate(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         laid.join(plan, ["source_key", "shard"])
         .withColumn("pieces", F.filter(pieces, lambda p: p["words"] > 0))
         .withColumn("taken", F.col("copies") * F.col("size") + first + again)
-        .select("doc_id", "size", "source_size", "target", "taken", "copies", "pieces")
+        .select("doc_id", "size", "source_size", "target", "taken", "copies", "pieces", *names)
     )
 
 
+def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by all their columns, nulls too."""
+    columns = [docs[f.name] for f in docs.schema if f.dataType.typeName() not in ("map", "variant", "void")]
+    nulls = F.array(*[c.isNull() for c in columns])
+    return F.xxhash64(F.lit(1), nulls, *columns), F.xxhash64(F.lit(2), nulls, *columns)
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix: a row for every copy of a document that is taken, and one for every piece, which has its words alone.
 
     Columns are those of ``docs``; a piece has its words joined by blanks, and ``n_chars``, if there, follows the text.
-    doc_id names a document, a row without one is left out.
+    Each row takes its own parts, whatever its doc_id; rows that are equal throughout share theirs out.
     """
-    chosen = allocate(docs, mix).where("taken > 0").select("doc_id", "size", "copies", "pieces")
+    keys = _row_keys(docs)
+    chosen = allocate(docs, mix, keys).where("taken > 0")
     whole = F.filter(F.col("pieces"), lambda p: p["words"] == F.col("size"))
     times = F.array_repeat(
         F.struct(F.lit(-1).cast("long").alias("start"), F.col("size").alias("words")),
         (F.col("copies") + F.size(whole)).cast("int"),
     )
     parts = F.filter(F.col("pieces"), lambda p: p["words"] < F.col("size"))
-    taken = chosen.select("doc_id", F.explode(F.concat(times, parts)).alias("_part")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(taken, docs["doc_id"] == F.col("_id")).drop("_id")
+    taken = (
+        chosen.select(F.col("row_key0").alias("_a"), F.col("row_key1").alias("_b"), F.concat(times, parts).alias("_parts"))
+        .groupBy("_a", "_b")
+        .agg(F.flatten(F.collect_list("_parts")).alias("_parts"))
+    )
+    one = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_a")) == 1
+    rows = docs.withColumn("_a", keys[0]).withColumn("_b", keys[1]).join(taken, ["_a", "_b"])
+    rows = rows.withColumn("_one", one).where("_one").withColumn("_part", F.explode("_parts"))  # equal rows: one has all parts
     part = F.col("_part")
     cut = F.array_join(
-        F.slice(words_of(docs["text"]), (part["start"] + 1).cast("int"), part["words"].cast("int")), " "
+        F.slice(words_of(F.col("text")), (part["start"] + 1).cast("int"), part["words"].cast("int")), " "
     )
-    rows = rows.withColumn("text", F.when(part["start"] < 0, docs["text"]).otherwise(cut))
+    rows = rows.withColumn("text", F.when(part["start"] < 0, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         n = F.when(part["start"] < 0, F.col("n_chars")).otherwise(F.length("text"))
         rows = rows.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))

@@ -214,6 +214,19 @@ def test_mixing_reaches_the_targets_of_short_texts_in_many_shards(spark, words):
         assert abs(n - target) <= 3 * mix.block
 
 
+def test_mixed_keeps_rows_without_or_with_a_shared_id(spark):
+    rows = [(None, f"n{i} " * 40, "a") for i in range(4)] + [(7, f"s{i} " * 40, "a") for i in range(4)]
+    rows += [(9, "e " * 40, "a")] * 3 + [(8, "t " * 40, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.allocate(frame, keys=(F.col("text"),)).collect():
+        want[r.doc_id, r.row_key0.split()[0]] += r.taken
+    for r in mixing.mixed(frame).collect():
+        got[r.doc_id, r.text.split()[0]] += len(brute.words(r.text))
+    assert sum(want.values()) == sum(got.values()) and sum(got[None, f"n{i}"] for i in range(4)) > 0
+    assert all(n <= 2 * 40 for (i, _), n in got.items() if i != 9) and got[9, "e"] <= 240
+
+
 def test_text_statistics(docs, texts):
     for r in rules.text_statistics(docs).collect():
         want = brute.text_counts(texts[r.doc_id])
