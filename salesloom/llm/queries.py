@@ -14,12 +14,14 @@ from salesloom.llm.exact import exact_groups
 from salesloom.llm.html_paths import extract
 from salesloom.llm.merkle import manifest
 from salesloom.llm.mixing import allocate
+from salesloom.llm.packing import pack
 from salesloom.llm.rules import judge
 from salesloom.llm.simhash import near_duplicates
 from salesloom.llm.suffix_dedup import remove_repeats
 from salesloom.llm.whitening import whiten
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_html_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,6 +65,10 @@ def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), BYTE_VOCABULARY)
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
 
@@ -83,6 +89,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_exact": op10_exact,
+        "op11_packing": op11_packing,
         "op12_whitening": op12_whitening,
         "op13_merkle": op13_merkle,
     }
