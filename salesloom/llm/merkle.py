@@ -21,7 +21,7 @@ FAN, TAMPERED_EVERY = 16, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Leaves whose source is looked up by one key, so that no source is a hot one.
-STRETCH = 1 << 16
+STRETCH = 1 << 12
 
 #: Id of the tree over the sources; trees of sources are numbered from 0.
 TOP = -1
