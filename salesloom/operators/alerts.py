@@ -51,3 +51,19 @@ def business_alerts(daily: DataFrame, funnel: DataFrame, segments: DataFrame, co
         .unionByName(low_conversion(funnel, conversion_floor))
         .unionByName(lapsed_top_customers(segments))
     )
+
+
+def data_alerts(report: DataFrame, allowed: float = 0.0) -> DataFrame:
+    """Data-quality rules of which a larger share fails than ``allowed``."""
+    share = F.try_divide(dbl("failed"), dbl("checked"))
+    bad = report.select("rule", share.alias("_share")).filter(F.col("_share") > F.lit(allowed))
+    return _alert(bad, "data_quality", F.col("rule"), F.col("_share"), F.lit(allowed))
+
+
+def accuracy_alerts(status: DataFrame, most_mape: float, least_auc: float) -> DataFrame:
+    """Models whose mean error in percent is above a limit, or whose ranking is below one."""
+    off = status.filter(dbl("mape") > F.lit(most_mape))
+    weak = status.filter(F.col("auc") < F.lit(least_auc))
+    return _alert(off, "model_error", F.col("model"), F.col("mape"), F.lit(most_mape)).unionByName(
+        _alert(weak, "model_ranking", F.col("model"), F.col("auc"), F.lit(least_auc))
+    )

@@ -27,7 +27,12 @@ def to_wide(features: DataFrame, entity: str, names: Sequence[str]) -> DataFrame
 
 def customer_features(totals: DataFrame) -> DataFrame:
     """One aggregation for all three features; the average is per line, as the feature is defined."""
-    wide = per_customer(totals).select(
+    return customer_features_of(per_customer(totals))
+
+
+def customer_features_of(customers: DataFrame) -> DataFrame:
+    """The features from one row of sums per customer."""
+    wide = customers.select(
         "customer_id",
         from_cents("revenue_cents").alias("total_spent"),
         F.col("orders").alias("total_orders"),
@@ -37,7 +42,14 @@ def customer_features(totals: DataFrame) -> DataFrame:
 
 
 def product_features(sales: DataFrame) -> DataFrame:
-    wide = sales.groupBy("product_id").agg(
-        from_cents(F.sum("total_cents")).alias("total_sales"), F.sum("quantity").alias("total_quantity_sold")
+    return product_features_of(
+        sales.groupBy("product_id").agg(F.sum("total_cents").alias("revenue_cents"), F.sum("quantity").alias("quantity"))
+    )
+
+
+def product_features_of(sums: DataFrame) -> DataFrame:
+    """The features from one row of sums per product."""
+    wide = sums.select(
+        "product_id", from_cents("revenue_cents").alias("total_sales"), F.col("quantity").alias("total_quantity_sold")
     )
     return to_long(wide, "product_id", PRODUCT_FEATURES)

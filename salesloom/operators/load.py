@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from salesloom.session import cut_lineage
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -57,3 +60,39 @@ def upsert(
         else:
             out.append(F.when(absent, F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c))
     return joined.select(out)
+
+
+def write_partitioned(df: DataFrame, path: str, part: str) -> None:
+    """Replaces the partitions that ``df`` has rows of; the files of all others stay as they are."""
+    rebalanced = df.hint("rebalance", part)
+    rebalanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def touched_parts(target: DataFrame, source: DataFrame, part: str) -> DataFrame:
+    """The target's partitions that the source has rows of; the others are pruned from the scan.
+
+    ``part`` is a coarse column (a month, a bucket), whose values in the source are collected.
+    """
+    parts = [r[0] for r in source.select(part).distinct().collect()]
+    return target.where(F.col(part).isin(parts))
+
+
+def upsert_partitioned(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    source: DataFrame,
+    keys: Sequence[str],
+    update_cols: Sequence[str],
+    part: str,
+) -> None:
+    """``upsert`` into a stored table, partition by partition.
+
+    ``part`` must follow from the keys and be non-null. The merged rows are staged before the first file is replaced,
+    since they are read from the partitions that go; as an upsert sets values, a rerun after a failure gives the same
+    table. The source is staged too, being read for its partitions and for its rows.
+    """
+    staged = cut_lineage(source, "upsert-source")
+    target = touched_parts(spark.read.schema(schema).parquet(path), staged, part)
+    merged = upsert(target, staged, [*keys, part], update_cols)
+    write_partitioned(cut_lineage(merged, "upsert-merged"), path, part)

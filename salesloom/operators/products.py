@@ -17,24 +17,32 @@ from salesloom.operators.ordering import with_running_sum
 METRICS = ("revenue", "quantity", "orders", "profit")
 
 
-def per_product(sales: DataFrame) -> DataFrame:
-    sums = sales.groupBy("product_id").agg(
+def product_sums(sales: DataFrame) -> DataFrame:
+    """What per-product figures are made of; sums of two sets of whole orders add up to those of both."""
+    return sales.groupBy("product_id").agg(
         F.sum("total_cents").alias("revenue_cents"),
-        F.sum("profit_cents").alias("_profit"),
+        F.sum("profit_cents").alias("profit_cents"),
         F.sum("quantity").alias("quantity"),
         F.count_distinct("order_id").alias("orders"),
-        F.sum("margin_points").alias("_margin"),
-        F.count("margin_points").alias("_lines"),
+        F.sum("margin_points").alias("margin_points"),
+        F.count("margin_points").alias("margin_lines"),
         F.max("order_day").alias("last_sale_date"),
     )
+
+
+def per_product(sales: DataFrame) -> DataFrame:
+    return per_product_of(product_sums(sales))
+
+
+def per_product_of(sums: DataFrame) -> DataFrame:
     return sums.select(
         "product_id",
         "revenue_cents",
         from_cents("revenue_cents").alias("revenue"),
-        from_cents("_profit").alias("profit"),
+        from_cents("profit_cents").alias("profit"),
         "quantity",
         "orders",
-        ratio(dollars("_margin"), "_lines").alias("avg_margin"),
+        ratio(dollars("margin_points"), "margin_lines").alias("avg_margin"),
         "last_sale_date",
     )
 
@@ -49,8 +57,17 @@ def review_stats(reviews: DataFrame) -> DataFrame:
 def product_performance(
     sales: DataFrame, products: DataFrame, reviews: DataFrame | None = None
 ) -> DataFrame:
-    out = per_product(sales).join(products.select("product_id", "product_name", "category"), "product_id")
-    out = out.select(
+    out = product_performance_of(product_sums(sales), products)
+    if reviews is None:
+        return out
+    rated = out.join(review_stats(reviews), "product_id", "left")
+    return rated.withColumn("total_reviews", F.coalesce("total_reviews", F.lit(0)))
+
+
+def product_performance_of(sums: DataFrame, products: DataFrame) -> DataFrame:
+    """The performance table from one row of sums per product."""
+    out = per_product_of(sums).join(products.select("product_id", "product_name", "category"), "product_id")
+    return out.select(
         "product_id",
         "product_name",
         "category",
@@ -60,10 +77,6 @@ def product_performance(
         F.col("avg_margin").alias("profit_margin"),
         "last_sale_date",
     )
-    if reviews is None:
-        return out
-    rated = out.join(review_stats(reviews), "product_id", "left")
-    return rated.withColumn("total_reviews", F.coalesce("total_reviews", F.lit(0)))
 
 
 def product_sales(sales: DataFrame, products: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.money import hundredths, ratio
+from salesloom.session import cut_lineage
+from salesloom.sources.staging import Staging
 
 
 def _stack(parts: Sequence[DataFrame]) -> DataFrame:
@@ -33,17 +35,83 @@ def overview(orders: DataFrame, items: DataFrame) -> DataFrame:
             _distinct_count(orders, "order_id", "unique_orders"),
         ]
     )
+    return _overview_row([figures])
+
+
+def _overview_row(parts: Sequence[DataFrame]) -> DataFrame:
+    figures = _stack(parts)
     names = ("total_records", "unique_customers", "unique_products", "unique_orders")
     return figures.agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names]).select(
         F.lit("Data Quality Check").alias("check_type"), *names
     )
 
 
-def duplicate_keys(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Rows, NULL keys, keys held more than once, and surplus rows, per table and its key."""
+def full_report(raw: Staging, rules: DataFrame, as_of: dt.date, max_age_days: int) -> DataFrame:
+    """The report over all tables from one aggregate per table and key, each taken once and read by every check.
+
+    The lines are read three times: per order and shipping time, per product, and for their rules (``rules``, which
+    has those of all tables). Every later step sees a row per key.
+    """
+
+    def keyed(df: DataFrame, key: str) -> DataFrame:
+        return cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), f"dq-{key}")
+
+    shipped = cut_lineage(shipments(raw.order_items), "dq-shipments")
+    sold, orders = keyed(raw.order_items, "product_id"), keyed(raw.orders, "order_id")
+    buyers, customers = keyed(raw.orders, "customer_id"), keyed(raw.customers, "customer_id")
+    products, events, users = keyed(raw.products, "product_id"), keyed(raw.events, "event_id"), keyed(raw.events, "user_id")
+
+    def many(df: DataFrame, key: str, what: str) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+
+    figures = _overview_row(
+        [
+            orders.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total_records").alias("what"), "n"),
+            many(buyers, "customer_id", "unique_customers"),
+            many(sold, "product_id", "unique_products"),
+            many(orders, "order_id", "unique_orders"),
+        ]
+    )
+    duplicates = duplicate_keys(
+        {
+            "customers": (customers, "customer_id"),
+            "products": (products, "product_id"),
+            "orders": (orders, "order_id"),
+            "events": (events, "event_id"),
+        },
+        "n",
+    )
+    missing = orphans(
+        [
+            Reference("orders.customer", buyers, "customer_id", customers, "customer_id", "n"),
+            Reference("order_items.order", shipped, "order_id", orders, "order_id", "n"),
+            Reference("order_items.product", sold, "product_id", products, "product_id", "n"),
+            Reference("orders.has_items", orders, "order_id", shipped, "order_id", "n"),
+            Reference("events.user", users, "user_id", customers, "customer_id", "n"),
+        ]
+    )
+    fresh = freshness(
+        {
+            "orders": (raw.orders, "order_date"),
+            "order_items": (shipped, "ship_date"),
+            "customers": (raw.customers, "registration_date"),
+        },
+        as_of,
+        max_age_days,
+    )
+    every = rules.unionByName(consistency_of(raw.orders, shipped, raw.customers))
+    return report(duplicates, missing, every, fresh, figures)
+
+
+def duplicate_keys(tables: Mapping[str, tuple[DataFrame, str]], weight: str | None = None) -> DataFrame:
+    """Rows, NULL keys, keys held more than once, and surplus rows, per table and its key.
+
+    With ``weight`` the tables have a row per key, and that column its rows.
+    """
     parts = []
     for table, (df, key) in tables.items():
-        per_key = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        k = F.col(key).alias("k")
+        per_key = df.select(k, F.col(weight).alias("n")) if weight else df.groupBy(k).agg(F.count(F.lit(1)).alias("n"))
         known = F.col("k").isNotNull()
         parts.append(
             per_key.agg(
@@ -63,6 +131,7 @@ class Reference:
     child_key: str
     parent: DataFrame
     parent_key: str
+    weight: str | None = None  # of a child counted beforehand: the column of its rows
 
 
 def orphans(references: Sequence[Reference]) -> DataFrame:
@@ -72,7 +141,7 @@ def orphans(references: Sequence[Reference]) -> DataFrame:
         children = (
             r.child.filter(F.col(r.child_key).isNotNull())
             .groupBy(F.col(r.child_key).alias("k"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg((F.sum(r.weight) if r.weight else F.count(F.lit(1))).alias("n"))
         )
         parents = r.parent.select(F.col(r.parent_key).alias("k")).distinct().withColumn("_found", F.lit(True))
         parts.append(
@@ -165,9 +234,18 @@ def consistency(orders: DataFrame, items: DataFrame, customers: DataFrame) -> Da
     Lines are summed per order and shipping time, meet their order once, and both line rules come from
     that one pass.
     """
-    lines = items.groupBy("order_id", "ship_date").agg(
+    return consistency_of(orders, shipments(items), customers)
+
+
+def shipments(items: DataFrame) -> DataFrame:
+    """Lines and cents per order and shipping time."""
+    return items.groupBy("order_id", "ship_date").agg(
         F.count(F.lit(1)).alias("n"), F.sum(hundredths(items, "total_price")).alias("cents")
     )
+
+
+def consistency_of(orders: DataFrame, lines: DataFrame, customers: DataFrame) -> DataFrame:
+    """The same from lines that were summed before."""
     due = orders.select("order_id", "order_date", hundredths(orders, "total_amount").alias("due_cents"))
     early = F.when(F.col("ship_date") < F.col("order_date"), F.col("n")).otherwise(0)
     per_order = (
@@ -213,11 +291,20 @@ def freshness(tables: Mapping[str, tuple[DataFrame, str]], as_of: dt.date, max_a
     )
 
 
-def report(duplicates: DataFrame, missing: DataFrame, rules: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Every check as ``rule, checked, failed, passed``."""
+def report(
+    duplicates: DataFrame, missing: DataFrame, rules: DataFrame, fresh: DataFrame, figures: DataFrame | None = None
+) -> DataFrame:
+    """Every check as ``rule, checked, failed, passed``; of an overview's figures, that none is 0."""
     name = F.concat_ws
+    overviews = []
+    if figures is not None:
+        counts = [c for c in figures.columns if c != "check_type"]
+        named = figures.unpivot([], counts, "what", "checked")
+        nothing = (F.col("checked") == 0).cast("bigint").alias("failed")
+        overviews = [named.select(name(".", F.lit("overview"), "what").alias("rule"), "checked", nothing)]
     rows = _stack(
         [
+            *overviews,
             duplicates.select(
                 name(".", F.lit("unique"), "table_name", "key_name").alias("rule"),
                 "checked",

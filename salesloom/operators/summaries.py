@@ -59,9 +59,14 @@ def per_customer(totals: DataFrame, *extra: Column) -> DataFrame:
 
 
 def daily_sales_summary(totals: DataFrame) -> DataFrame:
+    return daily_of_customer_days(per_customer(totals, F.col("order_day")))
+
+
+def daily_of_customer_days(days: DataFrame) -> DataFrame:
+    """The summary from one row per customer and day, which is all that its distinct counts need."""
     registered = F.col("registration_date")
     day = F.col("order_day")
-    daily = per_customer(totals, day).groupBy(day.alias("date")).agg(
+    daily = days.groupBy(day.alias("date")).agg(
         F.sum("orders").alias("total_orders"),
         grand("revenue_cents").alias("_revenue"),
         grand("profit_cents").alias("_profit"),
@@ -220,6 +225,26 @@ def approx_customers(totals: DataFrame, rsd: float = 0.02) -> DataFrame:
     )
 
 
+def customer_sketches(sales: DataFrame, products: DataFrame, lg_k: int = 12) -> DataFrame:
+    """A mergeable sketch of the customers of each day and category: the stored state of distinct counts.
+
+    Sketches of any set of days and categories union to that of all, so that a range needs no line. With ``lg_k`` 12 the
+    standard error is 1.6 percent, and a sketch never takes more than about 2.5 KB.
+    """
+    goods = products.select("product_id", "category")
+    return (
+        sales.select("product_id", "customer_id", "order_day")
+        .join(goods, "product_id")
+        .groupBy(F.col("order_day").alias("date"), "category")
+        .agg(F.hll_sketch_agg("customer_id", lg_k).alias("customers"))
+    )
+
+
+def customers_from_sketches(sketches: DataFrame, *by: Column | str) -> DataFrame:
+    """Estimated distinct customers of what ``by`` groups."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("customers")).alias("estimate"))
+
+
 def basket_size_distribution(totals: DataFrame) -> DataFrame:
     return (
         totals.groupBy(F.col("lines").alias("items"))

@@ -1,8 +1,9 @@
 """The daily load: staging to star, summaries and features, each stage a table of its own.
 
-Dimensions, summaries and features are written whole per load; the fact is append-only, one folder per load
-below which it is partitioned by month. A load that runs twice replaces its own folders, so nothing is
-counted twice. Later stages read the written tables, never a frame that would be computed again.
+Dimensions are written whole per load; the fact is append-only, one folder per load below which it is partitioned by
+month. Summaries and features rest on stored partial aggregates (``operators.partials``): a load merges what its own
+lines add, and rewrites the months and buckets that they touch. Of earlier lines it reads the order ids of the months
+that its feed has orders in, no others. A load that runs twice replaces its own folders, so nothing is counted twice.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.operators import dimensions, facts, features, products, summaries
+from salesloom.operators import dimensions, facts, features, partials, products, summaries
 from salesloom.operators.calendar import dim_date_of
 from salesloom.operators.load import upsert
+from salesloom.operators.partials import State
 from salesloom.sources.layout import Layout
 from salesloom.sources.staging import Staging
 from salesloom.streaming.sinks import DAILY_FIGURES
 
 LOAD_ID = re.compile(r"[A-Za-z0-9_-]+")
 CHAIN = "position int, load_id string"
+FEATURE, VALUE = ("feature_name",), ("feature_value",)
 
 PERFORMANCE_FIGURES = (
     "total_sales",
@@ -40,6 +43,7 @@ class DailyLoad:
     load_id: str
     load_date: dt.date
     previous: str | None = None
+    buckets: int = 64  # of customers and products; the same for all loads of a layout
 
     def __post_init__(self) -> None:
         for name in (self.load_id, self.previous):
@@ -63,30 +67,29 @@ class DailyLoad:
         batch = facts.fact_sales(staging.order_items, staging.orders, buyers, goods, tax=staging.order_tax)
         batch = batch.withColumn("order_month", F.date_format("order_day", "yyyy-MM"))
         if self.previous is not None:
-            batch = self._unseen(spark, batch, earlier)
+            batch = self._unseen(spark, staging, batch, earlier)
         new = self._store(spark, counts, "processed_data", "fact_sales", batch, ["order_month"])
 
-        every = facts.with_cents(self.fact(spark))
-        touched = new.select("order_month", "order_day").distinct()  # the month prunes the stored fact
-        days = every.join(touched, ["order_month", "order_day"], "left_semi")
-        self._merge(
-            spark, counts, "analytics", "daily_sales_summary",
-            summaries.daily_sales_summary(summaries.order_totals(days)), ["date"], DAILY_FIGURES,
-        )
-        sold = every.join(new.select("product_id").distinct(), "product_id", "left_semi")
-        self._merge(
-            spark, counts, "analytics", "product_performance", products.product_performance(sold, dimensions.current(goods)),
-            ["product_id"], PERFORMANCE_FIGURES,
-        )
+        lines = facts.with_cents(new)
+        days = self._add(spark, counts, "customer_days", partials.CUSTOMER_DAYS, partials.customer_days(lines))
+        fresh = summaries.daily_of_customer_days(days).withColumn("order_month", partials.month_of("date"))
+        self._merge(spark, counts, "analytics", "daily_sales_summary", fresh, "order_month", ["date"], DAILY_FIGURES)
+
+        sums = partials.products(lines, self.buckets)
+        sold = self._add(spark, counts, "product_totals", partials.PRODUCTS, sums)
+        bucket = partials.bucket_of("product_id", self.buckets)
+        fresh = products.product_performance_of(sold, dimensions.current(goods)).withColumn("bucket", bucket)
         self._merge(
-            spark, counts, "ml_features", "product_features", features.product_features(sold),
-            ["product_id", "feature_name"], ["feature_value"],
+            spark, counts, "analytics", "product_performance", fresh, "bucket", ["product_id"], PERFORMANCE_FIGURES
         )
-        bought = every.join(new.select("customer_id").distinct(), "customer_id", "left_semi")
-        self._merge(
-            spark, counts, "ml_features", "customer_features", features.customer_features(summaries.order_totals(bought)),
-            ["customer_id", "feature_name"], ["feature_value"],
+        fresh = features.product_features_of(sold).withColumn("bucket", bucket)
+        self._merge(spark, counts, "ml_features", "product_features", fresh, "bucket", ["product_id", *FEATURE], VALUE)
+
+        bought = self._add(
+            spark, counts, "customer_totals", partials.CUSTOMERS, partials.customers(lines, self.buckets)
         )
+        fresh = features.customer_features_of(bought).withColumn("bucket", partials.bucket_of("customer_id", self.buckets))
+        self._merge(spark, counts, "ml_features", "customer_features", fresh, "bucket", ["customer_id", *FEATURE], VALUE)
         stages = spark.createDataFrame(
             [(self.load_id, stage, "written", n) for stage, n in counts],
             "load_id string, pipeline_stage string, status string, records long",
@@ -135,12 +138,17 @@ class DailyLoad:
         rows = dimensions.product_rows(staging.products, self.load_date)
         return dimensions.extend_dimension(known, rows, "product_id", "product_key", ["effective_date", "product_name"])
 
-    def _unseen(self, spark: SparkSession, batch: DataFrame, earlier: Sequence[str]) -> DataFrame:
-        """Lines of orders that no earlier load holds; only the batch's months are read back."""
-        months = batch.select("order_month").distinct()
-        held = self._lines(spark, earlier).join(months, "order_month", "left_semi").select("order_id").distinct()
+    def _unseen(self, spark: SparkSession, staging: Staging, batch: DataFrame, earlier: Sequence[str]) -> DataFrame:
+        """Lines of orders that no earlier load holds; only the months of the feed's orders are read back."""
+        held = self.earlier_orders(spark, staging, earlier)
         return batch.join(held, "order_id", "left_anti")
 
+    def earlier_orders(self, spark: SparkSession, staging: Staging, earlier: Sequence[str]) -> DataFrame:
+        """Ids of stored orders, of the feed's months."""
+        dated = staging.orders.select(F.to_date("order_date").alias("day")).where("day IS NOT NULL")
+        months = partials.parts_of(dated.select(partials.month_of("day").alias("month")), "month")
+        return self._lines(spark, earlier).where(F.col("order_month").isin(months)).select("order_id").distinct()
+
     def _store(
         self,
         spark: SparkSession,
@@ -156,6 +164,25 @@ class DailyLoad:
         counts.append((table, seen.get["records"]))
         return self.layout.read(spark, layer, table, self.load_id)
 
+    def _keep(
+        self, spark: SparkSession, counts: list[tuple[str, int]], layer: str, table: str, df: DataFrame, part: str
+    ) -> None:
+        seen = Observation(table)
+        counted = df.observe(seen, F.count(F.lit(1)).alias("records"))
+        self.layout.write_parts(counted, layer, table, self.load_id, part, self.previous)
+        counts.append((table, seen.get["records"]))
+
+    def _add(
+        self, spark: SparkSession, counts: list[tuple[str, int]], table: str, state: State, delta: DataFrame
+    ) -> DataFrame:
+        """Adds this load's partial aggregates to the stored ones; gives back the touched parts, whole."""
+        touched = partials.parts_of(delta, state.part)
+        states = [delta]
+        if self.previous is not None:
+            states.append(self.layout.read_parts(spark, "processed_data", table, self.previous, touched))
+        self._keep(spark, counts, "processed_data", table, state.merged(*states), state.part)
+        return self.layout.read_parts(spark, "processed_data", table, self.load_id, touched)
+
     def _merge(
         self,
         spark: SparkSession,
@@ -163,10 +190,12 @@ class DailyLoad:
         layer: str,
         table: str,
         fresh: DataFrame,
+        part: str,
         keys: Sequence[str],
         update_cols: Sequence[str],
-    ) -> DataFrame:
+    ) -> None:
+        """Upserts whole touched parts."""
         if self.previous is not None:
-            before = self.layout.read(spark, layer, table, self.previous)
-            fresh = upsert(before, fresh, keys, update_cols)
-        return self._store(spark, counts, layer, table, fresh)
+            before = self.layout.read_parts(spark, layer, table, self.previous, partials.parts_of(fresh, part))
+            fresh = upsert(before, fresh, [*keys, part], update_cols)
+        self._keep(spark, counts, layer, table, fresh, part)

@@ -6,6 +6,8 @@ dates as ISO text, sums and averages as doubles, counts as BIGINT.
 
 from __future__ import annotations
 
+import math
+
 # Rounding half up on integers: (2a + b) // 2b. All amounts in the tables are positive.
 STAR = """
 WITH items AS (
@@ -211,6 +213,73 @@ def _nulls(table: str, source: str, columns: dict[str, str]) -> str:
     )
 
 
+_PAIRS = STAR + """, basket AS (SELECT DISTINCT order_id, product_id FROM sales),
+total AS (SELECT count(DISTINCT order_id) AS n FROM basket),
+pairs AS (
+  SELECT x.product_id AS a, y.product_id AS b, count(*) AS c
+  FROM basket x JOIN basket y ON x.order_id = y.order_id AND x.product_id < y.product_id
+  GROUP BY ALL HAVING count(*) >= (SELECT ceil(0.0001::DOUBLE * n) FROM total))
+"""
+
+_CATEGORY_DAYS = STAR + """, c AS (SELECT category, d, sum(tc) AS tc FROM sales GROUP BY ALL),
+every AS (
+  SELECT k.category, CAST(t.d AS DATE) AS d FROM (SELECT DISTINCT category FROM c) k,
+    (SELECT unnest(generate_series((SELECT min(d) FROM c), (SELECT max(d) FROM c), INTERVAL 1 DAY)) AS d) t),
+series AS (SELECT e.category, e.d, coalesce(c.tc, 0) AS tc FROM every e LEFT JOIN c ON c.category = e.category AND c.d = e.d)
+"""
+
+_LAGS = _CATEGORY_DAYS + """, l AS (
+  SELECT category, d, CAST(tc AS DOUBLE) / 100 AS x, CAST(lag(tc, 1) OVER w AS DOUBLE) / 100 AS lag_1,
+    CAST(lag(tc, 7) OVER w AS DOUBLE) / 100 AS lag_7, CAST(lag(tc, 28) OVER w AS DOUBLE) / 100 AS lag_28
+  FROM series WINDOW w AS (PARTITION BY category ORDER BY d)),
+folds AS (SELECT CAST(k AS INT) AS k, DATE '2000-01-01' + CAST(90 * k AS INT) AS origin FROM range(0, 4) AS r(k))
+"""
+
+
+def _churn(cut: str) -> str:
+    return STAR + f""", c AS (
+  SELECT customer_id, count(DISTINCT order_id) AS f, sum(tc) AS tc, max(d) AS l, min(d) AS e
+  FROM sales WHERE d < DATE '{cut}' GROUP BY customer_id),
+later AS (SELECT DISTINCT customer_id FROM sales WHERE d >= DATE '{cut}' AND d < DATE '{cut}' + 180)
+SELECT customer_id, f AS frequency, {_usd('tc')} AS monetary, CAST(DATE '{cut}' - l AS INT) AS recency_days,
+  CAST(DATE '{cut}' - e AS INT) AS tenure_days,
+  CASE WHEN customer_id IN (SELECT customer_id FROM later) THEN 0 ELSE 1 END AS churned FROM c"""
+
+
+def _additive() -> str:
+    """Least squares again: whole-number sums, then the elimination as a fold over the diagonal."""
+
+    def basis(day: str) -> list[str]:
+        t = f"({day} - DATE '1995-01-01')"
+        waves = [(365.25, k) for k in (1, 2)] + [(7.0, k) for k in (1, 2, 3)]
+        out = ["CAST(1000000 AS BIGINT)", f"CAST({t} * 1000 AS BIGINT)"]
+        for period, k in waves:
+            turn = f"CAST({t} AS DOUBLE) * {2 * math.pi * k / period!r}::DOUBLE"
+            out += [f"CAST(round({fn}({turn}) * 1000000) AS BIGINT)" for fn in ("sin", "cos")]
+        return out
+
+    n = len(basis("d"))
+    x = ", ".join(f"{b} AS x{i}" for i, b in enumerate(basis("d")))
+    rows = ", ".join(
+        "[" + ", ".join(f"CAST(sum(CAST(x{min(i, j)} AS HUGEINT) * x{max(i, j)}) AS DOUBLE) / 1e12::DOUBLE" for j in range(n))
+        + f", CAST(sum(CAST(x{i} AS HUGEINT) * tc) AS DOUBLE) / 1e6::DOUBLE]"
+        for i in range(n)
+    )
+    terms = " + ".join(f"w[{i + 1}] * CAST({b} AS DOUBLE) / 1e6::DOUBLE" for i, b in enumerate(basis("day")))
+    return _CATEGORY_DAYS + f""", based AS (SELECT category, d, tc, {x} FROM series),
+equations AS (SELECT category, max(d) AS last, [{rows}] AS m FROM based GROUP BY category),
+reduced AS (
+  SELECT category, last, list_reduce(
+    list_concat([{{'m': m, 'k': CAST(0 AS BIGINT)}}], list_transform(range(1, {n + 1}), lambda k: {{'m': m, 'k': k}})),
+    lambda a, b: {{'m': list_transform(a.m, lambda r, i: CASE WHEN i = b.k
+        THEN list_transform(r, lambda v: v * (1::DOUBLE / a.m[b.k][b.k]))
+        ELSE list_transform(r, lambda v, j: v - r[b.k] * (1::DOUBLE / a.m[b.k][b.k]) * a.m[b.k][j]) END), 'k': b.k}}).m AS m
+  FROM equations),
+weights AS (SELECT category, last, list_transform(m, lambda r: r[{n + 1}]) AS w FROM reduced),
+ahead AS (SELECT category, w, last + CAST(s AS INT) AS day FROM weights, range(1, 29) AS r(s))
+SELECT category, {_iso('day')} AS date, CAST(CAST(({terms}) / 100 AS DECIMAL(18,2)) AS DOUBLE) AS forecast FROM ahead"""
+
+
 def _union(*parts: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -326,6 +395,18 @@ _FRESHNESS = _union(
     _fresh("customers", "customer", "DATE '1994-07-01' + CAST((c_custkey * 37) % 1500 AS INT)"),
 )
 
+_REPORT = f"""SELECT rule, checked, failed, failed = 0 AS passed FROM (
+SELECT 'overview.' || what AS rule, checked, CASE WHEN checked = 0 THEN 1 ELSE 0 END AS failed FROM (
+  UNPIVOT (SELECT count(*) AS total_records, count(DISTINCT o_custkey) AS unique_customers,
+    (SELECT count(DISTINCT l_partkey) FROM lineitem) AS unique_products, count(DISTINCT o_orderkey) AS unique_orders FROM orders)
+  ON total_records, unique_customers, unique_products, unique_orders INTO NAME what VALUE checked)
+UNION ALL SELECT 'unique.' || table_name || '.' || key_name AS rule, checked, null_keys + surplus_rows AS failed FROM ({_DUPLICATES})
+UNION ALL SELECT 'parent.' || relation, checked, orphans FROM ({_ORPHANS})
+UNION ALL SELECT rule, checked, failed FROM ({_DOMAIN})
+UNION ALL SELECT rule, checked, failed FROM ({_CONSISTENCY})
+UNION ALL SELECT 'not_null.' || table_name || '.' || column_name, checked, nulls FROM ({_COMPLETENESS})
+UNION ALL SELECT 'fresh.' || table_name, CAST(1 AS BIGINT), CASE WHEN fresh THEN 0 ELSE 1 END FROM ({_FRESHNESS}))"""
+
 _SQL = {
     # star
     "dim_date": STAR + f"""SELECT CAST(epoch(d) AS INT) AS date_key, {_iso('d')} AS full_date,
@@ -360,6 +441,19 @@ j AS (SELECT new.d, new.o, new.tc, new.n, old.o AS old_o,
   CASE WHEN old.d IS NULL THEN new.new_c ELSE old.new_c END AS new_c,
   CASE WHEN old.d IS NULL THEN new.rep_c ELSE old.rep_c END AS rep_c
   FROM new LEFT JOIN old ON old.d = new.d)
+SELECT {_iso('d')} AS date, o AS total_orders, {_usd('tc')} AS total_revenue, {_usd('profit')} AS total_profit,
+  avg_line_value, avg_order_value, c AS total_customers, new_c AS new_customers, rep_c AS repeat_customers,
+  old_o AS first_total_orders FROM j""",
+    "upsert_partitioned_daily": STAR + f""", old AS ({_DAILY.replace('FROM sales', "FROM sales WHERE order_status = 'Completed'")}),
+new AS (SELECT * FROM ({_DAILY}) WHERE d BETWEEN DATE '1998-04-10' AND DATE '1998-06-20'),
+j AS (SELECT coalesce(old.d, new.d) AS d, coalesce(new.o, old.o) AS o, coalesce(new.tc, old.tc) AS tc, old.o AS old_o,
+  CASE WHEN old.d IS NULL THEN new.profit ELSE old.profit END AS profit,
+  CASE WHEN old.d IS NULL THEN {_usd('new.tc')} / new.n ELSE {_usd('old.tc')} / old.n END AS avg_line_value,
+  CASE WHEN old.d IS NULL THEN {_usd('new.tc')} / new.o ELSE {_usd('old.tc')} / old.o END AS avg_order_value,
+  CASE WHEN old.d IS NULL THEN new.c ELSE old.c END AS c,
+  CASE WHEN old.d IS NULL THEN new.new_c ELSE old.new_c END AS new_c,
+  CASE WHEN old.d IS NULL THEN new.rep_c ELSE old.rep_c END AS rep_c
+  FROM old FULL JOIN new ON old.d = new.d)
 SELECT {_iso('d')} AS date, o AS total_orders, {_usd('tc')} AS total_revenue, {_usd('profit')} AS total_profit,
   avg_line_value, avg_order_value, c AS total_customers, new_c AS new_customers, rep_c AS repeat_customers,
   old_o AS first_total_orders FROM j""",
@@ -374,6 +468,11 @@ FROM sales s JOIN versions v ON s.product_id = v.product_id AND s.d >= v.q AND (
   FROM sales JOIN tax USING (order_id))
 SELECT order_id, product_id, {_usd('tc')} AS total_amount, {_usd('xt')} AS tax_amount,
   {_usd('(2 * xt * upto + ot) // (2 * ot) - (2 * xt * (upto - tc) + ot) // (2 * ot)')} AS allocated_tax FROM run""",
+    "allocated_shipping": STAR + f""", run AS (
+  SELECT order_id, product_id, tc, 100 * (5 + order_id % 20) AS sc, sum(tc) OVER (PARTITION BY order_id) AS ot,
+    sum(tc) OVER (PARTITION BY order_id ORDER BY product_id, tc ROWS UNBOUNDED PRECEDING) AS upto FROM sales)
+SELECT order_id, product_id, {_usd('tc')} AS total_amount, {_usd('sc')} AS shipping_cost,
+  {_usd('(2 * sc * upto + ot) // (2 * ot) - (2 * sc * (upto - tc) + ot) // (2 * ot)')} AS allocated_shipping FROM run""",
     "allocated_tax_by_order": STAR + f"""SELECT order_id, {_usd('any_value(xt)')} AS tax_amount, {_usd('any_value(xt)')} AS allocated
 FROM sales JOIN tax USING (order_id) GROUP BY order_id""",
     # summaries
@@ -497,13 +596,43 @@ UNION ALL SELECT product_id, 'total_quantity_sold', CAST(quantity AS DOUBLE) FRO
     "customer_ltv": STAR + f"""SELECT customer_id, {_usd('profit')} AS profit_to_date,
   CAST(greatest(DATE '2001-08-02' - first_day, 30) AS INT) AS tenure_days,
   {_usd('profit')} / greatest(DATE '2001-08-02' - first_day, 30) * CAST(365 AS DOUBLE) AS lifetime_value FROM per_customer""",
-    "churn_labels": STAR + f""", c AS (
-  SELECT customer_id, count(DISTINCT order_id) AS f, sum(tc) AS tc, max(d) AS l, min(d) AS e
-  FROM sales WHERE d < DATE '2001-02-03' GROUP BY customer_id),
-later AS (SELECT DISTINCT customer_id FROM sales WHERE d >= DATE '2001-02-03' AND d < DATE '2001-02-03' + 180)
-SELECT customer_id, f AS frequency, {_usd('tc')} AS monetary, CAST(DATE '2001-02-03' - l AS INT) AS recency_days,
-  CAST(DATE '2001-02-03' - e AS INT) AS tenure_days,
-  CASE WHEN customer_id IN (SELECT customer_id FROM later) THEN 0 ELSE 1 END AS churned FROM c""",
+    "frequent_pairs": _PAIRS + "SELECT a AS product_id, b AS other_id, c AS orders FROM pairs",
+    "association_rules": _PAIRS + """, both_ways AS (SELECT a, b, c FROM pairs UNION ALL SELECT b, a, c FROM pairs),
+held AS (SELECT product_id, count(*) AS k FROM basket GROUP BY product_id)
+SELECT a AS antecedent, b AS consequent, c AS orders, CAST(c AS DOUBLE) / n AS support,
+  CAST(c AS DOUBLE) / x.k AS confidence, CAST(c AS DOUBLE) / x.k / (CAST(y.k AS DOUBLE) / n) AS lift
+FROM both_ways JOIN held x ON x.product_id = a JOIN held y ON y.product_id = b, total
+WHERE CAST(c AS DOUBLE) / x.k >= 0.05::DOUBLE""",
+    "customers_by_range_sketch": STAR + f"""SELECT {_iso("date_trunc('quarter', d)")} AS quarter, category,
+  count(DISTINCT customer_id) AS customers, TRUE AS within_bound FROM sales GROUP BY ALL""",
+    "features_as_of": STAR + f""", per_day AS (SELECT customer_id, d, count(DISTINCT order_id) AS o, sum(tc) AS tc FROM sales GROUP BY ALL),
+states AS (SELECT customer_id, d, sum(o) OVER w AS o, sum(tc) OVER w AS tc, min(d) OVER w AS f FROM per_day
+  WINDOW w AS (PARTITION BY customer_id ORDER BY d)),
+asked AS (SELECT customer_id, CAST(cut AS DATE) AS cut
+  FROM cust, (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2001-07-01', INTERVAL 3 MONTH)) AS cut) q)
+SELECT a.customer_id, {_iso('a.cut')} AS cut, {_iso('s.d')} AS known_on, {_int('s.o')} AS frequency, {_usd('s.tc')} AS monetary,
+  {_iso('s.f')} AS first_day
+FROM asked a ASOF LEFT JOIN states s ON a.customer_id = s.customer_id AND a.cut > s.d""",
+    "forecast_folds": _LAGS + f""", members AS (
+  SELECT f.k, CASE WHEN l.d < f.origin THEN 'train' ELSE 'test' END AS role, l.* FROM l, folds f
+  WHERE l.lag_28 IS NOT NULL AND l.d < f.origin + 90)
+SELECT k AS fold, role, count(*) AS rows, {_iso('min(d)')} AS first_day, {_iso('max(d)')} AS last_day,
+  CAST(sum(CAST(x AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM members GROUP BY ALL""",
+    "forecast_fold_errors": _LAGS + """, tested AS (
+  SELECT f.k, l.* FROM l, folds f WHERE l.lag_28 IS NOT NULL AND l.d >= f.origin AND l.d < f.origin + 90),
+long AS (
+  SELECT k, 'lag_1' AS model, x, lag_1 AS y FROM tested UNION ALL SELECT k, 'lag_7', x, lag_7 FROM tested
+  UNION ALL SELECT k, 'lag_28', x, lag_28 FROM tested),
+m AS (SELECT k, model, CAST(round(x * 100) AS BIGINT) AS a, CAST(round((x - y) * 100) AS BIGINT) AS e FROM long)
+SELECT k AS fold, model, count(*) AS periods,
+  CAST(CAST(sqrt(CAST(sum(CAST(e AS HUGEINT) * e) AS DOUBLE) / 10000 / count(*)) AS DECIMAL(18,2)) AS DOUBLE) AS rmse,
+  CAST(CAST(CAST(sum(abs(e)) AS DOUBLE) / 100 / count(*) AS DECIMAL(18,2)) AS DOUBLE) AS mae,
+  CAST(CAST(CAST(sum(CAST(CAST(abs(e) AS DOUBLE) / 100 / (CAST(nullif(a, 0) AS DOUBLE) / 100) AS DECIMAL(18,8))) AS DOUBLE)
+    / count(*) FILTER (a <> 0) * 100 AS DECIMAL(18,4)) AS DOUBLE) AS mape
+FROM m GROUP BY k, model""",
+    "forecast_additive": _additive(),
+    "churn_labels_learnt": _churn("2000-08-07"),
+    "churn_labels": _churn("2001-02-03"),
     "cohort_retention": STAR + f""", a AS (SELECT customer_id, CAST(date_trunc('month', d) AS DATE) AS m, sum(tc) AS tc FROM sales GROUP BY ALL),
 f AS (SELECT customer_id, min(m) AS c FROM a GROUP BY customer_id)
 SELECT {_iso('c')} AS cohort, CAST(date_diff('month', c, m) AS INT) AS months_since, count(*) AS customers,
@@ -606,18 +735,18 @@ FROM t""",
     "dq_completeness": _COMPLETENESS,
     "dq_consistency": _CONSISTENCY,
     "dq_freshness": _FRESHNESS,
-    "dq_report": f"""SELECT rule, checked, failed, failed = 0 AS passed FROM (
-SELECT 'unique.' || table_name || '.' || key_name AS rule, checked, null_keys + surplus_rows AS failed FROM ({_DUPLICATES})
-UNION ALL SELECT 'parent.' || relation, checked, orphans FROM ({_ORPHANS})
-UNION ALL SELECT rule, checked, failed FROM ({_DOMAIN})
-UNION ALL SELECT rule, checked, failed FROM ({_CONSISTENCY})
-UNION ALL SELECT 'not_null.' || table_name || '.' || column_name, checked, nulls FROM ({_COMPLETENESS})
-UNION ALL SELECT 'fresh.' || table_name, CAST(1 AS BIGINT), CASE WHEN fresh THEN 0 ELSE 1 END FROM ({_FRESHNESS}))""",
+    "dq_report": _REPORT,
+    "data_alerts": f"""WITH status AS ({_NAIVE.strip()} SELECT CAST(CAST(avg(CAST(abs(actual - forecast) AS DOUBLE) / actual) * 100
+  AS DECIMAL(18,4)) AS DOUBLE) AS mape FROM naive WHERE actual IS NOT NULL)
+SELECT 'data_quality' AS rule, rule AS subject, CAST(failed AS DOUBLE) / checked AS observed, 0::DOUBLE AS threshold
+FROM ({_REPORT}) WHERE failed > 0
+UNION ALL SELECT 'model_error', 'seasonal_naive', mape, 5::DOUBLE FROM status WHERE mape > 5""",
 }
 
 
-#: The stored tables after two loads are those of one look at everything.
+#: The stored tables after two loads or several batches are those of one look at everything.
 _LOADED = {
+    "stream_daily_summary": "daily_sales_summary",
     "daily_load_summary": "daily_sales_summary",
     "daily_load_product_performance": "product_performance",
     "daily_load_customer_features": "customer_features",

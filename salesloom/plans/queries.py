@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,10 @@ from salesloom.functions import bands, text
 from salesloom.functions.money import from_cents
 from salesloom.functions.text import present
 from salesloom.operators import (
+    additive,
     alerts,
+    asof,
+    baskets,
     calendar,
     dimensions,
     facts,
@@ -21,6 +25,7 @@ from salesloom.operators import (
     load,
     metrics,
     models,
+    partials,
     products,
     quality,
     recommend,
@@ -40,9 +45,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = dt.date(2001, 8, 2)
 CHURN_CUT = dt.date(2001, 2, 3)
+CHURN_LEARNT_CUT = dt.date(2000, 8, 7)  # its 180 days of outcomes end where those of CHURN_CUT begin
+FOLDS = {"first": dt.date(2000, 1, 1), "step_days": 90, "folds": 4, "horizon_days": 90}
+LEAST_SUPPORT = 0.0001
+FORECAST_ORIGIN = dt.date(1995, 1, 1)
 MODEL_CUT = dt.date(2001, 1, 1)
 SECOND_LOAD = dt.date(1998, 6, 15)
 RANGE = (dt.date(1997, 1, 1), dt.date(1997, 12, 31))
+CORRECTED = (dt.date(1998, 4, 10), dt.date(1998, 6, 20))
 KNOWN_UNTIL = dt.date(1997, 1, 1)
 STATUS_BANDS = {
     "revenue": bands.REVENUE_BANDS,
@@ -123,6 +133,21 @@ def upsert_daily_sales(spark, folder):
     return load.upsert(before, fresh, ["date"], ["total_orders", "total_revenue"])
 
 
+@query
+def upsert_partitioned_daily(spark, folder):
+    """The same correction for the days of one quarter, into a table stored by month: other months keep their files."""
+    totals = cut_lineage(star.order_totals(spark, folder), "orders")
+    month = partials.month_of("date").alias("order_month")
+    before = summaries.daily_sales_summary(summaries.with_statuses(totals, ["Completed"]))
+    before = before.select("*", F.col("total_orders").alias("first_total_orders"), month)
+    path = scratch_path(spark, "daily-by-month")
+    load.write_partitioned(before, path, "order_month")
+    fresh = summaries.daily_sales_summary(summaries.in_range(totals, "order_day", *CORRECTED)).select("*", month)
+    figures = ["total_orders", "total_revenue"]
+    load.upsert_partitioned(spark, path, before.schema, fresh, ["date"], figures, "order_month")
+    return spark.read.schema(before.schema).parquet(path).drop("order_month")
+
+
 @query
 def scd2_products(spark, folder):
     return dimensions.scd2(star.product_snapshots(spark, folder), "product_id", "snapshot_date", ["price_band"])
@@ -145,6 +170,15 @@ def allocated_tax(spark, folder):
     )
 
 
+@query
+def allocated_shipping(spark, folder):
+    lines = star.sales(spark, folder).select("order_id", "product_id", "total_cents", "shipping_cost")
+    lines = cut_lineage(lines, "lines")
+    return facts.allocate_order_cost(lines, "shipping_cost", "allocated_shipping").select(
+        "order_id", "product_id", from_cents("total_cents").alias("total_amount"), "shipping_cost", "allocated_shipping"
+    )
+
+
 @query
 def allocated_tax_by_order(spark, folder):
     """What the lines of an order were given, beside its tax."""
@@ -261,6 +295,37 @@ def approx_customers(spark, folder):
     return summaries.approx_customers(star.order_totals(spark, folder))
 
 
+def _customer_sketches(spark, folder):
+    sales = star.sales(spark, folder)
+    return cut_lineage(summaries.customer_sketches(sales, staging.products(spark, folder)), "sketches")
+
+
+@query
+def customers_by_range_estimate(spark, folder):
+    """Distinct customers per quarter and category from the days' sketches alone."""
+    quarter = F.trunc("date", "quarter").alias("quarter")
+    return summaries.customers_from_sketches(_customer_sketches(spark, folder), quarter, "category")
+
+
+@query
+def customers_by_range_sketch(spark, folder):
+    """The same counted exactly, and whether the sketches' error stays within three standard errors."""
+    estimates = summaries.customers_from_sketches(
+        _customer_sketches(spark, folder), F.trunc("date", "quarter").alias("quarter"), "category"
+    )
+    lines = star.sales(spark, folder).join(staging.products(spark, folder).select("product_id", "category"), "product_id")
+    exact = (
+        lines.select(F.trunc("order_day", "quarter").alias("quarter"), "category", "customer_id")
+        .distinct()
+        .groupBy("quarter", "category")
+        .agg(F.count(F.lit(1)).alias("customers"))
+    )
+    off = F.abs(F.col("estimate") - F.col("customers"))
+    return exact.join(estimates, ["quarter", "category"], "left").select(
+        "quarter", "category", "customers", F.coalesce(off <= 0.05 * F.col("customers"), F.lit(False)).alias("within_bound")
+    )
+
+
 @query
 def basket_size_distribution(spark, folder):
     return summaries.basket_size_distribution(star.order_totals(spark, folder))
@@ -340,6 +405,18 @@ def best_seller_recommendations(spark, folder):
     return recommend.recommend_copurchase(recommend.baskets(lines), recommend.best_sellers(lines, 20), 5)
 
 
+@query
+def frequent_pairs(spark, folder):
+    """Every pair of products that one order in ten thousand holds."""
+    itemsets, _ = baskets.frequent_itemsets(_slim_lines(spark, folder), LEAST_SUPPORT)
+    return baskets.frequent_pairs(itemsets)
+
+
+@query
+def association_rules(spark, folder):
+    return baskets.association_rules(*baskets.frequent_itemsets(_slim_lines(spark, folder), LEAST_SUPPORT), 0.05)
+
+
 @query
 def recommend_als(spark, folder):
     return recommend.recommend_als(_slim_lines(spark, folder))
@@ -383,9 +460,58 @@ def forecast_error(spark, folder):
     return trends.forecast_error(forecast_seasonal_naive(spark, folder), "seasonal_naive")
 
 
-def _sales_features(spark, folder):
+def _every_category_day(spark, folder):
     sold = cut_lineage(trends.category_days(star.sales(spark, folder), _goods(spark, folder)))
-    return models.sales_features(trends.every_category_day(sold))
+    return trends.every_category_day(sold)
+
+
+def _sales_features(spark, folder):
+    return models.sales_features(_every_category_day(spark, folder))
+
+
+@query
+def forecast_additive(spark, folder):
+    """The four weeks after the last day, by trend, yearly and weekly shape."""
+    return additive.forecast_additive(_every_category_day(spark, folder), FORECAST_ORIGIN)
+
+
+@query
+def forecast_folds(spark, folder):
+    """What each rolling origin trains and tests on."""
+    members = models.rolling_folds(_sales_features(spark, folder), "date", **FOLDS)
+    return members.groupBy("fold", "role").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("date").alias("first_day"),
+        F.max("date").alias("last_day"),
+        F.sum(F.col("actual").cast("decimal(18,2)")).alias("revenue"),
+    )
+
+
+@query
+def forecast_fold_errors(spark, folder):
+    """Errors of the naive forecasts at each origin."""
+    members = models.rolling_folds(_sales_features(spark, folder), "date", **FOLDS)
+    return models.fold_errors(members.where("role = 'test'"), {f"lag_{n}": f"lag_{n}" for n in (1, 7, 28)})
+
+
+@query
+def model_status(spark, folder):
+    """A row per model: errors over months or days after the cut, and the churn model's ranking after its own."""
+    days = cut_lineage(_every_category_day(spark, folder), "days")
+    ahead = (AS_OF - MODEL_CUT).days
+    later = additive.forecast_additive(days, FORECAST_ORIGIN, ahead, until=MODEL_CUT)
+    shaped = later.join(days.withColumnRenamed("revenue", "actual"), ["category", "date"])
+    trees = models.forecast_gbt(models.sales_features(days), MODEL_CUT)
+    churn = cut_lineage(churn_scores(spark, folder), "churn-scores")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            models.evaluate(forecast_seasonal_naive(spark, folder), "seasonal_naive"),
+            models.evaluate(shaped, "additive"),
+            models.evaluate(trees, "boosted_trees"),
+            models.evaluate_scores(churn, "churn", "churned", "churn_probability"),
+        ],
+    )
 
 
 @query
@@ -465,10 +591,30 @@ def churn_labels(spark, folder):
     return segments.churn_labels(star.order_totals(spark, folder), CHURN_CUT)
 
 
+@query
+def churn_labels_learnt(spark, folder):
+    """What the churn model learns from: the cut before, whose outcomes are known at ``CHURN_CUT``."""
+    return segments.churn_labels(star.order_totals(spark, folder), CHURN_LEARNT_CUT)
+
+
 @query
 def churn_scores(spark, folder):
-    labels = cut_lineage(segments.churn_labels(star.order_totals(spark, folder), CHURN_CUT))
-    return models.churn_scores(models.fit_churn(labels), labels)
+    """Learnt at the earlier cut, scored at the later one: no customer is scored by its own outcome."""
+    totals = cut_lineage(star.order_totals(spark, folder), "orders")
+    learnt = models.LinearScore.of(models.fit_churn(segments.churn_labels(totals, CHURN_LEARNT_CUT)))
+    return models.churn_scores(learnt, segments.churn_labels(totals, CHURN_CUT))
+
+
+@query
+def features_as_of(spark, folder):
+    """Each customer's state before the first day of every quarter, for training sets that cannot see ahead."""
+    totals = star.order_totals(spark, folder)
+    starts = F.sequence(F.lit(dt.date(1996, 1, 1)), F.lit(dt.date(2001, 7, 1)), F.expr("INTERVAL 3 MONTHS"))
+    examples = staging.buyers(spark, folder).select("customer_id", F.explode(starts).alias("cut"))
+    return asof.as_of(
+        examples, asof.running_features(totals), "customer_id", "cut", "known_on",
+        ["frequency", "monetary", "first_day"], F.year("cut"), F.year("known_on"),
+    )
 
 
 @query
@@ -599,6 +745,16 @@ def stream_user_state(spark, folder):
     return sinks.drain_updates(live.user_state(event_stream(spark, folder)), "user_state", ["user_id"])
 
 
+@query
+def stream_daily_summary(spark, folder):
+    """The daily summary kept by a stream of sales lines, in four batches that split orders and days."""
+    lines = star.sales(spark, folder).select(*summaries.ORDER_COLUMNS, "product_id", "quantity", "total_cents", "profit_cents")
+    feed = scratch_path(spark, "lines")
+    lines.repartition(4, "product_id").write.parquet(feed)
+    arriving = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    return sinks.drain_daily_summary(arriving)
+
+
 @query
 def stream_events_by_segment(spark, folder):
     joined = live.events_by_segment(event_stream(spark, folder), staging.buyers(spark, folder))
@@ -692,10 +848,12 @@ def dq_freshness(spark, folder):
 
 @query
 def dq_report(spark, folder):
-    every = quality.domain(_rules(staging.load_raw(spark, folder), complete=True))
-    return quality.report(
-        dq_duplicate_keys(spark, folder),
-        dq_orphans(spark, folder),
-        every.unionByName(dq_consistency(spark, folder)),
-        dq_freshness(spark, folder),
-    )
+    raw = staging.load_raw(spark, folder)
+    return quality.full_report(raw, quality.domain(_rules(raw, complete=True)), AS_OF, max_age_days=7)
+
+
+@query
+def data_alerts(spark, folder):
+    """Rules of the report that fail, and forecasts that are off by more than a twentieth."""
+    status = models.evaluate(forecast_seasonal_naive(spark, folder), "seasonal_naive")
+    return alerts.data_alerts(dq_report(spark, folder)).unionByName(alerts.accuracy_alerts(status, 5.0, 0.6))

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from salesloom.operators import partials
 from salesloom.operators.load import upsert
-from salesloom.operators.summaries import daily_sales_summary, order_totals
-from salesloom.session import scratch_path
+from salesloom.operators.summaries import daily_sales_summary
+from salesloom.session import cut_lineage, scratch_path
+from salesloom.sources.layout import Layout
+
+ORDER_STATES = ("processed_data", "order_states")
+DAILY_TABLE = ("analytics", "daily_sales_summary")
 
 DAILY_FIGURES = (
     "total_orders",
@@ -101,24 +106,45 @@ def drain_sessions(stream: DataFrame, events: DataFrame, sessions: Callable[[Dat
     return closed.unionByName(sessions(left))
 
 
-def daily_summary_merger(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: new sales lines in, daily summary of the touched days upserted.
+class DailySummaryMerger:
+    """``foreachBatch`` function: new sales lines in, the daily summary of the touched months kept up to date.
 
-    Batch n writes its lines and a whole summary (one row per day) under its own id and reads only what
-    batch n - 1 left, so a repeated batch gives the same tables.
+    The state has a row per order, so that an order's lines may come in different batches. Batch n merges its lines into
+    the months that they touch, as batch n - 1 left them, and writes those months of state and summary under its own
+    number: a repeated batch gives the same tables, and no line of an earlier batch is read again.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        lines = f"{root}/lines"
-        batch.write.mode("overwrite").parquet(f"{lines}/batch_id={batch_id}")
-        schema = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
-        known = spark.read.schema(schema).parquet(lines)
-        known = known.filter(F.col("batch_id") <= batch_id)
-        days = known.filter(F.col("batch_id") == batch_id).select("order_day").distinct()
-        fresh = daily_sales_summary(order_totals(known.join(days, "order_day", "left_semi")))
-        if batch_id > 0:
-            before = spark.read.parquet(f"{root}/daily/batch={batch_id - 1}")
-            fresh = upsert(before, fresh, ["date"], DAILY_FIGURES)
-        fresh.write.mode("overwrite").parquet(f"{root}/daily/batch={batch_id}")
-
-    return merge
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.layout, self.last = spark, Layout(root), None
+
+    @staticmethod
+    def version(batch_id: int) -> str:
+        return f"batch-{batch_id}"
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, layout, now = self.spark, self.layout, self.version(batch_id)
+        before = self.version(batch_id - 1) if batch_id > 0 else None
+        delta = cut_lineage(partials.orders(batch), "order-delta")
+        touched = partials.parts_of(delta, "order_month")
+        states = [delta] if before is None else [delta, layout.read_parts(spark, *ORDER_STATES, before, touched)]
+        layout.write_parts(partials.ORDERS.merged(*states), *ORDER_STATES, now, "order_month", before)
+        months = layout.read_parts(spark, *ORDER_STATES, now, touched)
+        fresh = daily_sales_summary(months).withColumn("order_month", partials.month_of("date"))
+        if before is not None:
+            known = layout.read_parts(spark, *DAILY_TABLE, before, touched)
+            fresh = upsert(known, fresh, ["date", "order_month"], DAILY_FIGURES)
+        layout.write_parts(fresh, *DAILY_TABLE, now, "order_month", before)
+        self.last = batch_id
+
+    def table(self) -> DataFrame:
+        """The summary after the last batch."""
+        return self.layout.read(self.spark, *DAILY_TABLE, self.version(self.last))
+
+
+def drain_daily_summary(lines: DataFrame) -> DataFrame:
+    """Run the merger over all lines a stream has at hand and read its table."""
+    spark = lines.sparkSession
+    merger = DailySummaryMerger(spark, scratch_path(spark, "daily-summary"))
+    query = lines.writeStream.foreachBatch(merger).option("checkpointLocation", scratch_path(spark, "daily-state"))
+    query.trigger(**until_done()).start().awaitTermination()
+    return merger.table()

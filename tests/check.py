@@ -65,7 +65,7 @@ if __name__ == "__main__":
 
     folder = sys.argv[1]
     names = sys.argv[2:] or list(entry.queries())
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__checkpoint__dir=os.environ.get("SPARK_SHARED", "/tmp/shared"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     sqls = entry.oracle_sql()

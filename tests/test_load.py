@@ -7,7 +7,7 @@ import random
 import duckdb
 import pytest
 
-from salesloom.operators.load import insert_ignore, upsert
+from salesloom.operators.load import insert_ignore, touched_parts, upsert, upsert_partitioned, write_partitioned
 from salesloom.operators.ordering import assign_keys, with_running_sum, with_tile
 from tests.conftest import rows
 
@@ -82,3 +82,38 @@ def test_tiles_and_running_sum_as_sql(spark, size):
     ).fetchall()
     got = with_running_sum(df, ["v", "id"], "v", "cum", "all").select("id", "cum", "all")
     assert rows(got, "id") == want
+
+
+def _files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_partitioned_upsert_leaves_other_partitions_alone(spark, tmp_path):
+    schema = "id int, v int, made string, part string"
+    target = spark.createDataFrame([(i, i, "old", f"p{i % 4}") for i in range(40)], schema)
+    path = tmp_path / "t"
+    write_partitioned(target, str(path), "part")
+    before = _files(path)
+    source = spark.createDataFrame([(1, 100, "new", "p1"), (5, 500, "new", "p1"), (41, 1, "new", "p1"), (99, 9, "new", "p9")], schema)
+    for _ in range(2):  # the rerun gives the same table
+        upsert_partitioned(spark, str(path), target.schema, source, ["id"], ["v"], "part")
+        got = {r.id: (r.v, r.made, r.part) for r in spark.read.schema(target.schema).parquet(str(path)).collect()}
+        assert len(got) == 42 and got[1] == (100, "old", "p1") and got[41] == (1, "new", "p1") and got[99] == (9, "new", "p9")
+        assert got[2] == (2, "old", "p2")
+    after = _files(path)
+    assert {f: t for f, t in after.items() if "p1" not in f and "p9" not in f} == {f: t for f, t in before.items() if "p1" not in f}
+    assert {f.split("/")[0] for f in after} == {"part=p0", "part=p1", "part=p2", "part=p3", "part=p9"}
+
+
+def test_only_touched_partitions_are_scanned(spark, tmp_path):
+    schema = "id int, v int, part string"
+    target = spark.createDataFrame([(i, i, f"p{i % 4}") for i in range(8)], schema)
+    write_partitioned(target, str(tmp_path / "t"), "part")
+    source = spark.createDataFrame([(1, 1, "p1")], schema)
+    stored = spark.read.schema(target.schema).parquet(str(tmp_path / "t"))
+    text = touched_parts(stored, source, "part")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in text and "= p1)" in text
+    refused = spark.createDataFrame([(1, 1, "p1"), (1, 2, "p1")], schema)
+    with pytest.raises(Exception, match="duplicate key"):
+        upsert_partitioned(spark, str(tmp_path / "t"), target.schema, refused, ["id"], ["v"], "part")
+    assert spark.read.schema(target.schema).parquet(str(tmp_path / "t")).count() == 8

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
-from salesloom.operators import quality
-from tests.conftest import rows
+from salesloom.operators import alerts, quality
+from salesloom.plans.queries import registry
+from salesloom.session import cut_lineage
+from tests.conftest import SF, rows
 
 
 def test_ratings_outside_the_range(spark):
@@ -50,3 +52,28 @@ def test_report_passes_and_fails(spark):
     assert {r.rule: r.passed for r in out.collect()} == {
         "unique.c.k": True, "parent.c.c": True, "c.small": False, "not_null.c.k": True, "fresh.c": False,
     }
+
+
+def test_report_reads_the_lines_three_times(spark, monkeypatch):
+    """Each stage table and the report's own plan are looked through for scans of the line file."""
+    plans = []
+
+    def counted(df, name="stage"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df, name)
+
+    monkeypatch.setattr(quality, "cut_lineage", counted)
+    report = registry()["dq_report"](spark, SF)
+    plans.append(report._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("l_orderkey#") > 0 or "l_partkey#" in p for p in plans) == 3
+    rules = {r.rule: r for r in report.collect()}
+    assert rules["overview.total_records"].checked == 1500 and rules["overview.unique_products"].passed
+
+
+def test_alerts_on_data_and_models(spark):
+    report = spark.createDataFrame([("a", 10, 2), ("b", 10, 0), ("c", 0, 0)], "rule string, checked long, failed long")
+    assert [tuple(r) for r in alerts.data_alerts(report).collect()] == [("data_quality", "a", 0.2, 0.0)]
+    assert alerts.data_alerts(report, 0.5).collect() == []
+    status = spark.createDataFrame([("m", 12.0, None), ("n", 3.0, None), ("o", None, 0.4), ("p", None, 0.9)], "model string, mape double, auc double")
+    got = {tuple(r) for r in alerts.accuracy_alerts(status, 10.0, 0.5).collect()}
+    assert got == {("model_error", "m", 12.0, 10.0), ("model_ranking", "o", 0.4, 0.5)}

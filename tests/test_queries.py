@@ -14,7 +14,9 @@ ROWS_ONLY = {
     "approx_customers",
     "behavior_clusters",
     "churn_scores",
+    "customers_by_range_estimate",
     "forecast_gbt",
+    "model_status",
     "recommend_als",
 }
 

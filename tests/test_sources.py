@@ -166,3 +166,45 @@ def test_endpoints_over_the_stored_star(spark, tmp_path):
     now = stages.selectExpr("max(ts)").scalar()
     rate = metrics.pipeline_throughput(stages, now).filter("pipeline_stage = 'dim_customers'").first()
     assert rate.records == raw.customers.count() and rate.rate == rate.records / 300
+
+
+def test_a_load_reads_only_what_it_touches(spark, tmp_path):
+    """A later load with new orders of one month: fact, state and summary files of other months are left alone."""
+    raw = staging.load_raw(spark, SF)
+    layout = Layout(str(tmp_path))
+    early = raw.orders.filter("order_date < '2001-06-01'")
+    feed = staging.Staging(raw.customers, raw.products, early, raw.order_items, raw.events, raw.order_tax)
+    DailyLoad(layout, "1", dt.date(2024, 1, 1)).run(spark, feed)
+    june = raw.orders.filter("order_date >= '2001-06-05' AND order_date < '2001-07-01'")
+    feed = staging.Staging(raw.customers, raw.products, june, raw.order_items, raw.events, raw.order_tax)
+    load = DailyLoad(layout, "2", dt.date(2024, 1, 2), previous="1")
+    load.run(spark, feed)
+    held = load.earlier_orders(spark, feed, ["1"])
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "= 2001-06)" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    for layer, table in (("processed_data", "customer_days"), ("analytics", "daily_sales_summary")):
+        owners = {r.part: r.load_id for r in spark.read.parquet(layout.path(layer, f"{table}_parts", "2")).collect()}
+        assert {p for p, owner in owners.items() if owner == "2"} == {"2001-06"} and len(owners) > 70
+    state = layout.read_parts(spark, "processed_data", "customer_days", "2", ["2001-06"])
+    assert {f.split("order_month=")[1].split("/")[0] for f in state.inputFiles()} == {"2001-06"}
+    both = spark.createDataFrame([], early.schema).unionByName(early).unionByName(june)
+    whole = DailyLoad(Layout(str(tmp_path / "one")), "1", dt.date(2024, 1, 1))
+    whole.run(spark, staging.Staging(raw.customers, raw.products, both, raw.order_items, raw.events, raw.order_tax))
+    for layer, table, key in (
+        ("analytics", "daily_sales_summary", ["date"]),
+        ("ml_features", "customer_features", ["customer_id", "feature_name"]),
+        ("ml_features", "product_features", ["product_id", "feature_name"]),
+    ):
+        one, two = whole.layout.read(spark, layer, table, "1"), layout.read(spark, layer, table, "2")
+        assert rows(two.select(*one.columns), *key) == rows(one, *key), table
+    old = layout.read(spark, "analytics", "daily_sales_summary", "1")  # the first version stays readable
+    assert old.agg({"date": "max"}).first()[0] < dt.date(2001, 6, 1)
+
+
+def test_a_load_without_new_orders_changes_nothing(spark, tmp_path):
+    raw = staging.load_raw(spark, SF)
+    layout = Layout(str(tmp_path))
+    DailyLoad(layout, "1", dt.date(2024, 1, 1)).run(spark, raw)
+    DailyLoad(layout, "2", dt.date(2024, 1, 2), previous="1").run(spark, raw)
+    one, two = (layout.read(spark, "analytics", "daily_sales_summary", i) for i in "12")
+    assert rows(one, "date") == rows(two, "date")

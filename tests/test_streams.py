@@ -131,13 +131,29 @@ def test_alert_rules(spark):
 def test_repeated_batch_of_new_lines(spark, tmp_path):
     """Each batch upserts the days it touches; running a batch again changes nothing."""
     lines = star.sales(spark, SF)
-    merge = sinks.daily_summary_merger(spark, str(tmp_path))
+    merge = sinks.DailySummaryMerger(spark, str(tmp_path))
     merge(lines.filter("order_id % 2 = 0"), 0)
     for _ in range(2):
         merge(lines.filter("order_id % 2 = 1"), 1)
     want = daily_sales_summary(order_totals(lines))
-    got = spark.read.parquet(f"{tmp_path}/daily/batch=1").select(*want.columns)
-    assert rows(got, "date") == rows(want, "date")
+    assert rows(merge.table().select(*want.columns), "date") == rows(want, "date")
+
+
+def test_a_batch_touches_only_its_months(spark, tmp_path):
+    """Files of other months are neither rewritten nor read; an order split among batches counts once."""
+    lines = star.sales(spark, SF)
+    merge = sinks.DailySummaryMerger(spark, str(tmp_path))
+    merge(lines.filter("product_id % 2 = 0"), 0)
+    late = lines.filter("product_id % 2 = 1 AND order_day >= DATE '2001-05-01'")
+    merge(late, 1)
+    own = [r.part for r in spark.read.parquet(f"{tmp_path}/processed_data/order_states_parts/load_id=batch-1").collect() if r.load_id == "batch-1"]
+    assert own and min(own) >= "2001-05"
+    reread = merge.layout.read_parts(spark, *sinks.ORDER_STATES, "batch-1", ["2001-06"])
+    assert all("order_month=2001-06" in f for f in reread.inputFiles())
+    want = daily_sales_summary(order_totals(lines.filter("product_id % 2 = 0 OR order_day >= DATE '2001-05-01'")))
+    assert rows(merge.table().select(*want.columns), "date") == rows(want, "date")
+    merge(late.limit(0), 2)
+    assert rows(merge.table().select(*want.columns), "date") == rows(want, "date")
 
 
 def test_merger_as_a_stream(spark, tmp_path):
@@ -145,13 +161,12 @@ def test_merger_as_a_stream(spark, tmp_path):
     lines = sales_lines(raw.order_items, raw.orders, raw.customers, raw.products)
     lines.repartition(2).write.parquet(str(tmp_path / "in"))
     new = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    merge = sinks.daily_summary_merger(spark, str(tmp_path / "out"))
+    merge = sinks.DailySummaryMerger(spark, str(tmp_path / "out"))
     q = new.writeStream.foreachBatch(merge).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
+    assert merge.last == max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
     want = daily_sales_summary(order_totals(lines))
-    got = spark.read.parquet(f"{tmp_path}/out/daily/batch={last}").select(*want.columns)
-    assert rows(got, "date") == rows(want, "date")
+    assert rows(merge.table().select(*want.columns), "date") == rows(want, "date")
 
 
 def test_triggers():
