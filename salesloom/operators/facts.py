@@ -124,22 +124,30 @@ def sales_lines(
     along. ``tax`` holds order-level tax where the orders lack it; it joins on the key the lines join on
     next, so it costs no shuffle of the orders. Lines meet their order last.
     """
+    return priced_lines(items, products).join(placed_orders(orders, customers, start, end, tax), "order_id")
+
+
+def placed_orders(
+    orders: DataFrame,
+    customers: DataFrame,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    tax: DataFrame | None = None,
+) -> DataFrame:
+    """One row per order within the calendar that has a customer."""
     placed = dated_orders(orders, start, end).join(buyers(customers), "customer_id")
     if tax is not None:
         placed = placed.drop("tax_amount").join(tax, "order_id", "left")
-    return priced_lines(items, products).join(
-        placed.select(
-            "order_id",
-            "customer_id",
-            *_present(customers, "customer_key"),
-            "order_day",
-            "order_date",
-            "order_status",
-            "registration_date",
-            "tax_amount",
-            "shipping_cost",
-        ),
+    return placed.select(
         "order_id",
+        "customer_id",
+        *_present(customers, "customer_key"),
+        "order_day",
+        "order_date",
+        "order_status",
+        "registration_date",
+        "tax_amount",
+        "shipping_cost",
     )
 
 
@@ -156,6 +164,11 @@ def fact_sales(
     lines = sales_lines(
         items, orders, dim_customers.filter("current_flag"), dim_products.filter("current_flag"), start, end, tax
     )
+    return fact_of(lines)
+
+
+def fact_of(lines: DataFrame) -> DataFrame:
+    """The fact from lines that have met their orders."""
     return with_amounts(lines).withColumn("date_key", date_key("order_day"))
 
 

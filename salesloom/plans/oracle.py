@@ -710,6 +710,18 @@ SELECT n AS total_events, {_usd('pv')} AS total_revenue, CAST(p AS DOUBLE) / v *
     "latest_gauge": _EVENTS + f"""SELECT event_type, source, {_ts('ts')} AS ts, {_usd('vc')} AS value FROM ev
 QUALIFY row_number() OVER (PARTITION BY event_type, source ORDER BY ev.ts DESC, event_id DESC) = 1""",
     "stream_dedup_events": _EVENTS + f"""SELECT event_id, {_ts('ts')} AS ts, user_id, event_type, {_usd('vc')} AS value, source FROM ev""",
+    "stream_user_state_live": _EVENTS + f""", marked AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM ev),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM marked),
+spans AS (
+  SELECT user_id, s, date_trunc('millisecond', min(ts)) AS a, date_trunc('millisecond', max(ts)) AS b, count(*) AS n,
+    coalesce(sum(vc) FILTER (event_type = 'purchase'), 0) AS pv
+  FROM numbered GROUP BY user_id, s)
+SELECT user_id, {_ts('a')} AS first_seen, {_ts('b')} AS last_seen, n AS events, {_usd('pv')} AS spend,
+  b + INTERVAL 1 DAY >= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE AS active
+FROM spans QUALIFY s = max(s) OVER (PARTITION BY user_id)""",
+    "stream_progress": """SELECT 'dedup' AS query, count(*) AS input_rows,
+  count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS dropped_rows FROM events""",
     "stream_sessions": _SESSIONS + f"""SELECT {_ts('a')} AS window_start, {_ts('b')} AS window_end, user_id, n AS events,
   {_usd('vc')} AS value FROM visits""",
     "stream_alerts": _HOURLY + f""", k AS (
@@ -747,6 +759,7 @@ UNION ALL SELECT 'model_error', 'seasonal_naive', mape, 5::DOUBLE FROM status WH
 #: The stored tables after two loads or several batches are those of one look at everything.
 _LOADED = {
     "stream_daily_summary": "daily_sales_summary",
+    "fact_sales_bucketed": "fact_sales",
     "daily_load_summary": "daily_sales_summary",
     "daily_load_product_performance": "product_performance",
     "daily_load_customer_features": "customer_features",

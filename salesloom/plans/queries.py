@@ -37,13 +37,15 @@ from salesloom.plans import star
 from salesloom.plans.daily_load import DailyLoad
 from salesloom.session import cut_lineage, scratch_path, tune
 from salesloom.sources import staging
+from salesloom.sources.buckets import store_bucketed
 from salesloom.sources.events import event_stream
 from salesloom.sources.layout import Layout
-from salesloom.streaming import live, sinks
+from salesloom.streaming import live, progress, sinks, users
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = dt.date(2001, 8, 2)
+LATE_FEED = (dt.datetime(2024, 1, 15), dt.datetime(2024, 1, 20))
 CHURN_CUT = dt.date(2001, 2, 3)
 CHURN_LEARNT_CUT = dt.date(2000, 8, 7)  # its 180 days of outcomes end where those of CHURN_CUT begin
 FOLDS = {"first": dt.date(2000, 1, 1), "step_days": 90, "folds": 4, "horizon_days": 90}
@@ -53,6 +55,7 @@ MODEL_CUT = dt.date(2001, 1, 1)
 SECOND_LOAD = dt.date(1998, 6, 15)
 RANGE = (dt.date(1997, 1, 1), dt.date(1997, 12, 31))
 CORRECTED = (dt.date(1998, 4, 10), dt.date(1998, 6, 20))
+BUCKETS = 16
 KNOWN_UNTIL = dt.date(1997, 1, 1)
 STATUS_BANDS = {
     "revenue": bands.REVENUE_BANDS,
@@ -112,6 +115,22 @@ def fact_sales(spark, folder):
     ).select(*facts.FACT_COLUMNS)
 
 
+@query
+def fact_sales_bucketed(spark, folder):
+    """The fact from lines and orders stored in buckets of the order: their join, and what follows by order, shuffles
+    nothing."""
+    return facts.fact_of(_bucketed_sales(spark, folder)).select(*facts.FACT_COLUMNS)
+
+
+def _bucketed_sales(spark, folder):
+    people = cut_lineage(dimensions.dim_customers(staging.customers(spark, folder)), "dim_customers")
+    goods = cut_lineage(dimensions.dim_products(staging.products(spark, folder), AS_OF), "dim_products")
+    lines = facts.priced_lines(staging.order_items(spark, folder), dimensions.current(goods))
+    placed = facts.placed_orders(staging.orders(spark, folder), dimensions.current(people), tax=staging.order_tax(spark, folder))
+    stored = [store_bucketed(df, "order_id", BUCKETS, name) for df, name in ((lines, "lines"), (placed, "orders"))]
+    return stored[0].join(stored[1], "order_id")
+
+
 @query
 def insert_ignore_customers(spark, folder):
     """Known customers keep their row; the full feed adds the others."""
@@ -755,6 +774,33 @@ def stream_daily_summary(spark, folder):
     return sinks.drain_daily_summary(arriving)
 
 
+@query
+def stream_user_state_live(spark, folder):
+    """Each user's last span of activity, and whether it had ended (a day without events) when the input did."""
+    return sinks.drain_updates(users.user_activity(event_stream(spark, folder)), "user_activity", ["user_id"])
+
+
+@query
+def stream_progress(spark, folder):
+    """What a deduplicating stream reports when the first half of the events comes last, two batches late: rows are late
+    by the watermark that the batch before went by."""
+    events = staging.scan(spark, folder, "events")
+    feed = scratch_path(spark, "late-events")
+    early, middle = (F.lit(day).cast("timestamp_ntz") for day in LATE_FEED)
+    ts = F.col("ts")
+    for n, due in enumerate((ts.between(early, middle), ts > middle, ts < early)):
+        events.where(due).coalesce(1).write.parquet(f"{feed}/events.parquet/{n}")
+    stream = event_stream(spark, feed, maxFilesPerTrigger="1", recursiveFileLookup="true")
+    log = progress.ProgressLog(spark, scratch_path(spark, "progress"), frozenset({"dedup"}))
+    with log:
+        once = stream.withWatermark("ts", live.DELAY).dropDuplicatesWithinWatermark(["event_id"])
+        sinks.append_table(
+            once, scratch_path(spark, "dedup"), scratch_path(spark, "dedup-state"), sinks.until_done(), "dedup"
+        ).awaitTermination()
+        log.wait()
+    return progress.totals(log.table()).drop("most_state_rows")
+
+
 @query
 def stream_events_by_segment(spark, folder):
     joined = live.events_by_segment(event_stream(spark, folder), staging.buyers(spark, folder))

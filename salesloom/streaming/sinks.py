@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,24 +41,35 @@ def until_done() -> dict[str, bool]:
     return {"availableNow": True}
 
 
-def append_table(stream: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+def append_table(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict, name: str | None = None
+) -> StreamingQuery:
     """Append mode into Spark's own exactly-once Parquet sink."""
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start(path)
-    )
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    if name:
+        writer = writer.queryName(name)
+    return writer.trigger(**trigger).start(path)
 
 
 def write_metrics(
-    stream: DataFrame, path: str, checkpoint: str, trigger: dict, mode: str = "update"
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict,
+    mode: str = "update",
+    keys: Sequence[str] | None = None,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
-    """Each batch into its own folder; a repeated batch overwrites itself."""
+    """Each batch into its own folder; a repeated batch overwrites itself.
+
+    With ``keys`` and ``compact_every`` the folders are folded together after every so many batches, so that the table
+    follows the number of keys, not that of the revisions.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact_updates(batch.sparkSession, path, stream.schema, keys or (), batch_id)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -68,6 +80,64 @@ def write_metrics(
     )
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete folders below a path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+    return [f.getName() for f in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+def read_updates(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All stored revisions with their ``batch_id``: the newest compacted table and the batches after it.
+
+    Batches that the compacted table already holds may still lie there; their rows lose against its own.
+    """
+    fields = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    bases = sorted(int(n.rpartition("=")[2]) for n in _folders(spark, f"{path}-base"))
+    upto = bases[-1] if bases else -1
+    later = [n for n in _folders(spark, path) if int(n.rpartition("=")[2]) > upto]
+    parts = []
+    if later:
+        paths = [f"{path}/{n}" for n in later]
+        parts.append(spark.read.schema(fields).option("basePath", path).parquet(*paths))
+    if bases:
+        parts.append(spark.read.schema(fields).parquet(f"{path}-base/upto={upto}"))
+    if not parts:
+        return spark.createDataFrame([], fields)
+    return reduce(DataFrame.unionByName, [p.select(fields.names) for p in parts])
+
+
+def compact_updates(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], upto: int) -> None:
+    """Folds the batches up to ``upto`` into one table with the newest revision of every key.
+
+    The new table is whole before anything goes: until then readers take the old one and the batches, and a crash
+    leaves folders that the next compaction removes. A rerun writes the same table.
+    """
+    every = read_updates(spark, path, schema)
+    held = every.where(F.col("batch_id") <= upto)
+    values = [c for c in held.columns if c not in keys]
+    last = F.max_by(F.struct(*values), "batch_id").alias("_v")
+    newest = (held.groupBy(*keys) if keys else held).agg(last).select(*keys, "_v.*").where("batch_id IS NOT NULL")
+    merged = cut_lineage(newest.select(every.columns), "compacted")
+    merged.write.mode("overwrite").parquet(f"{path}-base/upto={upto}")
+    for name in _folders(spark, f"{path}-base"):
+        if int(name.rpartition("=")[2]) < upto:
+            _remove(spark, f"{path}-base/{name}")
+    for name in _folders(spark, path):
+        if int(name.rpartition("=")[2]) <= upto:
+            _remove(spark, f"{path}/{name}")
+
+
 def newest_per_key(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last revision of every key of an update-mode table."""
     values = [c for c in table.columns if c not in keys and c != "batch_id"]
@@ -85,13 +155,14 @@ def drain_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_updates(stream: DataFrame, name: str, keys: Sequence[str], mode: str = "update") -> DataFrame:
+def drain_updates(
+    stream: DataFrame, name: str, keys: Sequence[str], mode: str = "update", compact_every: int | None = None
+) -> DataFrame:
     """Run an update-mode query over the data at hand and read the last revision per key."""
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
-    write_metrics(stream, path, scratch_path(spark, f"{name}-state"), until_done(), mode).awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
-    return newest_per_key(spark.read.schema(schema).parquet(path), keys)
+    path, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    write_metrics(stream, path, state, until_done(), mode, keys, compact_every).awaitTermination()
+    return newest_per_key(read_updates(spark, path, stream.schema), keys)
 
 
 def drain_sessions(stream: DataFrame, events: DataFrame, sessions: Callable[[DataFrame], DataFrame]) -> DataFrame:

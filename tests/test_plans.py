@@ -105,3 +105,22 @@ def test_time_split(spark):
     df = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-10')) d")
     train, test = trends.split_by_date(df, "d", dt.date(2024, 1, 8))
     assert (train.count(), test.count()) == (7, 3)
+
+
+def test_bucketed_fact_joins_without_a_shuffle(no_broadcast):
+    """Lines and orders lie in buckets of the order: neither their join nor sums and windows by order exchange rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from salesloom.plans.queries import _bucketed_sales
+
+    joined = _bucketed_sales(no_broadcast, SF)
+    for df in (
+        joined,
+        summaries.order_totals(joined),
+        joined.withColumn("n", F.sum("total_cents").over(Window.partitionBy("order_id"))),
+    ):
+        text = plan(df)
+        assert "SortMergeJoin [order_id" in text and "Exchange" not in text
+        assert "SelectedBucketsCount: 16 out of 16" in text
+    assert joined.count() == star.sales(no_broadcast, SF).count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from salesloom.operators.summaries import daily_sales_summary, order_totals
 from salesloom.plans import star
 from salesloom.sources import staging
 from salesloom.sources.events import event_stream
-from salesloom.streaming import live, sinks
+from salesloom.streaming import live, progress, sinks, users
 from tests.conftest import SF, rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -172,3 +173,88 @@ def test_merger_as_a_stream(spark, tmp_path):
 def test_triggers():
     assert sinks.live_trigger() == {"processingTime": "5 seconds"}
     assert sinks.until_done() == {"availableNow": True}
+
+
+def test_idle_users_leave_the_state(spark, tmp_path):
+    """Spans restart after a pause, within a batch and across batches; state rows fall once users are idle."""
+    day = 24 * 60
+    folder = write_files(
+        spark, tmp_path,
+        [(1, 0, 1, "purchase", 5), (2, 30, 1, "view", 1), (3, 10, 2, "view", 1), (4, 20, 3, "purchase", 2)],
+        [(5, 60, 1, "purchase", 7), (6, 100, 4, "view", 1), (7, 3 * day, 4, "purchase", 1)],
+        [(8, 3 * day + 5, 2, "purchase", 4), (9, 3 * day + 60, 5, "view", 1)],
+    )
+    stream = users.user_activity(stream_of(spark, folder), idle_minutes=day)
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    query = sinks.write_metrics(stream, path, state, sinks.until_done())
+    query.awaitTermination()
+    got = sinks.newest_per_key(sinks.read_updates(spark, path, stream.schema), ["user_id"]).collect()
+    at = {r.user_id: (r.first_seen, r.last_seen, r.events, float(r.spend), r.active) for r in got}
+
+    def minute(m):
+        return T0 + dt.timedelta(minutes=m)
+
+    assert at[1] == (minute(0), minute(60), 3, 12.0, False) and at[3] == (minute(20), minute(20), 1, 2.0, False)
+    assert at[2] == (minute(3 * day + 5), minute(3 * day + 5), 1, 4.0, True)
+    assert at[4] == (minute(3 * day), minute(3 * day), 1, 1.0, True) and at[5][2:] == (1, 0.0, True)
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert max(held) >= 4 and held[-1] == 3  # users 1 and 3 have left
+
+
+def test_spans_do_not_hang_on_the_batches(spark, tmp_path):
+    rng = random.Random(4)
+    events = sorted((rng.randint(0, 6000), rng.randint(1, 4)) for _ in range(200))
+    events = [(n, m, u, rng.choice(["view", "purchase"]), 3) for n, (m, u) in enumerate(events)]
+    results = []
+    for cuts in ((200,), (50, 120, 200)):
+        folder = write_files(spark, tmp_path / str(len(cuts)), *[events[a:b] for a, b in zip((0, *cuts), cuts)])
+        got = sinks.drain_updates(users.user_activity(stream_of(spark, folder), idle_minutes=90), "u", ["user_id"])
+        results.append(rows(got.drop("batch_id"), "user_id"))
+    assert results[0] == results[1]
+
+
+def test_progress_rows(spark, tmp_path):
+    folder = write_files(
+        spark, tmp_path,
+        [(1, 500, 1, "view", 1)],
+        [(2, 501, 1, "view", 1)],
+        [(3, 5, 1, "view", 1), (4, 6, 1, "view", 1), (5, 502, 1, "view", 1)],
+    )
+    log = progress.ProgressLog(spark, str(tmp_path / "log"), frozenset({"mine"}))
+    with log:
+        other = sinks.append_table(stream_of(spark, folder), str(tmp_path / "o"), str(tmp_path / "os"), sinks.until_done(), "other")
+        other.awaitTermination()
+        once = stream_of(spark, folder).withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["event_id"])
+        sinks.append_table(once, str(tmp_path / "d"), str(tmp_path / "ds"), sinks.until_done(), "mine").awaitTermination()
+        log.wait()
+    batches = rows(log.table().select("query", "batch_id", "input_rows", "dropped_rows").where("input_rows > 0"), "batch_id")
+    assert batches == [("mine", 0, 1, 0), ("mine", 1, 1, 0), ("mine", 2, 3, 2)]
+    assert progress.totals(log.table()).first().most_state_rows == 3
+    log.flush()  # nothing new: no rows are written twice
+    assert log.table().where("input_rows > 0").count() == 3
+
+
+def test_compaction_keeps_the_newest_revision(spark, tmp_path):
+    """Folders follow the keys, not the batches; leftovers of a crash change nothing; a rerun gives the same table."""
+    schema = spark.createDataFrame([], "k long, v long").schema
+    path = str(tmp_path / "t")
+    for batch in range(5):
+        data = [(k, 10 * batch + k) for k in range(batch, 4)] or [(9, 9)]
+        spark.createDataFrame(data, schema).write.parquet(f"{path}/batch_id={batch}")
+    want = rows(sinks.newest_per_key(sinks.read_updates(spark, path, schema), ["k"]), "k")
+    assert want == [(0, 0), (1, 11), (2, 22), (3, 33), (9, 9)]
+    for _ in range(2):
+        sinks.compact_updates(spark, path, schema, ["k"], 3)
+        assert rows(sinks.newest_per_key(sinks.read_updates(spark, path, schema), ["k"]), "k") == want
+    assert sinks._folders(spark, path) == ["batch_id=4"] and sinks._folders(spark, f"{path}-base") == ["upto=3"]
+    spark.createDataFrame([(0, -1)], schema).write.parquet(f"{path}/batch_id=2")  # a crash left an old batch
+    assert rows(sinks.newest_per_key(sinks.read_updates(spark, path, schema), ["k"]), "k") == want
+    sinks.compact_updates(spark, path, schema, ["k"], 4)
+    assert rows(sinks.newest_per_key(sinks.read_updates(spark, path, schema), ["k"]), "k") == want
+    assert sinks._folders(spark, path) == []
+
+
+def test_compacted_stream_equals_the_batch(spark, tmp_path):
+    folder = write_files(spark, tmp_path, *[[(n, n, n % 2, "purchase", n)] for n in range(6)])
+    got = sinks.drain_updates(live.user_state(stream_of(spark, folder)), "u", ["user_id"], compact_every=2)
+    assert [(r.user_id, r.events, float(r.spend)) for r in got.orderBy("user_id").collect()] == [(0, 3, 6.0), (1, 3, 9.0)]
