@@ -596,6 +596,9 @@ UNION ALL SELECT product_id, 'total_quantity_sold', CAST(quantity AS DOUBLE) FRO
     "customer_ltv": STAR + f"""SELECT customer_id, {_usd('profit')} AS profit_to_date,
   CAST(greatest(DATE '2001-08-02' - first_day, 30) AS INT) AS tenure_days,
   {_usd('profit')} / greatest(DATE '2001-08-02' - first_day, 30) * CAST(365 AS DOUBLE) AS lifetime_value FROM per_customer""",
+    "recommend_new_checked": STAR + """SELECT customer_id,
+  least(5, (SELECT count(DISTINCT product_id) FROM sales) - count(DISTINCT product_id)) AS recommended, CAST(0 AS BIGINT) AS bought_before
+FROM sales GROUP BY customer_id""",
     "frequent_pairs": _PAIRS + "SELECT a AS product_id, b AS other_id, c AS orders FROM pairs",
     "association_rules": _PAIRS + """, both_ways AS (SELECT a, b, c FROM pairs UNION ALL SELECT b, a, c FROM pairs),
 held AS (SELECT product_id, count(*) AS k FROM basket GROUP BY product_id)

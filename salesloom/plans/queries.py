@@ -441,6 +441,23 @@ def recommend_als(spark, folder):
     return recommend.recommend_als(_slim_lines(spark, folder))
 
 
+@query
+def recommend_new(spark, folder):
+    """Five products for every customer that it has not bought yet."""
+    return recommend.recommend_new(_slim_lines(spark, folder))
+
+
+@query
+def recommend_new_checked(spark, folder):
+    """How many products each customer was given, and how many of them it had bought."""
+    lines = _slim_lines(spark, folder)
+    given = cut_lineage(recommend.recommend_new(lines), "given")
+    held = lines.select("customer_id", "product_id", F.lit(1).alias("held")).distinct()
+    return given.join(held, ["customer_id", "product_id"], "left").groupBy(F.col("customer_id").cast("long").alias("customer_id")).agg(
+        F.count(F.lit(1)).alias("recommended"), F.count("held").alias("bought_before")
+    )
+
+
 # --- trends and forecasts -----------------------------------------------------------------------------
 
 

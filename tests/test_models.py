@@ -221,3 +221,39 @@ def test_outliers_need_enough_orders(spark):
     data = [(i, 1, 10.0) for i in range(20)] + [(99, 1, 500.0), (100, 2, 1.0), (101, 2, 900.0)]
     orders = spark.createDataFrame(data, "order_id long, customer_id long, total_amount double")
     assert [r.order_id for r in trends.order_outliers(orders).collect()] == [99]
+
+
+def test_new_products_are_nearly_the_best_of_all(spark):
+    """Recall of the exact five best unbought products of every customer, over all customers of sf0.01."""
+    import numpy as np
+
+    lines = star.sales(spark, "/root/testdata/sf0.01").select("order_id", "customer_id", "product_id", "total_cents")
+    got = recommend.recommend_new(lines).collect()
+    ratings = recommend.purchase_counts(lines)
+    model = recommend.fit_als(ratings)
+    users = {r.id: np.array(r.features) for r in model.userFactors.collect()}
+    items = model.itemFactors.collect()
+    ids, matrix = np.array([r.id for r in items]), np.array([r.features for r in items])
+    at = {p: n for n, p in enumerate(ids.tolist())}
+    bought = {}
+    for r in ratings.collect():
+        bought.setdefault(r.customer_id, []).append(at[r.product_id])
+    found = {}
+    for r in got:
+        assert at[r.product_id] not in bought[r.customer_id]
+        assert r.score == pytest.approx(float(users[r.customer_id] @ matrix[at[r.product_id]]), abs=1e-5)
+        found.setdefault(r.customer_id, set()).add(r.product_id)
+    assert set(found) == set(users) and all(len(f) == 5 for f in found.values())
+    hits = 0
+    for u, vector in users.items():
+        scores = matrix @ vector
+        scores[bought[u]] = -np.inf
+        hits += len(found[u] & set(ids[np.argsort(-scores)[:5]].tolist()))
+    recall = hits / (5 * len(users))
+    print("recall", recall)
+    assert recall >= 0.9
+
+
+def test_new_products_of_a_tiny_shop(spark):
+    lines = spark.createDataFrame([(1, 1, 1, 5), (2, 1, 2, 5), (3, 2, 2, 5)], "order_id long, customer_id long, product_id long, total_cents long")
+    assert {(r.customer_id, r.product_id) for r in recommend.recommend_new(lines).collect()} == {(2, 1)}

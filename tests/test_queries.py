@@ -18,6 +18,7 @@ ROWS_ONLY = {
     "forecast_gbt",
     "model_status",
     "recommend_als",
+    "recommend_new",
 }
 
 
