@@ -13,6 +13,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +38,21 @@ PERFORMANCE_FIGURES = (
 )
 
 
+def _records(seen: Observation) -> int:
+    """Rows of a write that has ended; a plan that turned out empty while it ran reports none."""
+    try:
+        return seen.get["records"]
+    except Py4JJavaError:
+        return 0
+
+
 @dataclass(frozen=True)
 class DailyLoad:
     layout: Layout
     load_id: str
     load_date: dt.date
     previous: str | None = None
-    buckets: int = 64  # of customers and products; the same for all loads of a layout
+    buckets: int = 64  # parts of customers and of products; the same for all loads of a layout
 
     def __post_init__(self) -> None:
         for name in (self.load_id, self.previous):
@@ -113,7 +122,7 @@ class DailyLoad:
     def _lines(self, spark: SparkSession, loads: Sequence[str]) -> DataFrame:
         """Fact lines of the named loads: their folders by path, with ids declared as text and never compared."""
         paths = [self.layout.path("processed_data", "fact_sales", i) for i in loads]
-        fields = spark.read.parquet(paths[-1]).schema.add("load_id", "string")
+        fields = self.layout.schema(spark, "processed_data", "fact_sales", loads[-1]).add("load_id", "string")
         return spark.read.schema(fields).option("basePath", paths[0].rpartition("/")[0]).parquet(*paths)
 
     def _days(self, spark: SparkSession, staging: Staging) -> DataFrame:
@@ -161,7 +170,7 @@ class DailyLoad:
         seen = Observation(table)
         counted = df.observe(seen, F.count(F.lit(1)).alias("records"))
         self.layout.write(counted, layer, table, self.load_id, partition_by)
-        counts.append((table, seen.get["records"]))
+        counts.append((table, _records(seen)))
         return self.layout.read(spark, layer, table, self.load_id)
 
     def _keep(
@@ -170,7 +179,7 @@ class DailyLoad:
         seen = Observation(table)
         counted = df.observe(seen, F.count(F.lit(1)).alias("records"))
         self.layout.write_parts(counted, layer, table, self.load_id, part, self.previous)
-        counts.append((table, seen.get["records"]))
+        counts.append((table, _records(seen)))
 
     def _add(
         self, spark: SparkSession, counts: list[tuple[str, int]], table: str, state: State, delta: DataFrame

@@ -219,8 +219,8 @@ def _loaded(spark, folder, layer, table):
     raw = staging.load_raw(spark, folder)
     layout = Layout(scratch_path(spark, "loads"))
     early = replace(raw, orders=raw.orders.filter(F.to_date("order_date") < F.lit(SECOND_LOAD)))
-    DailyLoad(layout, "0009", SECOND_LOAD).run(spark, early)
-    DailyLoad(layout, "0010", SECOND_LOAD, previous="0009").run(spark, raw)
+    DailyLoad(layout, "0009", SECOND_LOAD, buckets=4).run(spark, early)
+    DailyLoad(layout, "0010", SECOND_LOAD, "0009", buckets=4).run(spark, raw)
     return layout.read(spark, layer, table, "0010")
 
 

@@ -79,11 +79,52 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark).rstrip('/')}/salesloom/{spark.sparkContext.applicationId}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if there, in whatever store the path names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in whatever store the path names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """What ``write_text`` wrote; None if the file isn't there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def folders_in(spark: SparkSession, path: str, with_file: str | None = None) -> list[str]:
+    """Names of the folders right below a path, in order; with ``with_file`` those that hold a file of that name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
+    return sorted(f.getName() for f in found if not with_file or fs.exists(jvm.org.apache.hadoop.fs.Path(f, with_file)))
+
+
 def release(spark: SparkSession) -> None:
     """Removes the application's stage tables; for whoever ends it, when no frame made from them is used any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(conf).delete(path, True)
+    remove_folder(spark, run_folder(spark))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

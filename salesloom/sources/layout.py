@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from salesloom.session import folders_in, read_text, write_text
+
 # The layers.
 LAYERS = ("raw_data", "processed_data", "analytics", "ml_features")
 
@@ -21,6 +23,8 @@ IN_PARTS = frozenset(
     "order_states customer_days customer_totals product_totals "
     "daily_sales_summary product_performance customer_features product_features".split()
 )
+#: Beside a table's files; Spark's readers pass over names with an underscore.
+SCHEMA_FILE = "_schema.json"
 PART_LIST = "name string, part string, load_id string, fields string"
 
 
@@ -43,13 +47,22 @@ class Layout:
             writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
         else:
             writer = df.write
-        writer.mode("overwrite").parquet(self.path(layer, table, load_id))
+        path = self.path(layer, table, load_id)
+        writer.mode("overwrite").parquet(path)
+        write_text(df.sparkSession, f"{path}/{SCHEMA_FILE}", df.schema.json())
+
+    def schema(self, spark: SparkSession, layer: str, table: str, load_id: str) -> T.StructType:
+        """The schema that a table was written with, which a table without rows has too."""
+        text = read_text(spark, f"{self.path(layer, table, load_id)}/{SCHEMA_FILE}")
+        if text is None:
+            raise FileNotFoundError(f"{layer}.{table} of load {load_id} was not written to its end")
+        return T.StructType.fromJson(json.loads(text))
 
     def read(self, spark: SparkSession, layer: str, table: str, load_id: str) -> DataFrame:
         if table in IN_PARTS:
             whole = self.read_parts(spark, layer, table, load_id)
             return whole.drop("bucket", "order_month")
-        return spark.read.parquet(self.path(layer, table, load_id))
+        return spark.read.schema(self.schema(spark, layer, table, load_id)).parquet(self.path(layer, table, load_id))
 
     def write_parts(
         self, df: DataFrame, layer: str, table: str, load_id: str, part: str, previous: str | None
@@ -58,10 +71,9 @@ class Layout:
         spark = df.sparkSession
         fields = T.StructType([f for f in df.schema.fields if f.name != part])
         self.write(df, layer, table, load_id, [part])
-        written = spark.read.schema(T.StructType([*fields.fields, T.StructField(part, T.StringType())]))
-        names = written.parquet(self.path(layer, table, load_id)).select(part).distinct().collect()  # one row per part
         held = {} if previous is None else {r.part: r.load_id for r in self._parts(spark, layer, table, previous)}
-        held |= {r[0]: load_id for r in names}
+        names = folders_in(spark, self.path(layer, table, load_id))
+        held |= {n.partition("=")[2]: load_id for n in names if n.startswith(f"{part}=")}
         rows = [(part, p, owner, fields.json()) for p, owner in sorted(held.items())]
         listed = spark.createDataFrame(rows or [(part, None, load_id, fields.json())], PART_LIST).coalesce(1)
         self.write(listed, layer, f"{table}_parts", load_id)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from salesloom.operators import partials
 from salesloom.operators.load import upsert
 from salesloom.operators.summaries import daily_sales_summary
-from salesloom.session import cut_lineage, scratch_path
+from salesloom.session import cut_lineage, folders_in, remove_folder, scratch_path
 from salesloom.sources.layout import Layout
 
 ORDER_STATES = ("processed_data", "order_states")
@@ -81,20 +81,8 @@ def write_metrics(
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the complete folders below a path."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]
-    return [f.getName() for f in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+    """Names of the complete tables below a path."""
+    return folders_in(spark, path, "_SUCCESS")
 
 
 def read_updates(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -132,10 +120,10 @@ def compact_updates(spark: SparkSession, path: str, schema: T.StructType, keys:
     merged.write.mode("overwrite").parquet(f"{path}-base/upto={upto}")
     for name in _folders(spark, f"{path}-base"):
         if int(name.rpartition("=")[2]) < upto:
-            _remove(spark, f"{path}-base/{name}")
+            remove_folder(spark, f"{path}-base/{name}")
     for name in _folders(spark, path):
         if int(name.rpartition("=")[2]) <= upto:
-            _remove(spark, f"{path}/{name}")
+            remove_folder(spark, f"{path}/{name}")
 
 
 def newest_per_key(table: DataFrame, keys: Sequence[str]) -> DataFrame:

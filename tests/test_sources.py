@@ -3,13 +3,14 @@ from __future__ import annotations
 import datetime as dt
 import json
 from decimal import Decimal
+from functools import partial
 
 import pytest
 
 from salesloom import schemas
 from salesloom.functions.text import to_json_rows
 from salesloom.operators import facts
-from salesloom.plans.daily_load import DailyLoad
+from salesloom.plans import daily_load
 from salesloom.sources import jdbc, staging
 from salesloom.sources.events import decode_messages
 from salesloom.sources.ingest import Feed, conform, ingest, load_replace
@@ -17,6 +18,8 @@ from salesloom.sources.layout import Layout
 from salesloom.sources.staging import parse_events
 from tests.conftest import SF, rows
 
+DailyLoad = partial(daily_load.DailyLoad, buckets=3)
+
 
 def test_feeds_of_three_formats(spark, tmp_path):
     spark.sql("SELECT 1 order_id, 2 customer_id, '10.005' total_amount").write.csv(str(tmp_path / "c"), header=True)
