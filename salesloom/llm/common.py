@@ -49,6 +49,36 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def wrapped(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row of ``docs`` as the one column ``row``, beside the columns ``more``: no name of the table's can clash.
+
+    ``select("row.*")`` gives the table's columns back.
+    """
+    row = F.struct(*[docs[quoted(c)].alias(c) for c in docs.columns]).alias("row")
+    return docs.select(row, *[value.alias(name) for name, value in more.items()])
+
+
+def one_per_key(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, row): of the ``wrapped`` rows of ``docs`` that share a key, the one whose columns hash lowest.
+
+    Rows that differ in columns without an order (maps) alone are taken for equal. Rows meet in partial aggregations
+    first, so that a row repeated without end is one per task when it shuffles.
+    """
+    kinds = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant", "void")]
+    fields = [F.col("row")[c] for c in kinds]
+    mark = F.struct(F.xxhash64(F.array(*[f.isNull() for f in fields]), *fields), F.xxhash64(F.lit(1), *fields))
+    return rows.groupBy("key").agg(F.min_by("row", mark).alias("row"))
+
+
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """A document's id and a digest of its text as one text, also without an id."""
+    return F.concat_ws(":", digest.cast("string"), doc_id.cast("string"))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder; what follows survives lost executors without computing them anew."""
     return cut_lineage(df, f"llm-{name}")

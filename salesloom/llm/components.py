@@ -11,18 +11,33 @@ from salesloom.llm.common import staged
 MAX_ROUNDS = 60
 
 
+#: Parts that the links of one id are cut into where they meet its smallest neighbour.
+SALTS = 16
+
+
+def _with_low(links: DataFrame, low: DataFrame) -> DataFrame:
+    """Links (a, b) beside the smallest id around a.
+
+    An id in the middle of very many links would bring them all to one task: they are dealt by the other id too, and
+    the one row that they wait for goes to every part.
+    """
+    part = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("part")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")
+    return links.select("a", "b", part).join(low.select("a", "low", every), ["a", "part"])
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of an id is linked to the smallest id around it."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b"), F.col("low")).toDF("a", "b").where("a <> b")
+    return _with_low(both.where("b > a"), low).select(F.col("b"), F.col("low")).toDF("a", "b").where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of an id, and the id, are linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("low"))
-    joined = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    joined = _with_low(down, low).select(F.col("b").alias("a"), F.col("low").alias("b"))
     return joined.union(low.select("a", F.col("low").alias("b"))).where("a <> b")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import SPACE, id_and_text, staged, whole_text
+from salesloom.llm.common import SPACE, id_and_text, one_per_key, row_key, staged, whole_text, wrapped
 
 
 def normalised(text: Column) -> Column:
@@ -44,17 +44,12 @@ def exact_groups(docs: DataFrame, hash_of=F.md5) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; a row repeated with id and text stays once.
+    """The documents that stay, with all their columns: one row for every text, normalised, of the smallest id.
 
-    doc_id names a document: rows that share an id stay or go together. Repeated rows are dropped where the join has
-    brought an id's rows together, so that the texts shuffle once here and once for their groups.
+    Rows that share an id go by their own texts. Of rows with one id and one text, and of rows with one text in a group
+    without ids, the one stays whose columns hash lowest. The texts shuffle once here and once for their groups.
     """
-    sha_if_nameless = F.when(F.col("doc_id").isNull(), F.col("text_sha256")).alias("_sha")
-    kept = staged(exact_groups(docs).where("kept").select("doc_id", sha_if_nameless), "kept")
-    named = docs.where("doc_id IS NOT NULL").join(kept.select("doc_id"), "doc_id", "left_semi")
-    sha = F.sha2(normalised(whole_text(docs)), 256)
-    nameless = docs.where("doc_id IS NULL").join(
-        kept.where("doc_id IS NULL").select("_sha"), sha == F.col("_sha"), "left_semi"
-    )
-    parts = [part.select(docs.columns).dropDuplicates(["doc_id", "text"]) for part in (named, nameless)]
-    return parts[0].unionByName(parts[1])
+    kept = exact_groups(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    digest = F.sha2(normalised(whole_text(docs)), 256)
+    rows = wrapped(docs, key=row_key(docs["doc_id"].cast("long"), digest))
+    return one_per_key(rows, docs).join(staged(kept.distinct(), "kept"), "key", "left_semi").select("row.*")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import WORD, staged, whole_text, words_of
+from salesloom.llm.common import WORD, quoted, staged, whole_text, words_of, wrapped
 
 
 @dataclass(frozen=True)
@@ -184,7 +184,7 @@ def allocate(docs: DataFrame, mix: Mix = Mix(), keys: tuple[Column, ...] = ()) -
 
 def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
     """128 bits that tell rows apart by all their columns, nulls too."""
-    columns = [docs[f.name] for f in docs.schema if f.dataType.typeName() not in ("map", "variant", "void")]
+    columns = [docs[quoted(f.name)] for f in docs.schema if f.dataType.typeName() not in ("map", "variant", "void")]
     nulls = F.array(*[c.isNull() for c in columns])
     return F.xxhash64(F.lit(1), nulls, *columns), F.xxhash64(F.lit(2), nulls, *columns)
 
@@ -193,7 +193,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix: a row for every copy of a document that is taken, and one for every piece, which has its words alone.
 
     Columns are those of ``docs``; a piece has its words joined by blanks, and ``n_chars``, if there, follows the text.
-    Each row takes its own parts, whatever its doc_id; rows that are equal throughout share theirs out.
+    Each row takes its own parts, whatever its doc_id. Of rows that are equal throughout one lends its columns to the parts
+    of all: parts are rows from the start, and never gathered.
     """
     keys = _row_keys(docs)
     chosen = allocate(docs, mix, keys).where("taken > 0")
@@ -203,20 +204,16 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         (F.col("copies") + F.size(whole)).cast("int"),
     )
     parts = F.filter(F.col("pieces"), lambda p: p["words"] < F.col("size"))
-    taken = (
-        chosen.select(F.col("row_key0").alias("_a"), F.col("row_key1").alias("_b"), F.concat(times, parts).alias("_parts"))
-        .groupBy("_a", "_b")
-        .agg(F.flatten(F.collect_list("_parts")).alias("_parts"))
-    )
-    one = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_a")) == 1
-    rows = docs.withColumn("_a", keys[0]).withColumn("_b", keys[1]).join(taken, ["_a", "_b"])
-    rows = rows.withColumn("_one", one).where("_one").withColumn("_part", F.explode("_parts"))  # equal rows: one has all parts
-    part = F.col("_part")
+    key = F.struct(F.col("row_key0").alias("a"), F.col("row_key1").alias("b")).alias("key")
+    taken = chosen.select(key, F.explode(F.concat(times, parts)).alias("part"))
+    rows = wrapped(docs, key=F.struct(keys[0].alias("a"), keys[1].alias("b")))
+    found = rows.groupBy("key").agg(F.first("row").alias("row")).join(taken, "key")
+    part, text = F.col("part"), F.col("row")["text"]
     cut = F.array_join(
-        F.slice(words_of(F.col("text")), (part["start"] + 1).cast("int"), part["words"].cast("int")), " "
+        F.slice(words_of(text), (part["start"] + 1).cast("int"), part["words"].cast("int")), " "
     )
-    rows = rows.withColumn("text", F.when(part["start"] < 0, F.col("text")).otherwise(cut))
+    new = {"text": F.when(part["start"] < 0, text).otherwise(cut)}
     if "n_chars" in docs.columns:
-        n = F.when(part["start"] < 0, F.col("n_chars")).otherwise(F.length("text"))
-        rows = rows.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+        n = F.when(part["start"] < 0, F.col("row")["n_chars"]).otherwise(F.length(new["text"]))
+        new["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

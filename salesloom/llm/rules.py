@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import SPACE_CHARS, let, staged, whole_text, words_of
+from salesloom.llm.common import SPACE_CHARS, let, quoted, staged, whole_text, words_of
 
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -78,7 +78,7 @@ def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     ``carry`` adds the row itself as the struct ``row``, so that it can be kept without another look-up.
     """
-    row = F.struct(*[docs[c] for c in docs.columns]) if carry else F.lit(None)
+    row = F.struct(*[docs[quoted(c)].alias(c) for c in docs.columns]) if carry else F.lit(None)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"), row.alias("row"))
     rows = rows.withColumn("words", words_of(F.col("text")))
     with_word = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != "")

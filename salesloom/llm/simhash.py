@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.llm.common import id_and_text, staged
-from salesloom.llm.components import components
+from salesloom.llm.common import id_and_text, one_per_key, row_key, staged, whole_text, wrapped
+from salesloom.llm.components import SALTS, components
 
 #: Fixed values of the fingerprint.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -56,14 +56,16 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) per row, fp as a signed long."""
+    """(doc_id, text_hash, fp) per row, both hashes as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), batch.column(2), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs)
+    return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def thermometer(fp: Column) -> Column:
@@ -175,26 +177,45 @@ def close_links(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return _cell_links(keyed)
 
 
+def classed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, label, component_id) per row: the smallest fingerprint and doc_id of its component.
+
+    Fingerprints are what is linked, not ids, which texts without a link may share.
+    """
+    prints = staged(fingerprints(docs), "fingerprints")
+    points = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "points")
+    found = components(close_links(points.where("id IS NOT NULL").select(F.col("fp").alias("id"), "fp")))
+    found = found.select(F.col("id").alias("fp"), F.col("component_id").alias("label"))
+    labelled = points.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labelled = staged(labelled.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SALTS))), "labelled")
+    # The points of a large component wait for its one row in several parts.
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part")
+    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id")).select("label", "component_id", every)
+    classes = labelled.join(smallest, ["label", "part"]).select("fp", "label", "component_id")
+    return prints.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     Null texts are empty texts; texts without a word share fingerprint zero. Rows without doc_id get the component
     of their fingerprint if that has ids, else null. Repeated rows give repeated rows; an empty table gives an empty one.
     """
-    prints = staged(fingerprints(docs), "fingerprints")
-    points = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "points")
-    found = components(close_links(points.where("id IS NOT NULL")))
-    classes = points.join(found, "id", "left").select(
-        "fp", F.coalesce("component_id", "id").alias("component_id")
-    )
-    return prints.join(classes, "fp").select(
+    return classed(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their component, and those without an id."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(
-        docs.where("doc_id IS NULL").select(docs.columns)
-    )
+    """One document of every component, that with its smallest id, and all documents without an id.
+
+    Of several rows with that id in the component the text of least hash stays, and of rows that repeat both the one whose
+    columns hash lowest.
+    """
+    named = classed(docs).where("doc_id = component_id")
+    kept = named.groupBy("label", "component_id").agg(F.min("text_hash").alias("text_hash"))
+    kept = staged(kept.select(row_key(F.col("component_id"), F.col("text_hash")).alias("key")).distinct(), "kept")
+    known = docs["doc_id"].isNotNull()
+    rows = wrapped(docs.where(known), key=row_key(docs["doc_id"].cast("long"), F.xxhash64(whole_text(docs))))
+    chosen = one_per_key(rows.join(kept, "key", "left_semi"), docs).select("row.*")
+    return chosen.unionByName(wrapped(docs.where(~known)).select("row.*"))

@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from salesloom.llm.common import id_and_text, staged
 from salesloom.llm.suffix_sort import repeated_windows
+from salesloom.operators.ordering import with_position
 
 WINDOW = 100
 ANCHOR = 24
 
+OUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
 #: Bytes that are hashed at once, and text whose runs are compared before the shuffle.
 PIECE, GATHERED = 1 << 20, 16 << 20
 
@@ -273,11 +276,27 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null texts are empty. Documents come in order of doc_id; rows that repeat an id and its text are one document and get
-    the same result. A row without doc_id takes no part: nothing is removed from it, or elsewhere because of it. An
-    empty table gives an empty one.
+    the same result. Rows with one id and different texts are documents of their own, in the order of the texts' hashes.
+    A row without doc_id takes no part: nothing is removed from it, or elsewhere because of it. An empty table gives an
+    empty one.
     """
     rows = id_and_text(docs)
-    texts = rows.where("doc_id IS NOT NULL")
+    named, nameless = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
+    hashed = named.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    low, high = F.min("text_hash").alias("low"), F.max("text_hash").alias("high")
+    if hashed.groupBy("doc_id").agg(low, high).where("low <> high").isEmpty():
+        done = _removed(named, crowd)
+    else:  # ids are numbered anew, in their order, a number for each text
+        numbers = staged(with_position(hashed.distinct(), ["doc_id", "text_hash"], "number"), "numbers")
+        known = named.withColumn("text_hash", F.xxhash64("text")).join(numbers, ["doc_id", "text_hash"])
+        own = _removed(staged(known.select(F.col("number").alias("doc_id"), "text"), "numbered"), crowd)
+        named_again = numbers.select(F.col("number"), F.col("doc_id").alias("own_id"))
+        done = own.join(named_again, F.col("doc_id") == F.col("number")).select(F.col("own_id").alias("doc_id"), *OUT[1:])
+    return done.unionByName(_cleaned(nameless.withColumn("spans", F.lit(None).cast("array<long>"))))
+
+
+def _removed(texts: DataFrame, crowd: int) -> DataFrame:
+    """The result for rows whose doc_id is never null and has one text."""
     runs = all_runs(texts).repartition("key")  # once, for both windows
     start, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(127))
     lead, marked = F.col("place").bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(1 << 15)) != 0
@@ -304,5 +323,4 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         gone = gone.unionByName(_aggregated(different.where(crowded)))
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("count"))
     spans = gone.groupBy("doc_id").agg(F.collect_list(packed).alias("spans"))  # bounded by one text
-    nameless = rows.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<long>"))
-    return _cleaned(texts.join(spans, "doc_id", "left").unionByName(nameless))
+    return _cleaned(texts.join(spans, "doc_id", "left"))

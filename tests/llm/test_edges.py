@@ -112,3 +112,67 @@ def test_pipeline_against_its_stages_by_hand(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in mix}
     assert len(rows) == sum(r.copies + len(r.pieces) for r in mix)
+
+
+CLASHING = DOCS + ", _sha string, _parts string, _a int, `a.b` int, row int"
+
+
+def _clashing(i, text, source="s"):
+    return (*_row(i, text, source), "x", "y", 1, 2, 3)
+
+
+def test_stages_with_clashing_names_and_shared_ids(spark, labels):
+    """Every stage on columns named as its own or with dots, and on ids that rows with different texts share."""
+    common.prepare(spark)
+    far = " ".join(f"other{k}thing" for k in range(130))
+    rows = [
+        _clashing(1, GOOD), _clashing(2, GOOD), _clashing(2, far), _clashing(2, far.replace(" ", "  ")), _clashing(3, far),
+        _clashing(None, far), _clashing(None, "nobody has this " * 20),
+    ]
+    docs = spark.createDataFrame(rows, CLASHING)
+    kept = exact.keep_first(docs)
+    assert kept.columns == docs.columns
+    # (2, GOOD) repeats 1; of the two rows (2, far), equal but for white space, one stays; 3 repeats them
+    assert sorted((r.doc_id, exact.normalised and r.text[:5]) for r in kept.collect() if r.doc_id) == [(1, GOOD[:5]), (2, far[:5])]
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, SF)
+        if name != "encode":
+            assert out.columns == docs.columns, name
+            now = common.staged(out, "test")
+    assert out.count() == now.count() > 0
+
+
+def test_near_duplicates_that_share_an_id(spark):
+    """One document of a component stays, also when two close texts have its smallest id, or a row is repeated."""
+    common.prepare(spark)
+    words = [f"w{k}" for k in range(400)]
+    close = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:]])]
+    rows = [_row(1, close[0]), _row(1, close[1]), _row(1, close[0]), _row(2, close[2]), _row(1, "something else altogether here"), _row(None, close[0])]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [r.doc_id for r in simhash.keep_representatives(docs).collect()]
+    assert sorted(got, key=str) == [1, 1, None]
+
+
+def test_repeats_among_rows_that_share_an_id(spark):
+    common.prepare(spark)
+    other = "z" * 30 + GOOD + "!"
+    docs = spark.createDataFrame([_row(2, GOOD), _row(2, "short"), _row(3, other), _row(2, GOOD), _row(1, "q" * 300)], DOCS)
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {(2, len(GOOD)): (0, 0), (2, 5): (0, 0), (3, len(other)): (len(GOOD), 1), (1, 300): (299, 1)}
+
+
+def test_rows_that_are_equal_throughout_share_their_parts(spark):
+    """A row repeated many times: the mix takes as many words as it was given, and gathers nothing."""
+    common.prepare(spark)
+    docs = spark.createDataFrame([_row(1, "a b c d e f g h", "s")] * 300 + [_row(2, "x y", "t")], DOCS)
+    want = mixing.allocate(docs).groupBy().sum("taken").first()[0]
+    assert sum(len(r.text.split()) for r in mixing.mixed(docs).collect()) == want
+
+
+def test_links_of_a_hub(spark):
+    from salesloom.llm.components import components
+
+    links = [(0, k) for k in range(1, 500)] + [(k, 1000 + k) for k in range(1, 500, 7)] + [(5000, 5001)]
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for _, k in links if k < 5000} | {5001: 5000}
