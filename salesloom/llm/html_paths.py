@@ -52,6 +52,18 @@ BOILERPLATE = frozenset(
     "social-share social-links social-media related-posts related-articles related-links related-content "
     "recommended-posts comment-list comment-form comments-area comments-section comment-section".split()
 )
+#: Words that make a name one of these wherever they stand in it (reader-comments, adUnit, newsletter_box), unless the
+#: name starts by saying that something is there or not (has-sidebar, no-comments).
+SIGNS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments cookie cookies "
+    "disqus newsletter paywall popup promo sidebar sponsor sponsored sponsors".split()
+)
+STATES = frozenset("has have is no not with without hide hides show shows".split())
+#: Headings over an article's own list of links.
+SOURCES = frozenset(
+    "sources|references|notes|footnotes|bibliography|literature|further reading|works cited|citations|quellen|literatur|"
+    "einzelnachweise|références|notes et références|fuentes|referencias|bibliografía".split("|")
+)
 #: Start tags that end an open element of the same family.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -65,6 +77,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟]")
 
@@ -124,15 +137,22 @@ def _outside(tag: str, attributes: str, parents: list[Element], at: int) -> tupl
         if name == "aria-hidden" and value.strip().lower() == "true":
             return True, False
         if name in ("class", "id", "role"):
-            named = named or not BOILERPLATE.isdisjoint(value.lower().split())
+            named = named or not BOILERPLATE.isdisjoint(value.lower().split()) or any(map(_tells, value.split()))
     return False, named
 
 
+def _tells(name: str) -> bool:
+    """Whether one of a name's words says that it is no article."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    return bool(parts) and parts[0] not in STATES and not SIGNS.isdisjoint(parts)
+
+
 def parse(page: str) -> tuple[list[Element], list[Node]]:
     """Elements and text nodes in page order; block numbers rise wherever a block begins or ends."""
     elements, nodes = [Element("", -1, False, 0)], []
     paths: dict[tuple[int, str], int] = {}
     stack, block, at, n = [0], 0, 0, len(page)
+    open_tags: dict[str, int] = defaultdict(int)  # so that no end tag looks for a start that isn't open
 
     def text(part: str) -> None:
         if part:
@@ -142,6 +162,8 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
         nonlocal block
         if any(elements[e].tag in BLOCK for e in stack[depth:]):
             block += 1
+        for e in stack[depth:]:
+            open_tags[elements[e].tag] -= 1
         del stack[depth:]
 
     while at < n:
@@ -168,15 +190,14 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             continue
         tag = found[2].lower()
         if found[1]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if elements[stack[d]].tag == tag), 0)
-            if depth:
-                pop_to(depth)
+            if open_tags[tag]:
+                pop_to(next(d for d in range(len(stack) - 1, 0, -1) if elements[stack[d]].tag == tag))
             elif tag in BLOCK:
                 block += 1
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if not found[3].rstrip().endswith("/"):
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
         if tag == "br":
@@ -184,7 +205,7 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             continue
         if tag in ENDS_PARAGRAPH or tag in CLOSES:
             family = CLOSES.get(tag, {"p"} if tag in ENDS_PARAGRAPH else set())
-            for d in range(len(stack) - 1, 0, -1):
+            for d in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in family) else ():
                 open_tag = elements[stack[d]].tag
                 if open_tag in family:
                     pop_to(d)
@@ -202,6 +223,7 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
         kind = tag if tag in HEADING or tag in ITEM else parent.inside
         elements.append(Element(tag, stack[-1], outside, path, named, kind, parent.linked or tag == "a"))
         stack.append(len(elements) - 1)
+        open_tags[tag] += 1
     return elements, nodes
 
 
@@ -236,7 +258,7 @@ def path_scores(blocks: list[Block]) -> dict[int, float]:
     scores: dict[int, list[float]] = defaultdict(list)
     for p, score in zip(paths, fused):
         scores[p].append(score)
-    return {p: float(np.mean(s)) for p, s in scores.items()}
+    return {p: float(sum(s) / len(s)) for p, s in scores.items()}
 
 
 def content_paths(blocks: list[Block]) -> set[int]:
@@ -248,17 +270,13 @@ def content_paths(blocks: list[Block]) -> set[int]:
 
 def held_text(elements: list[Element], blocks: list[Block], content: set[int]) -> tuple[dict[int, int], int]:
     """Length of the content text in each element that has some, and in all."""
-    held: dict[int, int] = defaultdict(int)
-    total = 0
+    held = [0] * len(elements)
     for block in blocks:
-        if block.path not in content:
-            continue
-        total += block.length
-        at = block.element
-        while at >= 0:
-            held[at] += block.length
-            at = elements[at].parent
-    return held, total
+        if block.path in content:
+            held[block.element] += block.length
+    for e in range(len(elements) - 1, 0, -1):  # children come after their parents
+        held[elements[e].parent] += held[e]
+    return defaultdict(int, {e: n for e, n in enumerate(held) if n}), held[0]
 
 
 def rule_out(elements: list[Element], nodes: list[Node]) -> None:
@@ -301,22 +319,35 @@ def articles_of(elements: list[Element], blocks: list[Block], content: set[int])
 
 def within(elements: list[Element], roots: list[int]) -> list[bool]:
     """Whether each element is one of the roots or lies in one."""
-    out = [False] * len(elements)
+    out, tops = [False] * len(elements), set(roots)
     for e, x in enumerate(elements):  # parents come first
-        out[e] = e in roots or x.parent >= 0 and out[x.parent]
+        out[e] = e in tops or x.parent >= 0 and out[x.parent]
     return out
 
 
-def chosen(elements: list[Element], blocks: dict[int, Block]) -> set[int]:
-    """Numbers of the article's blocks: those on content paths in it, their headings, and plain items between them."""
+def chosen(elements: list[Element], blocks: dict[int, Block], sources: set[int] = frozenset()) -> set[int]:
+    """Numbers of the article's blocks: those on content paths in it, their headings, and plain items between them.
+
+    Links listed under one of the headings ``sources`` are content too. An article whose container has no h1 gets the
+    last one before it that is no link: headlines often have a container of their own.
+    """
     content = content_paths(list(blocks.values()))
     held = within(elements, articles_of(elements, list(blocks.values()), content))
     rows = [(n, b) for n, b in blocks.items() if held[b.element]]
     kept: set[int] = set()
-    before = False
+    before = listed = False
     waiting: list[int] = []
+    over = None  # the heading right above
     for number, block in rows:
         kind = elements[block.element].inside
+        if kind in HEADING:
+            listed = number in sources
+        elif kind not in ITEM:
+            listed = False
+        if listed and (kind in HEADING or kind in ITEM):
+            kept.add(number)
+            continue
+        above, over = over, number if kind in HEADING and kind != "h1" else None
         link = kind in ITEM and 2 * block.linked >= block.length and not block.marks  # smoothing lifts it beside content
         if block.path in content and not link:
             kept.update([number, *waiting])
@@ -328,6 +359,12 @@ def chosen(elements: list[Element], blocks: dict[int, Block]) -> set[int]:
             waiting = []
         else:
             waiting, before = [], False
+            if link:  # a heading over links goes with them
+                kept.discard(above)
+    if kept and not any(elements[b.element].inside == "h1" for n, b in rows if n in kept):
+        first = min(kept)
+        heads = [n for n, b in blocks.items() if n < first and elements[b.element].inside == "h1" and 2 * b.linked < b.length]
+        kept.update(heads[-1:])
     return kept
 
 
@@ -341,7 +378,13 @@ def main_text(page: str) -> str:
     filled = [n for n in inside if n.text and not n.text.isspace()]
     if not filled:
         return ""
-    kept = chosen(elements, blocks_of(elements, filled))
+    found = blocks_of(elements, filled)
+    heads: dict[int, list[str]] = defaultdict(list)
+    for node in filled:
+        if elements[node.element].inside in HEADING:
+            heads[node.block].append(node.text)
+    sources = {n for n, parts in heads.items() if " ".join("".join(parts).split()).rstrip(":").lower() in SOURCES}
+    kept = chosen(elements, found, sources)
     blocks: dict[int, list[str]] = defaultdict(list)
     for node in inside:
         if node.block in kept:

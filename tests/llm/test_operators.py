@@ -437,3 +437,50 @@ def test_a_small_article_does_not_hide_the_text():
 def test_an_advert_longer_than_the_article_goes():
     page = f"<body><div class=ad>{PROSE}</div><article><h1>Short.</h1><p><b>Short.<br></article></body>"
     assert html_paths.main_text(page) == "Short.\nShort."
+
+
+REMARK = "<p>I totally agree with you, great read, thanks.</p>"
+ADVERT_NAMES = (
+    "post-comments", "user-comments", "comments-list", "readerComments", "ad-unit", "ads-box", "sponsored-content", "newsletter_box"
+)
+
+
+@pytest.mark.parametrize("name", ADVERT_NAMES)
+def test_words_in_names_tell_what_is_no_article(name):
+    page = f"<body><main><article><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><div class='{name}'>{REMARK * 2}</div></article></main>"
+    assert html_paths.main_text(page) == f"T\n{PROSE}\n{PROSE}"
+    beside = f"<body><main><article><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></article><section id='{name}'>{REMARK * 3}</section></main>"
+    assert html_paths.main_text(beside) == f"T\n{PROSE}\n{PROSE}"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "content hasAds", "related-work", "article-header", "with-newsletter"])
+def test_names_that_only_say_so_stay(name):
+    page = f"<body><article><div class='{name}'><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div></article>"
+    assert html_paths.main_text(page) == f"T\n{PROSE}\n{PROSE}"
+
+
+def test_headline_in_a_container_of_its_own():
+    page = f"<body><div class=t><h1>Head line</h1></div><div class=b><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div></body>"
+    assert html_paths.main_text(page) == f"Head line\n{PROSE}\n{PROSE}\n{PROSE}"
+    linked = page.replace("Head line", "<a href='/'>Site</a>")
+    assert html_paths.main_text(linked) == f"{PROSE}\n{PROSE}\n{PROSE}"
+
+
+def test_an_articles_own_list_of_links_stays():
+    links = "<ul><li><a href=x>First source</a></li><li><a href=y>Second source</a></li></ul>"
+    page = f"<body><article><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><h2>Sources:</h2>{links}<h2>More</h2>{links}</article>"
+    assert html_paths.main_text(page) == f"T\n{PROSE}\n{PROSE}\nSources:\nFirst source\nSecond source"
+
+
+def test_parsing_takes_time_in_proportion():
+    """Open and stray tags, sibling articles, deep nesting: twice the page takes about twice the time."""
+    import time
+
+    def seconds(page):
+        start = time.perf_counter()
+        html_paths.main_text(page)
+        return time.perf_counter() - start
+
+    for part in ("<div>x, y. ", "</span><b>", "<article><p>a, b.</p></article>", "<p><span>a ", "<svg/>"):
+        small, large = (min(seconds(part * n) for _ in range(2)) for n in (4000, 16000))
+        assert large < 12 * small + 0.2, part
