@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,33 +82,52 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 
 class Mapped:
-    """A rewritten text with, for each of its characters, the stretch of the source that it stands for."""
+    """A rewritten text and where it comes from: stretches that were copied, and those that stand for others.
 
-    def __init__(self, text: str, starts: list[int] | range | None = None, ends: list[int] | range | None = None):
+    A stretch is (start in the text, start and end in the source, whether copied). An unchanged text of any length is one
+    stretch, and each edit adds two, so that what is held besides the text follows the edits.
+    """
+
+    def __init__(self, text: str, stretches: list[tuple[int, int, int, bool]] | None = None):
         self.text = text
-        self.starts = range(len(text)) if starts is None else starts
-        self.ends = range(1, len(text) + 1) if ends is None else ends
+        self.stretches = [(0, 0, len(text), True)] if stretches is None else stretches
+        self.begins = [x[0] for x in self.stretches]
 
     def rewritten(self, edits: list[tuple[int, int, str]]) -> "Mapped":
         """``edits`` are (start, end, replacement) in order, none overlapping."""
         if not edits:
             return self
         parts: list[str] = []
-        starts: list[int] = []
-        ends: list[int] = []
-        at = 0
+        out: list[tuple[int, int, int, bool]] = []
+        at = size = 0
         for s, e, new in [*edits, (len(self.text), len(self.text), "")]:
+            for begin, low, high, copied in self._between(at, s):
+                out.append((size + begin - at, low, high, copied))
             parts += (self.text[at:s], new)
-            starts += self.starts[at:s]
-            ends += self.ends[at:s]
+            size += s - at
             if new and e > s:
-                starts += [self.starts[s]] * len(new)
-                ends += [self.ends[e - 1]] * len(new)
+                out.append((size, *self.source(s, e), False))
+                size += len(new)
             at = e
-        return Mapped("".join(parts), starts, ends)
+        return Mapped("".join(parts), out)
+
+    def _between(self, start: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
+        """The stretches of a part of the text, cut to it."""
+        if start >= end:
+            return
+        for k in range(bisect_right(self.begins, start) - 1, len(self.begins)):
+            begin, low, high, copied = self.stretches[k]
+            if begin >= end:
+                return
+            if copied:
+                skip = max(0, start - begin)
+                yield begin + skip, low + skip, min(high, low + end - begin), True
+            else:
+                yield max(begin, start), low, high, False
 
     def source(self, start: int, end: int) -> Span:
-        return self.starts[start], self.ends[end - 1]
+        first, last = (self.stretches[bisect_right(self.begins, at) - 1] for at in (start, end - 1))
+        return first[1] + (start - first[0] if first[3] else 0), last[1] + end - last[0] if last[3] else last[2]
 
 
 # Letters of other scripts that look like ASCII letters, and what they look like.
@@ -170,34 +190,50 @@ _NAMES = "|".join(sorted(_DIGIT, key=len, reverse=True))
 _DIGIT_WORD = rf"(?:{_NAMES})(?![^\W_])"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\x20-]?(?={_DIGIT_WORD}))?{_DIGIT_WORD}(?:[\x20,-]{{1,2}}(?:dot[\x20-])?{_DIGIT_WORD}|[\x20-]?(?:\[dot\]|\(dot\)|\.)[\x20-]?{_DIGIT_WORD})+", re.I)
 _SPELLED_PART = re.compile(rf"(plus)|({_NAMES})(?![^\W_])|(dot|\.)|[\x20,()\[\]-]+", re.I)
+#: A single name between figures of one number.
+_LONE = re.compile(rf"(?<=[0-9][\x20-])({_NAMES})(?=[\x20-][0-9])", re.I)
 _PLUS_DIGIT = re.compile(r"(?<![^\W_])plus\x20(?=[0-9])", re.I)
 
 
 def spelled_digits(text: Mapped) -> Mapped:
-    """Runs of two digit names or more become digits, with ``plus`` before and ``dot`` between them as signs."""
+    """Runs of two digit names or more, and single ones between figures, become digits, with ``plus`` before and ``dot``
+    between them as signs."""
     edits = []
     for run in _SPELLED.finditer(text.text):
         for part in _SPELLED_PART.finditer(text.text, run.start(), run.end()):
             new = "+" if part[1] else _DIGIT[part[2].lower()] if part[2] else "." if part[3] else ""
             edits.append((part.start(), part.end(), new))
     text = text.rewritten(edits)
+    text = text.rewritten([(m.start(), m.end(), _DIGIT[m[1].lower()]) for m in _LONE.finditer(text.text)])
     return text.rewritten([(m.start(), m.end(), "+") for m in _PLUS_DIGIT.finditer(text.text)])
 
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = rf"\x20?{_OPEN}\x20?(?:at|@|arroba)\x20?{_CLOSE}\x20?"
-_DOT = rf"\x20?{_OPEN}\x20?(?:dot|\.|punkt|point|punto|do?t)\x20?{_CLOSE}\x20?"
+_AT = rf"(?:\x20?{_OPEN}\x20?(?:at|@|arroba)\x20?{_CLOSE}\x20?|\x20-at-\x20)"
+_DOT = rf"(?:\x20?{_OPEN}\x20?(?:dot|\.|punkt|point|punto|do?t)\x20?{_CLOSE}\x20?|\x20-dot-\x20)"
 _LABEL = r"[A-Za-z0-9-]+"
-# A bare "at" counts only before a name with a bare or bracketed "dot", a bracketed one before any domain.
+# A bare "at" counts only before a domain with a disguised dot, a bracketed one before any domain, and an @ between blanks
+# before one that ends in letters.
 _ADDRESS = re.compile(
     rf"(?<=[A-Za-z0-9_%+-])(?:(?P<at>{_AT})(?P<d1>{_LABEL}(?:(?:{_DOT}|\x20dot\x20|\.){_LABEL})+)"
-    rf"|(?P<bare>\x20(?:at|@)\x20|@)(?P<d2>{_LABEL}(?:(?:{_DOT}|\x20dot\x20){_LABEL})+))",
+    rf"|(?P<bare>\x20(?:at|@)\x20|@)(?P<d2>{_LABEL}(?:\.{_LABEL})*(?:{_DOT}|\x20dot\x20){_LABEL}(?:(?:{_DOT}|\x20dot\x20|\.){_LABEL})*)"
+    rf"|(?P<apart>\x20@\x20)(?P<d3>{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9-])))",
     re.I,
 )
 _DOTS = re.compile(rf"{_DOT}|\x20dot\x20", re.I)
 _NAME_DOTS = re.compile(rf"{_DOT}|\x20dot\x20", re.I)
 _NUMBER_DOTS = re.compile(rf"(?<=[0-9])(?:{_DOT}|\x20dot\x20)(?=[0-9])", re.I)
-_HINT = re.compile(r"[\[({<]\x20?(?:at|@|arroba|dot|\.|punkt|point|punto)|\x20(?:at|dot|@)\x20", re.I)
+_HINT = re.compile(r"[\[({<]\x20?(?:at|@|arroba|dot|\.|punkt|point|punto)|\x20(?:-?at-?|-?dot-?|@)\x20", re.I)
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_DOT_BEFORE = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_DOT}|\x20dot\x20)\Z", re.I)
+_LONGEST_DOT = 12  # no disguised dot is longer
+
+
+def _name_start(text: str, end: int) -> int:
+    """Where the name that ends at ``end`` starts, however long it is."""
+    while end > 0 and text[end - 1] in _NAME:
+        end -= 1
+    return end
 
 
 def address_signs(text: Mapped) -> Mapped:
@@ -206,13 +242,15 @@ def address_signs(text: Mapped) -> Mapped:
         return text
     edits = []
     for m in _ADDRESS.finditer(text.text):
-        sign, domain = ("at", "d1") if m["at"] else ("bare", "d2")
+        sign, domain = ("at", "d1") if m["at"] else ("bare", "d2") if m["bare"] else ("apart", "d3")
         # a dot spelled inside the name, right before the sign
         at = m.start()
         names = []
-        while (word := re.compile(r"[A-Za-z0-9_%+-]+\Z").search(text.text, max(0, at - 64), at)) and (
-            dot := re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_DOT}|\x20dot\x20)\Z", re.I).search(text.text, max(0, word.start() - 12), word.start())
-        ):
+        low = edits[-1][1] if edits else 0
+        while at > low and (start := _name_start(text.text, at)) < at:
+            dot = _DOT_BEFORE.search(text.text, max(0, start - _LONGEST_DOT), start)
+            if dot is None:
+                break
             names.append((dot.start(), dot.end(), "."))
             at = dot.start()
         edits += [x for x in reversed(names) if not edits or x[0] >= edits[-1][1]]

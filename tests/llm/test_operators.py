@@ -484,3 +484,56 @@ def test_parsing_takes_time_in_proportion():
     for part in ("<div>x, y. ", "</span><b>", "<article><p>a, b.</p></article>", "<p><span>a ", "<svg/>"):
         small, large = (min(seconds(part * n) for _ in range(2)) for n in (4000, 16000))
         assert large < 12 * small + 0.2, part
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("mail john at mail.example dot com now", "email", "john at mail.example dot com"),
+        ("x john@mail.example dot com", "email", "john@mail.example dot com"),
+        ("john @ example.com!", "email", "john @ example.com"),
+        ("john -at- example -dot- com", "email", "john -at- example -dot- com"),
+        ("call +49 170 one 23 45678 now", "phone", "+49 170 one 23 45678"),
+        ("a" * 200 + " dot b at c dot org", "email", "a" * 200 + " dot b at c dot org"),
+    ],
+)
+def test_partly_disguised(text, kind, found):
+    assert (kind, text.index(found), text.index(found) + len(found)) in pii.spans_of(text)[1]
+
+
+@pytest.mark.parametrize("text", ["5 apples @ 3.50 each", "look-at-me.com", "we met at work. dot by dot", "in 2019 one 5 year old", "at home or at sea"])
+def test_no_disguise(text):
+    assert pii.spans_of(text) == ([], [])
+
+
+def test_offsets_through_any_edits():
+    """Stretches map as a list with an entry for every character does, through several rounds of edits."""
+    rng = random.Random(12)
+    for _ in range(200):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))
+        mapped, starts, ends = pii.Mapped(text), list(range(len(text))), list(range(1, len(text) + 1))
+        for _ in range(rng.randint(1, 4)):
+            cuts = sorted(rng.sample(range(len(mapped.text) + 1), min(len(mapped.text) + 1, 2 * rng.randint(0, 4))))
+            edits = [(a, b, "x" * rng.randint(0, 3)) for a, b in zip(cuts[::2], cuts[1::2])]
+            new_starts, new_ends, at = [], [], 0
+            for s, e, new in [*edits, (len(starts), len(starts), "")]:
+                new_starts += starts[at:s] + ([starts[s]] * len(new) if e > s else [])
+                new_ends += ends[at:s] + ([ends[e - 1]] * len(new) if e > s else [])
+                at = e
+            mapped, starts, ends = mapped.rewritten(edits), new_starts, new_ends
+            if not starts:
+                break
+            for a in range(len(starts)):
+                for b in range(a + 1, len(starts) + 1):
+                    assert mapped.source(a, b) == (starts[a], ends[b - 1])
+
+
+def test_a_long_text_with_many_disguises_in_little_memory():
+    import tracemalloc
+
+    text = "word and another, ±1 – " * 40000 + " john at mail dot com"
+    tracemalloc.start()
+    found = pii.spans_of(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[-1][0] == "email" and peak < 60 * len(text)
