@@ -104,12 +104,3 @@ def gigabytes(num_bytes: Column | str) -> Column:
 
 def percent(share: Column | str) -> Column:
     return dbl(share) * F.lit(100.0)
-
-
-def non_negative(c: Column | str) -> Column:
-    return F.greatest(F.lit(0), col(c))
-
-
-def whole(c: Column | str) -> Column:
-    """Integer part, rounding towards minus infinity."""
-    return F.floor(col(c))

@@ -42,11 +42,6 @@ def segment_name(r: Column, f: Column, m: Column) -> Column:
     )
 
 
-def rfm_segments(totals: DataFrame, as_of: dt.date) -> DataFrame:
-    scored = rfm_scores(rfm_values(totals, as_of))
-    return scored.withColumn("segment", segment_name(F.col("r_score"), F.col("f_score"), F.col("m_score")))
-
-
 def customer_ltv(totals: DataFrame, as_of: dt.date) -> DataFrame:
     """Profit per year of acquaintance; acquaintance counts for 30 days at least."""
     tenure = F.greatest(F.date_diff(F.lit(as_of), "first_day"), F.lit(30))
