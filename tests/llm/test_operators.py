@@ -537,3 +537,72 @@ def test_a_long_text_with_many_disguises_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found[-1][0] == "email" and peak < 60 * len(text)
+
+
+def _covering(rows, cuts, how):
+    """Sequential covering over plain rows (features, label, part): grow by gain, prune by worth, drop what is covered."""
+
+    def holds(conditions, r):
+        return all((r[0][n] > t) if above else (r[0][n] <= t) for n, above, t in conditions)
+
+    def count(conditions, part, among):
+        covered = [r for r in among if r[2] == part and holds(conditions, r)]
+        return sum(r[1] == 0 for r in covered), sum(r[1] == 1 for r in covered)
+
+    found = []
+    while len(found) < how.most_rules:
+        grown, seen = (), []
+        while len(grown) < how.most_conditions:
+            bad0, good0 = count(grown, 0, rows)
+            if bad0 < how.least_rows or good0 == 0:
+                break
+            base, best, gain = math.log2(bad0 / (bad0 + good0)), None, 0.0
+            for name, at in cuts.items():
+                for t in at:
+                    for above in (True, False):
+                        bad, good = count((*grown, (name, above, t)), 0, rows)
+                        g = bad * (math.log2(bad / (bad + good)) - base) if bad >= how.least_rows else 0.0
+                        if g > gain + 1e-9:
+                            best, gain = (name, above, t), g
+            if best is None:
+                break
+            grown = (*grown, best)
+            seen.append([count(grown, part, rows) for part in (0, 1)])
+        if not seen:
+            break
+        k = max(range(len(seen)), key=lambda k: ((seen[k][1][0] + 1) / (sum(seen[k][1]) + 2), -k))
+        (bad, good), (bad1, good1) = seen[k]
+        if bad < how.least_rows or bad1 < 1 or bad + bad1 < how.precision * (bad + good + bad1 + good1):
+            break
+        found.append(grown[: k + 1])
+        rows = [r for r in rows if not holds(found[-1], r)]
+    return found
+
+
+def test_rules_and_verdicts_against_plain_covering(spark):
+    """Two planted conjunctions: the learned list is that of a plain covering, and so is every verdict."""
+    rng = random.Random(21)
+    names = list(rules.FEATURES)
+    rows, labels = [], []
+    for i in range(900):
+        values = {n: rng.randint(0, 9) / 10 for n in names}
+        a, b, c = (values[n] for n in names[:3])
+        bad = a > 0.55 and b < 0.35 or c > 0.65 and b > 0.65
+        rows.append((i, 100, 0, *values.values()))
+        labels.append((i, 0 if bad else 1))
+    schema = "doc_id long, n_words long, n_repeat_words long, " + ", ".join(f"{n} double" for n in names)
+    common.prepare(spark)
+    statistics = spark.createDataFrame(rows, schema)
+    marked = spark.createDataFrame(labels, "doc_id long, quality int")
+    how = rules.Learning()
+    learned = rules.learn(statistics, marked, how)
+    parts = {r.doc_id: r.part for r in statistics.selectExpr("doc_id", "CAST(pmod(xxhash64(doc_id, 61), 3) = 0 AS INT) AS part").collect()}
+    cuts = rules._cuts(statistics.join(marked.withColumnRenamed("quality", "label"), "doc_id"), how.bins)
+    plain = [(dict(zip(names, r[3:])), labels[r[0]][1], parts[r[0]]) for r in rows]
+    want = _covering(plain, cuts, how)
+    assert [r.conditions for r in learned] == want
+    assert len(want) >= 2 and max(map(len, want)) >= 2
+    kept = {r.doc_id: r.kept for r in statistics.select("doc_id", rules.decision(learned).alias("kept")).collect()}
+    for i, (features, _, _) in enumerate(plain):
+        rejected = any(all((features[n] > t) if above else (features[n] <= t) for n, above, t in rule) for rule in want)
+        assert kept[i] is not rejected
