@@ -257,3 +257,35 @@ def test_new_products_are_nearly_the_best_of_all(spark):
 def test_new_products_of_a_tiny_shop(spark):
     lines = spark.createDataFrame([(1, 1, 1, 5), (2, 1, 2, 5), (3, 2, 2, 5)], "order_id long, customer_id long, product_id long, total_cents long")
     assert {(r.customer_id, r.product_id) for r in recommend.recommend_new(lines).collect()} == {(2, 1)}
+
+
+def test_new_products_do_not_depend_on_how_cells_are_cut(spark):
+    """Slices and parts of a few rows give what whole cells give; each customer gets its five."""
+    lines = star.sales(spark, SF).select("order_id", "customer_id", "product_id", "total_cents")
+    whole = sorted(map(tuple, recommend.recommend_new(lines).collect()))
+    assert whole and len(whole) == 5 * len({r[0] for r in whole})
+    assert sorted(map(tuple, recommend.recommend_new(lines, part_rows=30, slice_rows=3).collect())) == whole
+
+
+def test_leaders_keep_ties_by_column_and_leave_out_what_is_held():
+    import numpy as np
+
+    scores = np.array([[1.0, 3.0, 3.0, 3.0, 2.0], [-np.inf, 0.0, -np.inf, -1.0, -np.inf]])
+    row, column = recommend._leaders(scores, 2)
+    assert list(zip(row.tolist(), column.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 1), (1, 3)]
+    assert recommend._leaders(scores[:, :1], 2)[1].tolist() == [0]
+
+
+def test_cells_learnt_from_a_sample_hold_every_item(spark):
+    items = spark.range(3000).select(
+        F.col("id").cast("int").alias("product_id"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("vector")
+    )
+    index = recommend.CandidateIndex.fit(items, probes=4, of_cell=5)
+    assert len(index.centres) <= 110
+    placed = index.cell_of_items(items).collect()
+    assert sorted(r.product_id for r in placed) == list(range(3000))
+    for r in placed[:50]:
+        lifted = [x / index.longest for x in r.vector]
+        lifted.append(max(0.0, 1 - sum(x * x for x in lifted)) ** 0.5)
+        far = [sum((a - b) ** 2 for a, b in zip(lifted, c, strict=True)) for c in index.centres]
+        assert far[r.cell] == pytest.approx(min(far), abs=1e-12)
