@@ -51,10 +51,12 @@ def as_of(
     told = states.select(F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col(entity).alias("_entity"), F.col(known).alias("_time"),
                          F.lit(1).alias("_side"), state_chunk.cast("long").alias("_chunk"), state.alias("_state"))
     both = asked.unionByName(told)
-    # A row per entity and chunk carries the last state over to later chunks.
-    ends = both.groupBy("_entity", "_chunk").agg(F.max("_state").alias("_end"))
-    earlier = Window.partitionBy("_entity").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select("_entity", "_chunk", F.last("_end", ignorenulls=True).over(earlier).alias("_start"))
+    # A row per entity and chunk carries the last state over to later chunks. Chunks of examples are told apart by their
+    # two numbers alone: an aggregate that has a struct beside them would sort every example before it shuffles.
+    ends = told.groupBy("_entity", "_chunk").agg(F.max("_state").alias("_end"))
+    ends = ends.unionByName(asked.select("_entity", "_chunk").distinct(), allowMissingColumns=True)
+    earlier = Window.partitionBy("_entity").orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("_start", F.last("_end", ignorenulls=True).over(earlier)).where("_end IS NULL").drop("_end")
     inside = (
         Window.partitionBy("_entity", "_chunk").orderBy("_time", "_side", "_state").rowsBetween(Window.unboundedPreceding, -1)
     )

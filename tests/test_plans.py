@@ -124,3 +124,19 @@ def test_bucketed_fact_joins_without_a_shuffle(no_broadcast):
         assert "SortMergeJoin [order_id" in text and "Exchange" not in text
         assert "SelectedBucketsCount: 16 out of 16" in text
     assert joined.count() == star.sales(no_broadcast, SF).count()
+
+
+def test_orders_per_product_hold_no_row_per_order_in_a_hash_table(spark):
+    """Lines of one order and product may come twice, in one file or by a doubled order; lines without an order count none."""
+    columns = "order_id long, product_id long, total_cents long, profit_cents long, quantity int, margin_points int, order_day date"
+    data = [(1, 1, 5, 1, 2, 10, None), (1, 1, 5, 1, 2, 10, None), (2, 1, 7, 1, 1, None, None), (None, 1, 1, 1, 1, 1, None), (1, 2, 3, 1, 1, 1, None)]
+    sums = products.product_sums(spark.createDataFrame(data, columns))
+    got = {r.product_id: (r.orders, r.revenue_cents, r.quantity, r.margin_lines) for r in sums.collect()}
+    assert got == {1: (2, 18, 6, 3), 2: (1, 3, 1, 1)}
+    assert "distinct" not in sums._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_as_of_does_not_sort_examples_to_tell_their_chunks(no_broadcast):
+    text = registry()["features_as_of"](no_broadcast, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"max\(_state#\d+\)", text)
+    assert not re.search(r"Aggregate \[.*max\(_state#\d+\).*\n[ :+-]*(Project.*\n[ :+-]*)?Union", text)
