@@ -13,8 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesloom.operators.products import product_sums
-from salesloom.operators.summaries import ORDER_COLUMNS, order_totals, per_customer
+from salesloom.operators.summaries import ORDER_COLUMNS, order_totals
 
 _HOW = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -27,13 +26,18 @@ class State:
     keys: tuple[str, ...]
     values: Mapping[str, str]
 
-    def merged(self, *states: DataFrame) -> DataFrame:
-        """One state of all; rows of a key meet after a partial aggregation."""
-        columns = [self.part, *self.keys, *self.values]
+    def merged(self, *states: DataFrame, part: Column | None = None) -> DataFrame:
+        """One state of all; rows of a key meet after a partial aggregation.
+
+        ``part``, in terms of the keys, is put to the merged rows; without it the states have the column.
+        """
+        keys = self.keys if part is not None else (self.part, *self.keys)
+        columns = [*keys, *self.values]
         every = states[0].select(columns)
         for more in states[1:]:
             every = every.unionByName(more.select(columns))
-        return every.groupBy(self.part, *self.keys).agg(*[_HOW[how](c).alias(c) for c, how in self.values.items()])
+        out = every.groupBy(*keys).agg(*[_HOW[how](c).alias(c) for c, how in self.values.items()])
+        return out if part is None else out.withColumn(self.part, part)
 
 
 CUSTOMER_DAYS = State(
@@ -74,20 +78,17 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 
 def customer_days(sales: DataFrame) -> DataFrame:
-    days = per_customer(order_totals(sales), F.col("order_day"))
-    return days.withColumn("order_month", month_of("order_day"))
+    """Each order as a row of the state of days, to be merged."""
+    return order_totals(sales).withColumn("orders", F.lit(1).cast("long"))
 
 
 def orders(sales: DataFrame) -> DataFrame:
     return order_totals(sales).withColumn("order_month", month_of("order_day"))
 
 
-def customers(sales: DataFrame, buckets: int) -> DataFrame:
-    return per_customer(order_totals(sales)).withColumn("bucket", bucket_of("customer_id", buckets))
-
-
-def products(sales: DataFrame, buckets: int) -> DataFrame:
-    return product_sums(sales).withColumn("bucket", bucket_of("product_id", buckets))
+def customers(days: DataFrame) -> DataFrame:
+    """Each customer's day as a row of the state of customers, to be merged."""
+    return days.withColumns({"first_day": F.col("order_day"), "last_day": F.col("order_day")})
 
 
 def parts_of(state: DataFrame, part: str) -> list[str]:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.operators import dimensions, facts, features, partials, products, summaries
@@ -73,20 +73,24 @@ class DailyLoad:
         goods = self._store(spark, counts, "processed_data", "dim_products", self._products(spark, staging))
         self._store(spark, counts, "processed_data", "dim_date", dim_date_of(self._days(spark, staging), "day"))
 
-        batch = facts.fact_sales(staging.order_items, staging.orders, buyers, goods, tax=staging.order_tax)
-        batch = batch.withColumn("order_month", F.date_format("order_day", "yyyy-MM"))
+        placed = facts.placed_orders(staging.orders, dimensions.current(buyers), tax=staging.order_tax)
         if self.previous is not None:
-            batch = self._unseen(spark, staging, batch, earlier)
+            placed = self._unseen(spark, staging, placed, earlier)
+        batch = facts.priced_lines(staging.order_items, dimensions.current(goods)).join(placed, "order_id")
+        batch = facts.fact_of(batch).withColumn("order_month", partials.month_of("order_day"))
         new = self._store(spark, counts, "processed_data", "fact_sales", batch, ["order_month"])
 
         lines = facts.with_cents(new)
-        days = self._add(spark, counts, "customer_days", partials.CUSTOMER_DAYS, partials.customer_days(lines))
+        month = partials.month_of("order_day")
+        own = partials.CUSTOMER_DAYS.merged(partials.customer_days(lines), part=month)
+        self.layout.write(own, "processed_data", "load_customer_days", self.load_id)  # days and customers are summed from it
+        own = self.layout.read(spark, "processed_data", "load_customer_days", self.load_id)
+        days = self._add(spark, counts, "customer_days", partials.CUSTOMER_DAYS, own, own, month)
         fresh = summaries.daily_of_customer_days(days).withColumn("order_month", partials.month_of("date"))
         self._merge(spark, counts, "analytics", "daily_sales_summary", fresh, "order_month", ["date"], DAILY_FIGURES)
 
-        sums = partials.products(lines, self.buckets)
-        sold = self._add(spark, counts, "product_totals", partials.PRODUCTS, sums)
         bucket = partials.bucket_of("product_id", self.buckets)
+        sold = self._add(spark, counts, "product_totals", partials.PRODUCTS, lines, products.product_sums(lines), bucket)
         fresh = products.product_performance_of(sold, dimensions.current(goods)).withColumn("bucket", bucket)
         self._merge(
             spark, counts, "analytics", "product_performance", fresh, "bucket", ["product_id"], PERFORMANCE_FIGURES
@@ -94,10 +98,9 @@ class DailyLoad:
         fresh = features.product_features_of(sold).withColumn("bucket", bucket)
         self._merge(spark, counts, "ml_features", "product_features", fresh, "bucket", ["product_id", *FEATURE], VALUE)
 
-        bought = self._add(
-            spark, counts, "customer_totals", partials.CUSTOMERS, partials.customers(lines, self.buckets)
-        )
-        fresh = features.customer_features_of(bought).withColumn("bucket", partials.bucket_of("customer_id", self.buckets))
+        bucket = partials.bucket_of("customer_id", self.buckets)
+        bought = self._add(spark, counts, "customer_totals", partials.CUSTOMERS, own, partials.customers(own), bucket)
+        fresh = features.customer_features_of(bought).withColumn("bucket", bucket)
         self._merge(spark, counts, "ml_features", "customer_features", fresh, "bucket", ["customer_id", *FEATURE], VALUE)
         stages = spark.createDataFrame(
             [(self.load_id, stage, "written", n) for stage, n in counts],
@@ -147,10 +150,10 @@ class DailyLoad:
         rows = dimensions.product_rows(staging.products, self.load_date)
         return dimensions.extend_dimension(known, rows, "product_id", "product_key", ["effective_date", "product_name"])
 
-    def _unseen(self, spark: SparkSession, staging: Staging, batch: DataFrame, earlier: Sequence[str]) -> DataFrame:
-        """Lines of orders that no earlier load holds; only the months of the feed's orders are read back."""
+    def _unseen(self, spark: SparkSession, staging: Staging, placed: DataFrame, earlier: Sequence[str]) -> DataFrame:
+        """Orders that no earlier load holds; only the months of the feed's orders are read back."""
         held = self.earlier_orders(spark, staging, earlier)
-        return batch.join(held, "order_id", "left_anti")
+        return placed.join(held, "order_id", "left_anti")
 
     def earlier_orders(self, spark: SparkSession, staging: Staging, earlier: Sequence[str]) -> DataFrame:
         """Ids of stored orders, of the feed's months."""
@@ -182,14 +185,24 @@ class DailyLoad:
         counts.append((table, _records(seen)))
 
     def _add(
-        self, spark: SparkSession, counts: list[tuple[str, int]], table: str, state: State, delta: DataFrame
+        self,
+        spark: SparkSession,
+        counts: list[tuple[str, int]],
+        table: str,
+        state: State,
+        keyed: DataFrame,
+        delta: DataFrame,
+        part: Column,
     ) -> DataFrame:
-        """Adds this load's partial aggregates to the stored ones; gives back the touched parts, whole."""
-        touched = partials.parts_of(delta, state.part)
-        states = [delta]
+        """Adds this load's rows of state to the stored ones; gives back the touched parts, whole.
+
+        Which parts those are is read off the keys that ``keyed`` has, so that ``delta`` is summed once.
+        """
+        states, touched = [delta], None
         if self.previous is not None:
+            touched = partials.parts_of(keyed.select(part.alias(state.part)), state.part)
             states.append(self.layout.read_parts(spark, "processed_data", table, self.previous, touched))
-        self._keep(spark, counts, "processed_data", table, state.merged(*states), state.part)
+        self._keep(spark, counts, "processed_data", table, state.merged(*states, part=part), state.part)
         return self.layout.read_parts(spark, "processed_data", table, self.load_id, touched)
 
     def _merge(
@@ -203,8 +216,8 @@ class DailyLoad:
         keys: Sequence[str],
         update_cols: Sequence[str],
     ) -> None:
-        """Upserts whole touched parts."""
-        if self.previous is not None:
+        """Upserts whole touched parts. ``fresh`` has a row for each stored one, and replaces what has no other columns."""
+        if self.previous is not None and {*fresh.columns} - {*keys, part, *update_cols}:
             before = self.layout.read_parts(spark, layer, table, self.previous, partials.parts_of(fresh, part))
             fresh = upsert(before, fresh, [*keys, part], update_cols)
         self._keep(spark, counts, layer, table, fresh, part)

@@ -211,3 +211,43 @@ def test_a_load_without_new_orders_changes_nothing(spark, tmp_path):
     DailyLoad(layout, "2", dt.date(2024, 1, 2), previous="1").run(spark, raw)
     one, two = (layout.read(spark, "analytics", "daily_sales_summary", i) for i in "12")
     assert rows(one, "date") == rows(two, "date")
+
+
+def test_a_load_sums_its_orders_once(spark, tmp_path, monkeypatch):
+    """Days and customers come from one sum over the lines, and tables whose rows are replaced whole aren't joined."""
+    people = [(i, f"c{i}", "s", "x", "A", dt.date(2020, 1, i)) for i in (1, 2)]
+    goods = [(i, f"p{i}", "k", "b", Decimal(10), Decimal(6), True, None) for i in (1, 2)]
+    placed = [(1, 1, "2020-01-05"), (2, 1, "2020-01-05"), (2, 1, "2020-01-05"), (3, 2, "2020-02-01"), (4, 2, "2020-01-31")]
+    items = [(1, 1, 1), (1, 1, 2), (1, 2, 1), (2, 1, 1), (3, 2, 4), (4, 2, 1), (4, 9, 1)]
+    orders = spark.createDataFrame(placed, "order_id long, customer_id long, day string").selectExpr(
+        "order_id", "customer_id", "CAST(day AS timestamp_ntz) order_date", "'F' order_status", "'x' payment_method",
+        "0.00BD total_amount", "1.00BD tax_amount", "2.00BD shipping_cost", "'USD' currency",
+    )
+    raw = staging.Staging(
+        spark.createDataFrame(people, "customer_id long, name string, state string, country string, customer_segment string, registration_date date"),
+        spark.createDataFrame(goods, "product_id long, product_name string, category string, brand string, price decimal(10,2), cost decimal(10,2), is_active boolean, created_at timestamp_ntz"),
+        orders,
+        spark.createDataFrame(items, "order_id long, product_id long, quantity int").selectExpr(
+            "*", "10.00BD unit_price", "CAST(quantity * 10 AS decimal(12,2)) total_price", "0.00BD discount_percentage"
+        ),
+        spark.createDataFrame([], "event_id long"),
+    )
+    calls = []
+    for module, name in ((daily_load.partials, "order_totals"), (daily_load, "upsert")):
+        true = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, true=true, name=name: calls.append(name) or true(*a))
+    layout = Layout(str(tmp_path))
+    DailyLoad(layout, "1", dt.date(2024, 1, 1)).run(spark, staging.Staging(raw.customers, raw.products, orders.filter("order_id < 3"), raw.order_items, raw.events))
+    assert calls == ["order_totals"]
+    DailyLoad(layout, "2", dt.date(2024, 1, 2), previous="1").run(spark, raw)
+    assert calls == ["order_totals", "order_totals", "upsert"]
+    summary = layout.read(spark, "analytics", "daily_sales_summary", "2").select("date", "total_orders", "total_revenue", "repeat_customers")
+    assert rows(summary, "date") == [
+        (dt.date(2020, 1, 5), 2, Decimal(60), 1), (dt.date(2020, 1, 31), 1, Decimal(10), 1), (dt.date(2020, 2, 1), 1, Decimal(40), 1),
+    ]
+    sold = layout.read(spark, "analytics", "product_performance", "2").select("product_id", "total_sales", "total_orders")
+    assert rows(sold, "product_id") == [(1, Decimal(50), 2), (2, Decimal(60), 3)]
+    spent = layout.read(spark, "ml_features", "customer_features", "2").filter("feature_name <> 'avg_order_value'")
+    assert rows(spent.select("customer_id", "feature_name", "feature_value"), "customer_id", "feature_name") == [
+        (1, "total_orders", 2), (1, "total_spent", 60), (2, "total_orders", 2), (2, "total_spent", 50),
+    ]
