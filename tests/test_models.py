@@ -289,3 +289,13 @@ def test_cells_learnt_from_a_sample_hold_every_item(spark):
         lifted.append(max(0.0, 1 - sum(x * x for x in lifted)) ** 0.5)
         far = [sum((a - b) ** 2 for a, b in zip(lifted, c, strict=True)) for c in index.centres]
         assert far[r.cell] == pytest.approx(min(far), abs=1e-12)
+
+
+def test_als_reads_pairs_without_storing_lines(spark, monkeypatch):
+    from salesloom.plans import queries
+
+    stored = []
+    true = queries.cut_lineage
+    monkeypatch.setattr(queries, "cut_lineage", lambda df, name="stage": stored.append(name) or true(df, name))
+    registry()["recommend_als"](spark, SF)
+    assert stored == []
