@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.llm.common import staged
@@ -15,28 +15,44 @@ MAX_ROUNDS = 60
 SALTS = 16
 
 
+def part_of(key: str) -> Column:
+    """The part that a row goes to, by the column ``key``."""
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+
+
+def parts_met(part: Column) -> Column:
+    """An aggregate: the parts that occur in a group, as the bits of a number."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), part))
+
+
+def each_part(met: str) -> Column:
+    """A row for each part in ``met``."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda p: F.getbit(met, p) == 1)).alias("part")
+
+
 def _with_low(links: DataFrame, low: DataFrame) -> DataFrame:
     """Links (a, b) beside the smallest id around a.
 
     An id in the middle of very many links would bring them all to one task: they are dealt by the other id too, and
-    the one row that they wait for goes to every part.
+    the one row that they wait for goes to every part that has some. Spark takes that side for as small as before its
+    rows were multiplied and would broadcast it, hence the hint.
     """
-    part = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("part")
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")
-    return links.select("a", "b", part).join(low.select("a", "low", every), ["a", "part"])
+    every = low.select("a", "low", each_part("met")).hint("merge")
+    return links.select("a", "b", part_of("b").alias("part")).join(every, ["a", "part"])
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of an id is linked to the smallest id around it."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+    met = parts_met(F.when(F.col("b") > F.col("a"), part_of("b"))).alias("met")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), met)
     return _with_low(both.where("b > a"), low).select(F.col("b"), F.col("low")).toDF("a", "b").where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of an id, and the id, are linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
+    low = down.groupBy("a").agg(F.min("b").alias("low"), parts_met(part_of("b")).alias("met"))
     joined = _with_low(down, low).select(F.col("b").alias("a"), F.col("low").alias("b"))
     return joined.union(low.select("a", F.col("low").alias("b"))).where("a <> b")
 

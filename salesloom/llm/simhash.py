@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.llm.common import id_and_text, one_per_key, row_key, staged, whole_text, wrapped
-from salesloom.llm.components import SALTS, components
+from salesloom.llm.components import components, each_part, part_of, parts_met
 
 #: Fixed values of the fingerprint.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -164,7 +164,8 @@ def close_links(points: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     celled = coded.withColumn("cell", cell)
     many = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = celled.join(many, "cell").withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    # Spark takes the cells for as few as the points and would broadcast them.
+    shared = celled.join(many.hint("merge"), "cell").withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     work = (
@@ -187,10 +188,10 @@ def classed(docs: DataFrame) -> DataFrame:
     found = components(close_links(points.where("id IS NOT NULL").select(F.col("fp").alias("id"), "fp")))
     found = found.select(F.col("id").alias("fp"), F.col("component_id").alias("label"))
     labelled = points.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    labelled = staged(labelled.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SALTS))), "labelled")
-    # The points of a large component wait for its one row in several parts.
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part")
-    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id")).select("label", "component_id", every)
+    labelled = staged(labelled.withColumn("part", part_of("fp")), "labelled")
+    # The points of a large component wait for its one row in several parts; it may be taken for too small, as in components.
+    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"), parts_met(F.col("part")).alias("met"))
+    smallest = smallest.select("label", "component_id", each_part("met")).hint("merge")
     classes = labelled.join(smallest, ["label", "part"]).select("fp", "label", "component_id")
     return prints.join(classes, "fp")
 

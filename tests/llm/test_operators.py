@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from salesloom.llm import bpe, classifier, common, exact, html_paths, katz, mixing, pii, rules, simhash, suffix_dedup
+from salesloom.llm import bpe, classifier, common, components, exact, html_paths, katz, mixing, pii, rules, simhash, suffix_dedup
 from salesloom.llm.suffix_sort import deep_shallow_order, padded
 from tests.conftest import SF
 from tests.llm import brute
@@ -79,6 +79,27 @@ def test_close_links_of_crowded_cells(spark):
     assert {i: root(i) for i in ids} == brute.components(ids)
 
 
+def test_what_is_multiplied_is_never_broadcast(spark, docs):
+    """Tables that are as small as their file says before each row becomes 16 or 20 are joined by sorting."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    points = common.staged(spark.range(50).select("id", F.xxhash64("id").alias("fp")), "points")
+    links = common.staged(spark.createDataFrame([(2, 1), (3, 1), (4, 3)], "a long, b long"), "links")
+    for df in (simhash.close_links(points), components._large_star(links), components._small_star(links)):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+    assert "SortMergeJoin [label" in plan(simhash.classed(docs))
+
+
+def test_a_smallest_id_goes_to_the_parts_that_wait_for_it(spark):
+    links = spark.createDataFrame([(1, i) for i in range(2, 200)] + [(300, 301), (300, 302)], "a long, b long")
+    parts = links.select("a", components.part_of("b").alias("part"))
+    met = parts.groupBy("a").agg(components.parts_met(F.col("part")).alias("met"))
+    got = sorted(map(tuple, met.select("a", components.each_part("met")).collect()))
+    assert got == sorted({tuple(r) for r in parts.collect()}) and len(got) <= components.SALTS + 2
+
+
 def _generated():
     rng = random.Random(5)
     names = ["the", "of", "thé"] + ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(200)]
