@@ -254,6 +254,17 @@ def test_new_products_are_nearly_the_best_of_all(spark):
     assert recall >= 0.9
 
 
+def test_blocks_of_the_factor_model_grow_in_number_with_the_ratings(spark):
+    """A block is held in a task's memory as a whole."""
+    ratings = recommend.purchase_counts(star.sales(spark, SF)).localCheckpoint()
+    n = ratings.count()
+    for size, blocks in ((recommend.BLOCK_RATINGS, 10), (-(-n // 15), 17)):
+        model = recommend.fit_als(ratings, block_ratings=size)
+        assert {f.rdd.getNumPartitions() for f in (model.userFactors, model.itemFactors)} == {blocks}
+        assert model.userFactors.count() == ratings.select("customer_id").distinct().count()
+    assert recommend.BLOCK_RATINGS < 216_000_000 / 10  # at which a heap of 1.5 GB a task didn't do
+
+
 def test_new_products_of_a_tiny_shop(spark):
     lines = spark.createDataFrame([(1, 1, 1, 5), (2, 1, 2, 5), (3, 2, 2, 5)], "order_id long, customer_id long, product_id long, total_cents long")
     assert {(r.customer_id, r.product_id) for r in recommend.recommend_new(lines).collect()} == {(2, 1)}
