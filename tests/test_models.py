@@ -12,6 +12,7 @@ from salesloom.operators import additive, asof, baskets, models, recommend, segm
 from salesloom.plans import star
 from salesloom.plans.queries import CHURN_CUT, CHURN_LEARNT_CUT
 from salesloom.plans.queries import registry
+from salesloom.session import cut_lineage
 from tests.conftest import SF
 
 
@@ -270,6 +271,13 @@ def test_new_products_of_a_tiny_shop(spark):
     assert {(r.customer_id, r.product_id) for r in recommend.recommend_new(lines).collect()} == {(2, 1)}
 
 
+def test_stored_items_come_in_one_order(spark):
+    """Also where files have one size, whose names are new each time."""
+    rows = spark.range(0, 64, 1, 8).select("id", F.lit("x").alias("name"))
+    orders = {tuple(r.id for r in recommend._listed_by_name(cut_lineage(rows, "a b")).collect()) for _ in range(4)}
+    assert len(orders) == 1 and sorted(orders.pop()) == list(range(64))
+
+
 def test_new_products_do_not_depend_on_how_cells_are_cut(spark):
     """Slices and parts of a few rows give what whole cells give; each customer gets its five."""
     lines = star.sales(spark, SF).select("order_id", "customer_id", "product_id", "total_cents")
